@@ -173,9 +173,11 @@ def next_versions(current: DataFrame, members: DataFrame, manifest: DataFrame) -
     return new, now.drop("is").join(new.select("corpus", "version"), "corpus")
 
 
-def describe_changes(before: DataFrame, after: DataFrame, links: DataFrame, notes: DataFrame | None = None) -> DataFrame:
+def describe_changes(before: DataFrame, after: DataFrame, links: DataFrame, history: DataFrame,
+                     notes: DataFrame | None = None) -> DataFrame:
     """The change note of each library from its documents before and after (`corpus`,
-    `document_id`, `title`). `links` says what replaced a document: `document_id`,
+    `document_id`, `title`). `history` names the libraries with an earlier version (`corpus`),
+    which may have been empty; the others get a first version. `links` says what replaced a document: `document_id`,
     `replaced_by`, `new_corpus`. Titles shown are the first three by name; a library's note
     has one part per kind of change and per library moved to."""
     b = before.select("corpus", "document_id", F.col("title").alias("old_title"), F.lit(True).alias("was"))
@@ -209,7 +211,7 @@ def describe_changes(before: DataFrame, after: DataFrame, links: DataFrame, note
         F.array_sort(F.collect_list(F.struct("place", "target", "part"))), lambda p: p["part"]), ". "), F.lit(".")).alias("text"))
     names = before.select("corpus").union(after.select("corpus")).distinct()
     counted = after.groupBy("corpus").agg(F.count(F.lit(1)).alias("__now"))
-    had = before.select("corpus").distinct().withColumn("__had", F.lit(True))
+    had = history.select("corpus").distinct().withColumn("__had", F.lit(True))
     out = (names.join(text, "corpus", "left").join(counted, "corpus", "left").join(had, "corpus", "left"))
     first = F.concat(F.lit("First recorded version: "), F.coalesce("__now", F.lit(0)).cast("string"),
                      F.when(F.col("__now") == 1, " document.").otherwise(" documents."))
