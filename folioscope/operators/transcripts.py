@@ -213,7 +213,7 @@ def segments(transcript: DataFrame, max_tokens: int, direct: int = 60_000, keep_
         wants = p.select("run_id", "i", (F.col("upto") - F.col("cost") + max_tokens).alias("at"))
         jumps = _first_at_or_after(points, wants, True)
         # An entry dearer than the limit stands alone: the next opens after it.
-        jumps = jumps.withColumn("j", F.greatest("j", F.col("i") + 1)).join(p.select("run_id", F.col("i").alias("j")), ["run_id", "j"], "left_semi").select("run_id", "i", "j")
+        jumps = jumps.filter("j is not null").withColumn("j", F.greatest("j", F.col("i") + 1)).join(p.select("run_id", F.col("i").alias("j")), ["run_id", "j"], "left_semi").select("run_id", "i", "j")
         first = p.filter("i = 1").select("run_id", "i")
         starts = starts.unionByName(_chosen_from(first, jumps))
     opened = starts.withColumn("__open", F.lit(1))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_AREAS = ("document", "trace", "library", "retrieval", "citation", "web",)
+_AREAS = ("document", "trace", "library", "retrieval", "citation", "web", "transcript", "name", "account")
 _LATER = ("trace", "library", "retrieval", "citation", "web", "transcript", "name",
           "account", "source", "stream")
 

@@ -14,8 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-_ROW = "__row"
-_PART = "__part"
+_ROW = "__scale_row"
+_PART = "__scale_part"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -51,14 +51,14 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
                   name: str = "n") -> DataFrame:
     """`df` with `name` = 1, 2, 3, ... inside each key. `order` must be total within a key."""
     rows = _ordered(df, keys, order)
-    parts = rows.groupBy(*keys, _PART).agg(F.count(F.lit(1)).alias("__n"),
-                                          F.min(_ROW).alias("__first"))
+    parts = rows.groupBy(*keys, _PART).agg(F.count(F.lit(1)).alias("__scale_n"),
+                                          F.min(_ROW).alias("__scale_first"))
     before = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(*keys, _PART, "__first",
-                         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    parts = parts.select(*keys, _PART, "__scale_first",
+                         F.coalesce(F.sum("__scale_n").over(before), F.lit(0)).alias("__scale_before"))
     return (rows.join(parts, [*keys, _PART])
-            .withColumn(name, F.col(_ROW) - F.col("__first") + F.col("__before") + 1)
-            .drop(_ROW, _PART, "__first", "__before"))
+            .withColumn(name, F.col(_ROW) - F.col("__scale_first") + F.col("__scale_before") + 1)
+            .drop(_ROW, _PART, "__scale_first", "__scale_before"))
 
 
 _COMBINE = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -71,12 +71,12 @@ def with_running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | st
     `totals` maps a new column to ("sum" | "max" | "min", value). Sums start at 0; a running
     max or min is null until it has met a value.
     """
-    values = {name: f"__v{i}" for i, name in enumerate(totals)}
+    values = {name: f"__scale_v{i}" for i, name in enumerate(totals)}
     rows = _ordered(df.select("*", *[c.alias(values[n]) for n, (_, c) in totals.items()]), keys, order)
     parts = rows.groupBy(*keys, _PART).agg(
         *[_COMBINE[how](values[n]).alias(values[n]) for n, (how, _) in totals.items()])
     earlier = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(*keys, _PART, *[_COMBINE[how](values[n]).over(earlier).alias(f"__b_{values[n]}")
+    parts = parts.select(*keys, _PART, *[_COMBINE[how](values[n]).over(earlier).alias(f"__scale_b_{values[n]}")
                                          for n, (how, _) in totals.items()])
     end = 0 if inclusive else -1
     local = (Window.partitionBy(*keys, _PART).orderBy(_ROW)
@@ -84,13 +84,13 @@ def with_running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | st
     joined = rows.join(parts, [*keys, _PART])
     out = {}
     for n, (how, _) in totals.items():
-        here, prior = _COMBINE[how](values[n]).over(local), F.col(f"__b_{values[n]}")
+        here, prior = _COMBINE[how](values[n]).over(local), F.col(f"__scale_b_{values[n]}")
         if how == "sum":
             out[n] = F.coalesce(here, F.lit(0)) + F.coalesce(prior, F.lit(0))
         else:
             out[n] = F.greatest(here, prior) if how == "max" else F.least(here, prior)
     return (joined.withColumns(out)
-            .drop(_ROW, _PART, *values.values(), *[f"__b_{v}" for v in values.values()]))
+            .drop(_ROW, _PART, *values.values(), *[f"__scale_b_{v}" for v in values.values()]))
 
 
 def best_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
