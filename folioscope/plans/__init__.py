@@ -2,8 +2,7 @@
 
 from importlib import import_module
 
-_AREAS = ("document", "trace", "library", "retrieval", "citation", "web", "transcript", "name", "account", "source")
-_LATER = ("trace", "library", "retrieval", "citation", "web", "transcript", "name",
+_AREAS = ("document", "trace", "library", "retrieval", "citation", "web", "transcript", "name",
           "account", "source", "stream")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from ..scale import pinned
 
 # Section headings and the field each stands for.
 SECTIONS = {
@@ -138,7 +139,8 @@ def file_lines(files: DataFrame) -> DataFrame:
     inside = Window.partitionBy("file", "h1", "sec").orderBy("pos")
     rows = rows.withColumn("heading", F.first(F.when(F.col("opens"), _inline(heading(F.col("raw")))), ignorenulls=True).over(inside))
     rows = rows.withColumn("raw", F.when(F.col("raw").rlike(_RULE), "").otherwise(F.col("raw")))
-    return rows.filter(F.col("h1") > 0).select("file", "pos", "raw", "is_h1", "h1", "title", "block", "opens", "sec", "heading")
+    # Every reader below goes through the lines several times.
+    return pinned(rows.filter(F.col("h1") > 0).select("file", "pos", "raw", "is_h1", "h1", "title", "block", "opens", "sec", "heading"))
 
 
 def agent_fields(lines: DataFrame) -> DataFrame:
@@ -194,7 +196,7 @@ def agents(lines: DataFrame, default_model: str = "") -> DataFrame:
 def with_ids(people: DataFrame) -> DataFrame:
     """People of all files as one cast with ids of their own."""
     from ..operators.documents import assign_ids
-    base = people.withColumn("id_or_name", F.coalesce("id", "name")).withColumn("cast_id", F.lit(0))
+    base = pinned(people).withColumn("id_or_name", F.coalesce("id", "name")).withColumn("cast_id", F.lit(0))
     return assign_ids(base, ["cast_id"], ["file", "h1"], "id_or_name").drop("cast_id", "id_or_name", "slug", "id")
 
 
