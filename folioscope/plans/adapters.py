@@ -13,8 +13,18 @@ from .registry import view
 MARKS = r"\[(\d{1,3}(?:\s*,\s*\d{1,3})*)\]"
 
 
+WIDE = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table. A text table that comes as fewer pieces than there are cores (one small
+    file, say) is dealt out to them, since the work on a row of text outweighs moving it."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    if name in WIDE and not df.isStreaming:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            return df.repartition(cores)
+    return df
 
 
 # ------------------------------------------------------------------ documents and libraries

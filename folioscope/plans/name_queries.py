@@ -39,9 +39,10 @@ def _(spark, sf):
 
 @query("g2_public_names")
 def _(spark, sf):
-    c = _sources(spark, sf).select("doc_id", "text", F.explode(op.name_candidates(F.col("text"))).alias("name"))
+    s = _sources(spark, sf).select("doc_id", op.phrases(F.col("text")).alias("found"))
+    c = s.select("doc_id", "found", F.explode(op.candidates_of(F.col("found"))).alias("name"))
     return c.select("doc_id", "name", op.is_public_or_place(F.col("name")).alias("public"),
-                    op.only_inside_public_names(F.col("name"), F.substring("text", 1, 400), F.lit(False)).alias("inside_only"))
+                    op.only_inside_public_names(F.col("name"), F.col("found"), F.lit(False)).alias("inside_only"))
 
 
 @query("g3_substitutions")
