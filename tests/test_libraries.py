@@ -1,0 +1,85 @@
+from pyspark.sql import functions as F
+
+from folioscope.operators import libraries as op
+
+LOG = "document_id long, corpus string, title string, sha256 string, created_at string, event_no long, action string, replaced_by long"
+
+
+def log(spark, *rows):
+    return spark.createDataFrame([(i, c, t, f"sha{i}", "2024", n, a, r) for n, (i, c, t, a, r) in enumerate(rows, 1)], LOG)
+
+
+def three(spark):
+    return log(spark, (1, "L", "A", "added", None), (2, "L", "B", "added", None), (3, "L", "C", "added", None))
+
+
+def ids(df):
+    return sorted(r.document_id for r in df.collect())
+
+
+def versions_of(spark, logs):
+    members = spark.createDataFrame([], "corpus string, version int, document_id long")
+    manifest = spark.createDataFrame([], "corpus string, version int, documents long")
+    for one in logs:
+        new, rows = op.next_versions(op.live(one), members, manifest)
+        members = members.unionByName(rows.select("corpus", "version", "document_id"))
+        manifest = manifest.unionByName(new)
+    return members, manifest
+
+
+def test_a_revert_can_be_reverted(spark):
+    first = three(spark)
+    second, gone = op.remove(first, spark.createDataFrame([("L", 1), ("L", 3), ("M", 2)], "corpus string, document_id long"), 100)
+    assert ids(gone) == [1, 3] and ids(op.live(second)) == [2]
+    members, manifest = versions_of(spark, [first, second])
+    back = op.revert(second, members, spark.createDataFrame([("L", 1)], "corpus string, version int"), 200)
+    assert ids(op.live(back)) == [1, 2, 3]
+    again = op.revert(back, members, spark.createDataFrame([("L", 2)], "corpus string, version int"), 300)
+    assert ids(op.live(again)) == [2]
+    assert sorted((r.version, r.documents) for r in manifest.collect()) == [(1, 3), (2, 1)]
+
+
+def test_recording_twice_makes_one_version(spark):
+    _, manifest = versions_of(spark, [three(spark), three(spark)])
+    assert manifest.count() == 1
+
+
+def test_an_emptied_library_records_an_empty_version(spark):
+    first = three(spark)
+    empty, _ = op.remove(first, op.live(first), 100)
+    members, manifest = versions_of(spark, [first, empty])
+    assert sorted((r.version, r.documents) for r in manifest.collect()) == [(1, 3), (2, 0)]
+    assert members.filter("version = 2").count() == 0
+
+
+def test_change_notes(spark):
+    docs = "corpus string, document_id long, title string"
+    before = spark.createDataFrame([("L", 1, "Old A"), ("L", 2, "B"), ("L", 3, "C"), ("L", 4, "D")], docs)
+    after = spark.createDataFrame([("L", 2, "B"), ("L", 10, "New A"), ("L", 11, "z"), ("L", 12, "y"), ("L", 13, "x"), ("L", 14, "w")], docs)
+    links = spark.createDataFrame([(1, 10, "L"), (3, 20, "Other")], "document_id long, replaced_by long, new_corpus string")
+    had = spark.createDataFrame([("L",)], "corpus string")
+    note = op.describe_changes(before, after, links, had).first().change
+    assert note == "Added 4: “w”; “x”; “y”; and 1 more. Updated 1: “New A”. Moved 1 to “Other”: “C”. Removed 1: “D”."
+    assert op.describe_changes(after, after, links, had).first().change == "No change."
+    none = had.limit(0)
+    assert op.describe_changes(before.limit(0), before, links, none).first().change == "First recorded version: 4 documents."
+
+
+def test_names_in_a_config(spark):
+    schema = "mode string, libraries array<string>, corpus string"
+    rows = [("roleplay", None, None), ("document_analysis", None, None), ("roleplay", None, " law "), ("x", ["b", " a  c ", "b", ""], "z")]
+    d = spark.createDataFrame(rows, schema).select(op.names_of(F.col("libraries"), F.col("corpus"), F.col("mode")).alias("n"))
+    assert [r.n for r in d.collect()] == [[], ["default"], ["law"], ["b", "a c"]]
+
+
+def test_renames_are_followed_and_cycles_stop(spark):
+    rows = [(1, "a", "b"), (2, "b", "c"), (3, "x", "y"), (4, "y", "x"), (5, "a", "q"), (6, "q", "c2")]
+    got = {r.old_name: r.new_name for r in op.current_names(spark.createDataFrame(rows, "rename_id int, old_name string, new_name string")).collect()}
+    assert got == {"a": "c2", "b": "c", "x": "x", "y": "y", "q": "c2"}
+
+
+def test_the_first_of_a_text_in_a_batch_is_added(spark):
+    arriving = spark.createDataFrame([(1, "L", "s"), (2, "L", "s"), (3, "M", "s"), (4, "L", "held")], "document_id long, corpus string, sha256 string")
+    held = spark.createDataFrame([("L", "held")], "corpus string, sha256 string")
+    got = {r.document_id: r.status for r in op.add_status(arriving, held).collect()}
+    assert got == {1: "added", 2: "duplicate", 3: "added", 4: "duplicate"}
