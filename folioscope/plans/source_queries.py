@@ -12,7 +12,10 @@ from . import adapters as ad
 from .citation_queries import _cited_documents
 from .registry import query, view
 
-_I = F.col("doc_id")
+
+
+def _i():
+    return F.col("doc_id")
 
 
 def _docs(spark, sf):
@@ -33,9 +36,9 @@ def _opinions():
     def op(i, kind, key):
         return F.struct(i.alias("id"), kind.alias("type"), key.alias("ordering_key"), F.concat(F.lit("<b>"), F.substring("text", 1, 30), F.lit("</b>")).alias("snippet"))
     null_key, null_id = F.lit(None).cast("int"), F.lit(None).cast("long")
-    return F.array(op(_I * 10, F.lit("040dissent"), F.lit(1)), op(null_id, F.lit("010combined"), F.lit(0)),
-                   op(_I * 10 + 1, F.when(_I % 3 == 0, F.lit("lead-opinion")).when(_I % 3 == 1, F.lit("concurrence")), null_key),
-                   op(_I * 10 + 2, F.when(_I % 2 == 0, F.lit("020lead")).otherwise(F.lit("Plurality")), F.when(_I % 4 == 0, 2)))
+    return F.array(op(_i() * 10, F.lit("040dissent"), F.lit(1)), op(null_id, F.lit("010combined"), F.lit(0)),
+                   op(_i() * 10 + 1, F.when(_i() % 3 == 0, F.lit("lead-opinion")).when(_i() % 3 == 1, F.lit("concurrence")), null_key),
+                   op(_i() * 10 + 2, F.when(_i() % 2 == 0, F.lit("020lead")).otherwise(F.lit("Plurality")), F.when(_i() % 4 == 0, 2)))
 
 
 _LEAD = """CASE WHEN doc_id % 3 = 0 AND doc_id % 4 = 0 THEN doc_id * 10 + 2 WHEN doc_id % 3 = 0 THEN doc_id * 10 + 1 ELSE doc_id * 10 + 2 END"""
@@ -45,7 +48,7 @@ _LEAD = """CASE WHEN doc_id % 3 = 0 AND doc_id % 4 = 0 THEN doc_id * 10 + 2 WHEN
 SELECT doc_id, 'courtlistener' AS provider, CAST({_LEAD} AS VARCHAR) AS ref, CASE WHEN doc_id % 5 = 0 THEN 'Opinion ' || ({_LEAD}) ELSE 'Case ' || doc_id END AS title,
   regexp_replace(regexp_replace(regexp_replace(' ' || left(text, 30) || ' ', '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS snippet, 'https://www.courtlistener.com/o/' || doc_id AS url, '2001-02-03' AS date, 'D. Wyo.' AS badge FROM documents""")
 def _(spark, sf):
-    r = F.struct(F.when(_I % 5 != 0, F.concat(F.lit("Case "), _I)).otherwise("").alias("caseName"), F.concat(F.lit("/o/"), _I).alias("absolute_url"),
+    r = F.struct(F.when(_i() % 5 != 0, F.concat(F.lit("Case "), _i())).otherwise("").alias("caseName"), F.concat(F.lit("/o/"), _i()).alias("absolute_url"),
                  F.lit("2001-02-03").alias("dateFiled"), F.lit("D. Wyo.").alias("court"), _opinions().alias("opinions"))
     return _hits(pv.case_law_hits(_payload(_docs(spark, sf), r), keep=("doc_id",)))
 
@@ -60,9 +63,9 @@ SELECT doc_id, 'federal_register' AS provider, '2024-' || doc_id AS ref, CASE WH
   'https://fr.example.org/' || doc_id AS url, '2024-03-04' AS date, CASE WHEN doc_id % 2 = 0 THEN 'Rule' ELSE 'EPA, DOT' END AS badge FROM documents""")
 def _(spark, sf):
     names = F.array(*[F.struct(F.lit(a).alias("name")) for a in ("EPA", "DOT", "SEC")])
-    r = F.struct(F.when(_I % 4 != 0, F.concat(F.lit("Rule "), _I)).alias("title"), F.concat(F.lit("2024-"), _I).alias("document_number"),
-                 F.lit("2024-03-04").alias("publication_date"), F.concat(F.lit("https://fr.example.org/"), _I).alias("html_url"), F.col("text").alias("abstract"),
-                 F.when(_I % 2 == 0, "Rule").alias("type"), names.alias("agencies"))
+    r = F.struct(F.when(_i() % 4 != 0, F.concat(F.lit("Rule "), _i())).alias("title"), F.concat(F.lit("2024-"), _i()).alias("document_number"),
+                 F.lit("2024-03-04").alias("publication_date"), F.concat(F.lit("https://fr.example.org/"), _i()).alias("html_url"), F.col("text").alias("abstract"),
+                 F.when(_i() % 2 == 0, "Rule").alias("type"), names.alias("agencies"))
     return _hits(pv.rulemaking_hits(_payload(_docs(spark, sf), r), keep=("doc_id",)))
 
 
@@ -71,8 +74,8 @@ SELECT doc_id, 'ecfr' AS provider, CASE WHEN doc_id % 3 = 0 THEN '{"title":"40",
   '40 CFR ' || CASE WHEN doc_id % 3 = 0 THEN '§ ' || doc_id || '.1' ELSE 'Part ' || (doc_id % 90) END || ' Hazardous waste' AS title, 'an excerpt' AS snippet,
   'https://www.ecfr.gov/current/title-40/' || CASE WHEN doc_id % 3 = 0 THEN 'section-' || doc_id || '.1' ELSE 'chapter-I/part-' || (doc_id % 90) END AS url, '2017-01-01' AS date, 'Protection' AS badge FROM documents""")
 def _(spark, sf):
-    h = F.struct(F.lit("40").alias("title"), F.when(_I % 3 != 0, "I").otherwise("").alias("chapter"), (_I % 90).cast("string").alias("part"),
-                 F.when(_I % 3 == 0, F.concat(_I.cast("string"), F.lit(".1"))).alias("section"))
+    h = F.struct(F.lit("40").alias("title"), F.when(_i() % 3 != 0, "I").otherwise("").alias("chapter"), (_i() % 90).cast("string").alias("part"),
+                 F.when(_i() % 3 == 0, F.concat(_i().cast("string"), F.lit(".1"))).alias("section"))
     r = F.struct(h.alias("hierarchy"), F.struct(F.lit(" Protection ").alias("title"), F.lit("Hazardous <strong>waste</strong>").alias("section")).alias("hierarchy_headings"),
                  F.lit("an <strong>excerpt</strong>").alias("full_text_excerpt"), F.lit("2017-01-01").alias("starts_on"))
     return _hits(pv.code_hits(_payload(_docs(spark, sf), r), keep=("doc_id",)))
@@ -82,7 +85,7 @@ def _(spark, sf):
 SELECT doc_id, 'govinfo' AS provider, ref, 'Act ' || doc_id AS title, 'a summary' AS snippet, 'https://www.govinfo.gov/app/details/' || ref AS url, '2023-01-02' AS date, 'USCODE' AS badge
 FROM (SELECT doc_id, 'PKG-' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '/g' || (doc_id % 9) ELSE '' END AS ref FROM documents)""")
 def _(spark, sf):
-    r = F.struct(F.concat(F.lit("PKG-"), _I).alias("packageId"), F.when(_I % 2 == 0, F.concat(F.lit("g"), _I % 9)).alias("granuleId"), F.concat(F.lit("Act "), _I).alias("title"),
+    r = F.struct(F.concat(F.lit("PKG-"), _i()).alias("packageId"), F.when(_i() % 2 == 0, F.concat(F.lit("g"), _i() % 9)).alias("granuleId"), F.concat(F.lit("Act "), _i()).alias("title"),
                  F.lit("<p>a summary</p>").alias("summary"), F.lit("2023-01-02T00:00:00Z").alias("dateIssued"), F.lit("USCODE").alias("collectionCode"))
     return _hits(pv.publication_hits(_payload(_docs(spark, sf), r), keep=("doc_id",)))
 
@@ -91,10 +94,10 @@ def _(spark, sf):
 SELECT doc_id, 'sec_edgar' AS provider, '0001-24-' || doc_id || ':a.htm' AS ref, CASE WHEN doc_id % 6 = 0 THEN 'Unknown filer' ELSE 'Firm ' || doc_id END || ' — 10-K' AS title, '' AS snippet,
   'https://www.sec.gov/Archives/edgar/data/' || CASE WHEN doc_id % 6 = 0 THEN '' ELSE ltrim('000' || doc_id, '0') END || '/000124' || doc_id || '/a.htm' AS url, '2024-02-01' AS date, '10-K' AS badge FROM documents""")
 def _(spark, sf):
-    known = _I % 6 != 0
-    source = F.struct(F.when(known, F.array(F.concat(F.lit("Firm "), _I, F.lit("  (CIK 1)")))).alias("display_names"), F.lit("10-K").alias("file_type"),
-                      F.lit("2024-02-01").alias("file_date"), F.when(known, F.array(F.concat(F.lit("000"), _I))).alias("ciks"))
-    r = F.struct(F.concat(F.lit("0001-24-"), _I, F.lit(":a.htm")).alias("_id"), source.alias("_source"))
+    known = _i() % 6 != 0
+    source = F.struct(F.when(known, F.array(F.concat(F.lit("Firm "), _i(), F.lit("  (CIK 1)")))).alias("display_names"), F.lit("10-K").alias("file_type"),
+                      F.lit("2024-02-01").alias("file_date"), F.when(known, F.array(F.concat(F.lit("000"), _i()))).alias("ciks"))
+    r = F.struct(F.concat(F.lit("0001-24-"), _i(), F.lit(":a.htm")).alias("_id"), source.alias("_source"))
     return _hits(pv.filing_hits(_payload(_docs(spark, sf), r, "hits"), keep=("doc_id",)))
 
 
@@ -107,12 +110,12 @@ SELECT CAST(doc_id AS VARCHAR) AS ref, CASE WHEN text = '' THEN 'Hit ' || doc_id
   CASE WHEN text = '' THEN 'opinion_snippet' ELSE 'opinion' END AS doc_type, CASE WHEN used <> doc_id AND text <> '' THEN CAST(doc_id AS VARCHAR) END AS requested FROM t""")
 def _(spark, sf):
     d = _docs(spark, sf)
-    said = F.concat(F.lit("Opinion text "), _I)
-    ops = d.select(_I.alias("id"), F.floor(_I / 4).alias("cluster_id"), F.when(_I % 4 == 0, "040dissent").when(_I % 4 == 1, "020lead").when(_I % 4 == 3, "concurrence").alias("type"),
-                   _I.alias("position"), F.when((_I % 7 != 0) & (_I % 2 == 0), said).otherwise("").alias("plain_text"), F.lit(None).cast("string").alias("html_with_citations"),
-                   F.when((_I % 7 != 0) & (_I % 2 == 1), F.concat(F.lit("<p>"), said, F.lit("</p>"))).alias("html"), F.lit("").alias("html_lawbox"),
-                   F.lit(None).cast("string").alias("html_columbia"), F.lit(None).cast("string").alias("xml_harvard"), F.concat(F.lit("/o/"), _I).alias("absolute_url"))
-    requests = d.select(_I.cast("string").alias("ref"), F.concat(F.lit("Hit "), _I).alias("hit_title"), F.lit("2001").alias("hit_date"), F.lit("court").alias("hit_badge"),
+    said = F.concat(F.lit("Opinion text "), _i())
+    ops = d.select(_i().alias("id"), F.floor(_i() / 4).alias("cluster_id"), F.when(_i() % 4 == 0, "040dissent").when(_i() % 4 == 1, "020lead").when(_i() % 4 == 3, "concurrence").alias("type"),
+                   _i().alias("position"), F.when((_i() % 7 != 0) & (_i() % 2 == 0), said).otherwise("").alias("plain_text"), F.lit(None).cast("string").alias("html_with_citations"),
+                   F.when((_i() % 7 != 0) & (_i() % 2 == 1), F.concat(F.lit("<p>"), said, F.lit("</p>"))).alias("html"), F.lit("").alias("html_lawbox"),
+                   F.lit(None).cast("string").alias("html_columbia"), F.lit(None).cast("string").alias("xml_harvard"), F.concat(F.lit("/o/"), _i()).alias("absolute_url"))
+    requests = d.select(_i().cast("string").alias("ref"), F.concat(F.lit("Hit "), _i()).alias("hit_title"), F.lit("2001").alias("hit_date"), F.lit("court").alias("hit_badge"),
                         F.lit(" a snippet ").alias("hit_snippet"), F.lit("https://hit.example.org").alias("hit_url"))
     clusters = ops.select("cluster_id").distinct().withColumns({"case_name": F.concat(F.lit("Case "), "cluster_id"), "date_filed": F.lit("2001-02-03")})
     out = pv.case_law_documents(requests, ops, clusters)
@@ -127,16 +130,16 @@ UNION ALL SELECT 'govinfo', 'P-' || doc_id || '/g', 'Act ' || doc_id, CASE WHEN
 UNION ALL SELECT 'sec_edgar', '0001-24-' || doc_id || ':f.htm', 'Firm 10-K (2024-01-02)', 'filed ' || doc_id, 'https://www.sec.gov/Archives/edgar/data/77/000124' || doc_id || '/f.htm' FROM documents""")
 def _(spark, sf):
     d, none = _docs(spark, sf), F.lit(None).cast("string")
-    rules = d.select(F.concat(F.lit("2024-"), _I).alias("ref"), F.concat(F.lit("Rule "), _I).alias("title"), F.lit("the abstract").alias("abstract"), none.alias("html_url"),
-                     F.lit("2024-03-04").alias("publication_date"), F.lit("Rule").alias("type"), F.when(_I % 3 != 2, "u").alias("raw_text_url"),
-                     F.when(_I % 3 == 0, "<html><pre>a &lt; b</pre></html>").when(_I % 3 == 1, F.concat(F.lit("<p>plain "), _I, F.lit("</p>"))).alias("raw_text"))
-    code = d.select(F.concat(F.lit('{"title":"'), _I % 50 + 1, F.lit('","section":"'), _I, F.lit('.1"}')).alias("ref"),
-                    F.concat(F.lit("<DIV><HEAD>Head "), _I, F.lit("</HEAD><P>Body</P></DIV>")).alias("xml"))
-    titles = d.select((_I % 50 + 1).alias("number")).distinct().withColumn("latest_issue_date", F.lit("2024-07-01"))
-    acts = d.select(F.concat(F.lit("P-"), _I, F.lit("/g")).alias("ref"), F.concat(F.lit("Act "), _I).alias("title"), F.lit("USCODE").alias("collection"), F.lit("2023-01-02").alias("date_issued"),
-                    F.when(_I % 2 == 0, "<p>html text</p>").alias("htm"), F.lit("plain text").alias("txt"))
-    filings = d.select(F.concat(F.lit("0001-24-"), _I, F.lit(":f.htm")).alias("ref"), F.lit("0077").alias("cik"), F.lit("Firm").alias("company"), F.lit("10-K").alias("form"),
-                       F.lit("2024-01-02").alias("filed"), F.concat(F.lit("<div>filed "), _I, F.lit("</div>")).alias("body"))
+    rules = d.select(F.concat(F.lit("2024-"), _i()).alias("ref"), F.concat(F.lit("Rule "), _i()).alias("title"), F.lit("the abstract").alias("abstract"), none.alias("html_url"),
+                     F.lit("2024-03-04").alias("publication_date"), F.lit("Rule").alias("type"), F.when(_i() % 3 != 2, "u").alias("raw_text_url"),
+                     F.when(_i() % 3 == 0, "<html><pre>a &lt; b</pre></html>").when(_i() % 3 == 1, F.concat(F.lit("<p>plain "), _i(), F.lit("</p>"))).alias("raw_text"))
+    code = d.select(F.concat(F.lit('{"title":"'), _i() % 50 + 1, F.lit('","section":"'), _i(), F.lit('.1"}')).alias("ref"),
+                    F.concat(F.lit("<DIV><HEAD>Head "), _i(), F.lit("</HEAD><P>Body</P></DIV>")).alias("xml"))
+    titles = d.select((_i() % 50 + 1).alias("number")).distinct().withColumn("latest_issue_date", F.lit("2024-07-01"))
+    acts = d.select(F.concat(F.lit("P-"), _i(), F.lit("/g")).alias("ref"), F.concat(F.lit("Act "), _i()).alias("title"), F.lit("USCODE").alias("collection"), F.lit("2023-01-02").alias("date_issued"),
+                    F.when(_i() % 2 == 0, "<p>html text</p>").alias("htm"), F.lit("plain text").alias("txt"))
+    filings = d.select(F.concat(F.lit("0001-24-"), _i(), F.lit(":f.htm")).alias("ref"), F.lit("0077").alias("cik"), F.lit("Firm").alias("company"), F.lit("10-K").alias("form"),
+                       F.lit("2024-01-02").alias("filed"), F.concat(F.lit("<div>filed "), _i(), F.lit("</div>")).alias("body"))
     every = pv.all_documents(pv.rulemaking_documents(rules), pv.code_documents(code, titles).filter("error is null"), pv.publication_documents(acts), pv.filing_documents(filings))
     return every.select("provider", "ref", "title", "text", "source_uri")
 
@@ -145,9 +148,9 @@ def _cast_text(spark, sf):
     """A cast file per document: two people, the second in bold, and for every fourth file
     the experiment around them."""
     first = F.regexp_replace(F.substring(F.regexp_replace("text", r"[^A-Za-z ]", " "), 1, 60), r"\s+", " ")
-    head = F.when(_I % 4 == 0, F.concat(F.lit("# Scenario\nA dispute over "), _I, F.lit(".\n\n# Settings\n- Max turns: 1,0"), _I % 10, F.lit("\nWords per turn: 300\n\n# Source\nLink: https://example.org/a\n\n"))).otherwise("")
-    return _docs(spark, sf).select(F.format_string("f%09d.md", _I).alias("file"), F.concat(
-        F.lit("<!-- how to use -->\n"), head, F.lit("# Dana Reyes "), _I, F.lit("\n## Objectves\n"), first, F.lit("\n## Tendencies\n- listens\n  and waits\n- argues\n## Leverage\nmuch\n"
+    head = F.when(_i() % 4 == 0, F.concat(F.lit("# Scenario\nA dispute over "), _i(), F.lit(".\n\n# Settings\n- Max turns: 1,0"), _i() % 10, F.lit("\nWords per turn: 300\n\n# Source\nLink: https://example.org/a\n\n"))).otherwise("")
+    return _docs(spark, sf).select(F.format_string("f%09d.md", _i()).alias("file"), F.concat(
+        F.lit("<!-- how to use -->\n"), head, F.lit("# Dana Reyes "), _i(), F.lit("\n## Objectves\n"), first, F.lit("\n## Tendencies\n- listens\n  and waits\n- argues\n## Leverage\nmuch\n"
               "\n**Lee Park**\n## Role\nbuyer\nModel: Default\n## Case files\nNone\n## Played by\nA person.\n")).alias("text"))
 
 

@@ -62,7 +62,7 @@ def test_text_files(spark, tmp_path):
     (tmp_path / "blank.txt").write_text(" ")
     (tmp_path / "x.docx").write_bytes(b"PK")
     f = files.text_files(spark, str(tmp_path))
-    f = f.withColumn("document_id", F.when(F.col("source_uri") == "a note.md", 1).otherwise(2).cast("long")).withColumn("corpus", F.lit("L"))
+    f = f.withColumn("document_id", F.when(F.col("source_uri") == "a note.md", 1).otherwise(F.pmod(F.xxhash64("source_uri"), F.lit(1000003)) + 2)).withColumn("corpus", F.lit("L"))
     held = spark.createDataFrame([], "corpus string, sha256 string")
     got = {r.source_uri: (r.status, r.title, r.text) for r in files.ingest_split(f, held).collect()}
     assert got["a note.md"] == ("added", "a note", "Hello.") and got["same.txt"][0] == "refused" and got["blank.txt"][0] == "refused"

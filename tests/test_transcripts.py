@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import names, pacing, transcripts as op
 
-TEXT = ("Gov. Mark Gordon met Kate Gamble from Prism Logistics at the Wyoming Supreme Court. Prism and Gamble argued about true costs. "
+TEXT = ("Gov. Mark Gordon met Kate Gamble from Prism Logistics at the Wyoming Supreme Court. Prism argued that Gamble knew the true costs. "
         "Gordon’s aide spoke. The Department of Environmental Quality listened near Green River. Mary Ann Smith left.")
 
 
