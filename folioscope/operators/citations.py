@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
-from ..scale import best_per, with_position, with_running
+from ..scale import best_per, join_known, with_position, with_running
 from .retrieval import cite_label, library_label
 
 
@@ -125,12 +125,12 @@ def resolve_rows(citations: DataFrame, chunks: DataFrame, documents: DataFrame,
     """Citation rows with the document, library and version they point to; rows from before
     those were stored are resolved through their passage and the run's pins."""
     c = chunks.select("chunk_id", F.col("document_id").alias("__doc"))
-    r = citations.join(c, "chunk_id", "left").withColumn("__doc", F.when(F.col("document_id").isNull(), F.col("__doc")))
+    r = join_known(citations, c, ["chunk_id"], ["run_id", "position"]).withColumn("__doc", F.when(F.col("document_id").isNull(), F.col("__doc")))
     r = r.withColumn("doc_id", F.coalesce("document_id", "__doc"))
     d = documents.select(F.col("document_id").alias("__doc"), F.col("corpus").alias("__corpus"))
-    r = r.join(d, "__doc", "left").withColumn("library", F.coalesce("corpus", "__corpus"))
+    r = join_known(r, d, ["__doc"], ["run_id", "position"]).withColumn("library", F.coalesce("corpus", "__corpus"))
     pins = run_libraries.select("run_id", F.col("corpus").alias("library"), F.col("version").alias("__pin"))
-    return (r.join(pins, ["run_id", "library"], "left")
+    return (join_known(r, pins, ["run_id", "library"], ["run_id", "position"])
             .withColumn("library_version", F.coalesce("corpus_version", "__pin")).drop("__doc", "__corpus", "__pin"))
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
-from ..scale import best_per, pinned, with_position
+from ..scale import best_per, join_known, pinned, with_position
 from ..settings import DEFAULTS
 
 LIFE = ("added", "removed", "restored", "replaced", "moved")
@@ -48,7 +48,7 @@ def add_status(incoming: DataFrame, held: DataFrame) -> DataFrame:
     """Which incoming documents (`document_id`, `corpus`, `sha256`) a library takes: the
     first of each text in a batch, unless the library already holds that text."""
     first = incoming.groupBy("corpus", "sha256").agg(F.min("document_id").alias("document_id"))
-    new = first.join(held.select("corpus", "sha256").distinct(), ["corpus", "sha256"], "left_anti")
+    new = first.join(held.select("corpus", "sha256"), ["corpus", "sha256"], "left_anti")
     taken = new.select("document_id", F.lit(True).alias("__taken"))
     return (incoming.join(taken, "document_id", "left")
             .withColumn("status", F.when(F.col("__taken"), "added").otherwise("duplicate")).drop("__taken"))
@@ -78,7 +78,8 @@ def link_report(requests: DataFrame, reads: DataFrame, held: DataFrame,
         F.min("document_id").alias("by_link"))
     texts = held.groupBy("corpus", "sha256").agg(F.min("document_id").alias("by_text"))
     r = (requests.join(known, ["corpus", "link"], "left").join(reads, "link", "left")
-         .withColumn("sha256", tx.fingerprint(F.col("text"))).join(texts, ["corpus", "sha256"], "left"))
+         .withColumn("sha256", tx.fingerprint(F.col("text"))))
+    r = join_known(r, texts, ["corpus", "sha256"], ["request_id", "position"])
     could = F.col("by_link").isNull() & F.col("error").isNull() & F.col("by_text").isNull()
     # One text asked for twice is added once; ids order the requests.
     r = r.withColumn("order", F.struct("request_id", "position"))
@@ -98,8 +99,8 @@ def refresh_status(held: DataFrame, reads: DataFrame) -> DataFrame:
     `text`, `error`."""
     texts = held.filter("live").groupBy("corpus", F.col("sha256").alias("new_sha")).agg(
         F.min_by("title", "document_id").alias("same_as"))
-    d = (held.join(reads.select("link", "text", "error"), "link", "left")
-         .withColumn("new_sha", tx.fingerprint(F.col("text"))).join(texts, ["corpus", "new_sha"], "left"))
+    d = join_known(held, reads.select("link", "text", "error"), ["link"], ["document_id"])
+    d = join_known(d.withColumn("new_sha", tx.fingerprint(F.col("text"))), texts, ["corpus", "new_sha"], ["document_id"])
     # What is said about each outcome.
     status = (F.when(F.col("link").isNull(), "not_a_link").when(~F.col("live"), "error")
               .when(F.col("error").isNotNull() | F.col("text").isNull(), "error")
@@ -186,7 +187,7 @@ def describe_changes(before: DataFrame, after: DataFrame, links: DataFrame, hist
     gone = both.filter(F.col("is").isNull()).join(
         links.select("document_id", "replaced_by", "new_corpus"), "document_id", "left")
     successor = after.select("corpus", F.col("document_id").alias("replaced_by"), F.col("title").alias("successor"))
-    gone = gone.join(successor, ["corpus", "replaced_by"], "left")
+    gone = join_known(gone, successor, ["corpus", "replaced_by"], ["document_id"])
     kind = (F.when(F.col("replaced_by").isNotNull() & (F.col("new_corpus") != F.col("corpus")), "Moved")
             .when(F.col("successor").isNotNull(), "Updated").otherwise("Removed"))
     gone = gone.withColumn("kind", kind)

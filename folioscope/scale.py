@@ -47,6 +47,14 @@ def _ordered(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str])
                   .withColumn(_PART, F.shiftright(F.col(_ROW), 33)))
 
 
+def _with_parts(rows: DataFrame, parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with the totals of their (key, partition); a null key is a key like any other."""
+    on = [*keys, _PART]
+    named = parts.withColumnsRenamed({k: f"__scale_k{i}" for i, k in enumerate(on)})
+    match = [rows[k].eqNullSafe(named[f"__scale_k{i}"]) for i, k in enumerate(on)]
+    return rows.join(named, match).drop(*[f"__scale_k{i}" for i in range(len(on))])
+
+
 def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
                   name: str = "n") -> DataFrame:
     """`df` with `name` = 1, 2, 3, ... inside each key. `order` must be total within a key."""
@@ -56,7 +64,7 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
     before = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(*keys, _PART, "__scale_first",
                          F.coalesce(F.sum("__scale_n").over(before), F.lit(0)).alias("__scale_before"))
-    return (rows.join(parts, [*keys, _PART])
+    return (_with_parts(rows, parts, keys)
             .withColumn(name, F.col(_ROW) - F.col("__scale_first") + F.col("__scale_before") + 1)
             .drop(_ROW, _PART, "__scale_first", "__scale_before"))
 
@@ -81,7 +89,7 @@ def with_running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | st
     end = 0 if inclusive else -1
     local = (Window.partitionBy(*keys, _PART).orderBy(_ROW)
              .rowsBetween(Window.unboundedPreceding, end))
-    joined = rows.join(parts, [*keys, _PART])
+    joined = _with_parts(rows, parts, keys)
     out = {}
     for n, (how, _) in totals.items():
         here, prior = _COMBINE[how](values[n]).over(local), F.col(f"__scale_b_{values[n]}")
@@ -109,3 +117,13 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: Se
     salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
     copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.withColumn("__salt", salt).join(copies, [*on, "__salt"], how).drop("__salt")
+
+
+def join_known(left: DataFrame, right: DataFrame, on: Sequence[str], spread: Sequence[str], tasks: int = 1024) -> DataFrame:
+    """Left join where a key of many left rows may be null. Such rows match nothing, but all
+    would go to one task; here they are dealt out by hashing `spread`."""
+    unknown = F.lit(False)
+    for k in on:
+        unknown = unknown | F.col(k).isNull()
+    dealt = left.withColumn("__scale_deal", F.when(unknown, F.pmod(F.xxhash64(*spread), F.lit(tasks)).cast("int")).otherwise(-1))
+    return dealt.join(right.withColumn("__scale_deal", F.lit(-1)), [*on, "__scale_deal"], "left").drop("__scale_deal")

@@ -88,6 +88,7 @@ def add_documents(documents: DataFrame, held: DataFrame, path: str, checkpoint:
         if number:
             earlier = spark.read.option("basePath", path).parquet(path).filter((F.col("batch") < number) & (F.col("status") == "added"))
             before = before.unionByName(earlier.select("corpus", "sha256"))
+        before = before.join(batch.select("corpus", "sha256"), ["corpus", "sha256"], "left_semi")
         libraries.add_status(batch, before).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return _start(documents, checkpoint, write, "append")
@@ -101,8 +102,11 @@ def record_versions(changes: DataFrame, path: str, checkpoint: str) -> Streaming
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/log/batch={number}")
 
+        touched = batch.select("corpus").distinct()
+
         def kept(name, upto):
-            return spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}").filter(F.col("batch") <= upto).drop("batch")
+            rows = spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}").filter(F.col("batch") <= upto).drop("batch")
+            return rows.join(touched, "corpus", "left_semi")
 
         now = libraries.live(kept("log", number))
         if number:

@@ -120,3 +120,18 @@ def test_ids_of_a_cast(spark):
     df = spark.createDataFrame([(1, i, n) for i, n in enumerate(names)], "cast_id int, seat int, name string")
     got = [r.agent_id for r in op.assign_ids(df, ["cast_id"], ["seat"]).orderBy("seat").collect()]
     assert got == ["lee", "lee-2", "lee-2-2", "lee-3", "ann", "lee-2-3"]
+
+
+def test_ids_of_random_casts_against_the_rule(spark):
+    rng = random.Random(11)
+    names = [rng.choice(["x", "x 2", "x 3", "x 2 2", "y", "x 2 3", "y 2", "x 4"]) for _ in range(60)]
+    df = spark.createDataFrame([(1, i, n) for i, n in enumerate(names)], "cast_id int, seat int, name string")
+    got = [r.agent_id for r in op.assign_ids(df, ["cast_id"], ["seat"]).orderBy("seat").collect()]
+    used, want = set(), []
+    for n in names:
+        base, found, k = n.replace(" ", "-"), n.replace(" ", "-"), 2
+        while found in used:
+            found, k = f"{base}-{k}", k + 1
+        used.add(found)
+        want.append(found)
+    assert got == want
