@@ -200,3 +200,25 @@ def normalize_plan(plans: DataFrame, candidates: list[str], databases: bool, web
     question = tx.squeeze(F.coalesce("question", F.lit("")))
     return d.withColumns({"libraries": named, "question": F.when(question != "", question).otherwise(
         F.substring("brief", 1, 500)), "use_databases": F.lit(databases), "use_web": F.lit(web)})
+
+
+def research_settings(config: dict[str, Column]) -> dict[str, Column]:
+    """What a research run may use, from its merged settings: `choose_libraries`,
+    `use_databases`, `use_web`, the older `allow_network`, `named` libraries and
+    `time_limit_minutes`."""
+    legacy = F.coalesce(config["allow_network"], F.lit(False))
+    minutes = F.coalesce(F.nullif(config["time_limit_minutes"].try_cast("int"), F.lit(0)), F.lit(DEFAULTS.time_limit_min))
+    return {"choose_libraries": F.coalesce(config["choose_libraries"], F.size(config["named"]) == 0),
+            "use_databases": F.coalesce(config["use_databases"], legacy), "use_web": F.coalesce(config["use_web"], F.lit(False)),
+            "time_limit_minutes": tx.clamp(minutes, 5, DEFAULTS.time_limit_max)}
+
+
+def brief_of(description: Column, task: Column) -> Column:
+    """The research brief: a run's own task, else the experiment's description."""
+    return F.coalesce(F.nullif(tx.strip(task), F.lit("")), tx.strip(description), F.lit(""))
+
+
+def fetch_library(chosen: Column, experiment: Column) -> Column:
+    """The library a run saves what it reads into: the one chosen, or one of its own."""
+    own = F.concat(F.lit("Fetched: "), experiment)
+    return tx.tidy_name(F.when(tx.strip(F.coalesce(chosen, F.lit(""))) != "", chosen).otherwise(own))

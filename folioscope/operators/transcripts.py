@@ -41,6 +41,13 @@ def archive(messages: DataFrame, plan: DataFrame) -> DataFrame:
         "archived", F.coalesce("archived", F.lit(False)) | F.coalesce("__gone", F.lit(False))).drop("__gone")
 
 
+def long_term(memories: DataFrame) -> DataFrame:
+    """The long-term memories of each (run, agent) in the order they were made, with the
+    event or passage each came from."""
+    m = memories.select("run_id", "agent_id", "memory_id", "kind", "content", "source_event_id", "source_chunk_id")
+    return with_position(m, ["run_id", "agent_id"], ["memory_id"], "n")
+
+
 def prompts(requests: DataFrame, recalled: DataFrame, buffer: DataFrame) -> DataFrame:
     """The messages of a prompt in order: system text with recalled memories (a few, by
     `rank`), the buffer, the new message. `requests` has `system_prompt` and `query`."""
@@ -262,6 +269,15 @@ def visible_records(records: DataFrame, viewers: DataFrame) -> DataFrame:
     return j.filter((F.col("__rule") == "all") | ((F.col("__rule") == "own") & (F.col("owner") == F.col("viewer")))).drop("__rule")
 
 
+def public_entries(transcript: DataFrame, exhibits: DataFrame) -> DataFrame:
+    """What was said aloud: no private columns, and what each of a turn's own markers became
+    on record ("S2=E1"). A turn discloses a handful of passages."""
+    own = exhibits.groupBy("run_id", "turn", "agent_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+        F.struct("n", "from_marker", "marker"))), lambda x: F.concat(x["from_marker"], F.lit("="), x["marker"])), " ").alias("markers"))
+    e = transcript.select("run_id", "turn", "agent_id", "name", "content").join(own, ["run_id", "turn", "agent_id"], "left")
+    return e.withColumn("markers", F.coalesce("markers", F.lit("")))
+
+
 def private_briefs(agents: DataFrame) -> DataFrame:
     """Bottom line, confidential facts and case files of each agent that has any."""
     files = F.array_join("libraries", ", ")

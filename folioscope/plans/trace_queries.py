@@ -222,6 +222,24 @@ def _(spark, sf):
         "conv_id", "turn", "q.id", "q.question", F.array_join("q.look_in", ",").alias("look_in"), "libraries")
 
 
+@query("e15_research_settings", """
+SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN true WHEN c_custkey % 3 = 1 THEN false ELSE c_custkey % 2 = 0 END AS choose_libraries,
+  CASE WHEN c_custkey % 5 = 0 THEN false ELSE c_custkey % 7 = 0 END AS use_databases, c_custkey % 4 = 0 AS use_web,
+  CASE WHEN c_custkey % 6 = 0 THEN 120 ELSE greatest(5, least(c_custkey, 1440)) END AS time_limit_minutes,
+  CASE WHEN c_custkey % 2 = 0 THEN 'a task' ELSE 'about ' || c_name END AS brief,
+  CASE WHEN c_custkey % 3 = 0 THEN 'Kept pages' ELSE 'Fetched: ' || c_name END AS fetch_library FROM customer""")
+def _(spark, sf):
+    c = ad.table(spark, sf, "customer")
+    i = F.col("c_custkey")
+    s = op.research_settings({
+        "choose_libraries": F.when(i % 3 < 2, i % 3 == 0), "use_databases": F.when(i % 5 == 0, False), "use_web": F.when(i % 4 == 0, True),
+        "allow_network": F.when(i % 7 == 0, True), "named": F.when(i % 2 == 0, F.expr("cast(array() as array<string>)")).otherwise(F.array(F.lit("src1"))),
+        "time_limit_minutes": F.when(i % 6 == 0, "soon").otherwise(i.cast("string"))})
+    return c.select("c_custkey", *[v.alias(k) for k, v in s.items()],
+                    op.brief_of(F.concat(F.lit(" about "), "c_name"), F.when(i % 2 == 0, " a task ").otherwise(" ")).alias("brief"),
+                    op.fetch_library(F.when(i % 3 == 0, "  Kept   pages").when(i % 3 == 1, " "), F.col("c_name")).alias("fetch_library"))
+
+
 # ------------------------------------------------------------------ schema rules
 
 @query("q1_value_checks", """

@@ -64,6 +64,17 @@ def _(spark, sf):
     return op.prompts(asked, known.select("run_id", "agent_id", "x.*"), op.short_term(m)).select("run_id", "agent_id", "role", "content", "n")
 
 
+@query("r5_memory_list", """
+SELECT 'c' || label AS agent_id, vec_id AS memory_id, CASE WHEN vec_id % 4 = 0 THEN 'fact' ELSE 'summary' END AS kind, vec_id * 2 AS source_event_id,
+  row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings""")
+def _(spark, sf):
+    c = ad.chunks(spark, sf)
+    m = c.select(F.lit(1).alias("run_id"), F.col("corpus").alias("agent_id"), F.col("chunk_id").alias("memory_id"), F.when(
+        F.col("chunk_id") % 4 == 0, "fact").otherwise("summary").alias("kind"), "content", (F.col("chunk_id") * 2).alias("source_event_id"),
+        F.lit(None).cast("long").alias("source_chunk_id"))
+    return op.long_term(m).select("agent_id", "memory_id", "kind", "source_event_id", "n")
+
+
 _SEATS = [("user", 0), ("assistant", 1), ("system", 2), ("observer", 3)]
 view("v_roster", "SELECT run_id, agent_id, seat FROM (SELECT DISTINCT run_id FROM v_transcript), (VALUES ('user', 0), ('assistant', 1), ('system', 2), ('observer', 3)) x(agent_id, seat)")
 
@@ -213,6 +224,23 @@ def _(spark, sf):
     return op.visible_records(rec, viewers).select("run_id", "turn", "kind", "viewer")
 
 
+@query("m13_public_entries", """
+SELECT t.run_id, t.turn, t.name, coalesce((SELECT string_agg('S' || rank || '=E' || n, ' ' ORDER BY n) FROM v_exhibits e WHERE e.run_id = t.run_id AND e.turn = t.turn), '') AS markers FROM v_turns t""")
+def _(spark, sf):
+    from .citation_queries import _exhibits, _turns
+    return op.public_entries(_turns(spark, sf), _exhibits(spark, sf)).select("run_id", "turn", "name", "markers")
+
+
+@query("m13_private_briefs", """
+SELECT c_custkey, '- ' || c_name || ': ' || concat_ws('; ', CASE WHEN c_custkey % 2 = 0 THEN 'bottom line: ' || c_nationkey END, CASE WHEN c_custkey % 3 = 0 THEN 'confidential: ' || c_mktsegment END,
+  CASE WHEN c_custkey % 5 = 0 THEN 'own case files: src1, src2' END) AS brief FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0 OR c_custkey % 5 = 0""")
+def _(spark, sf):
+    i = F.col("c_custkey")
+    a = ad.table(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("name"), F.when(i % 2 == 0, F.col("c_nationkey").cast("string")).alias("bottom_line"),
+                                               F.when(i % 3 == 0, F.col("c_mktsegment")).alias("confidential"), F.when(i % 5 == 0, F.array(F.lit("src1"), F.lit("src2"))).alias("libraries"))
+    return op.private_briefs(a).select("c_custkey", "brief")
+
+
 @query("m14_compacted_results", """
 WITH m AS (SELECT run_id, turn AS position, CASE WHEN turn % 2 = 1 THEN 'tool' ELSE 'assistant' END AS role,
     'Read it.' || chr(10) || chr(10) || '[3] Title A, p. 4' || chr(10) || content || chr(10) || '[5] Title B' || chr(10) || '[3] Title C' AS content FROM v_transcript),
