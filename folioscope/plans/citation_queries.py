@@ -179,7 +179,7 @@ SELECT document_id, corpus, title, CASE document_id % 8 WHEN 6 THEN 'brief.pdf'
   strftime(created_at, '%B %-d, %Y') AS read_on, document_id % 8 AS form FROM v_documents""")
 _T = "rtrim(regexp_replace(trim(title), '\\s+', ' ', 'g'), '.,;')"
 _FORMS = f"""CASE form
- WHEN 0 THEN trim(regexp_replace(trim(title), '\\s+', ' ', 'g')) || ' (D. Wyo., November 18, 1994). CourtListener, opinion no. ' || document_id || ', retrieved May 6, 2024.'
+ WHEN 0 THEN trim(regexp_replace(trim(title), '\\s+', ' ', 'g')) || ' (D. Mont., November 18, 1994). CourtListener, opinion no. ' || document_id || ', retrieved May 6, 2024.'
  WHEN 1 THEN '40 CFR § 262.20 — ' || {_T} || '. eCFR, current as of July 1, 2024, retrieved ' || read_on || '.'
  WHEN 2 THEN {_T} || '. Federal Register document 2024-' || document_id || ' (Rule, published March 4, 2024), abstract only, retrieved ' || read_on || '.'
  WHEN 3 THEN {_T} || '. govinfo, USCODE, issued January 2, 2023, package P-' || document_id || ', retrieved ' || read_on || '.'
@@ -197,7 +197,7 @@ def _cited_documents(spark, sf):
     def facts(**kv):
         return F.create_map(*[x for k, v in kv.items() for x in (F.lit(k), v if not isinstance(v, str) else F.lit(v))])
 
-    meta = (F.when(i % 8 == 0, facts(provider="courtlistener", court="D. Wyo.", date_filed="1994-11-18",
+    meta = (F.when(i % 8 == 0, facts(provider="courtlistener", court="D. Mont.", date_filed="1994-11-18",
                                      opinion_id=i.cast("string"), retrieved_at="2024-05-06T10:00:00"))
             .when(i % 8 == 1, facts(provider="ecfr", citation="40 CFR § 262.20", as_of="2024-07-01"))
             .when(i % 8 == 2, facts(provider="federal_register", document_number=F.concat(F.lit("2024-"), i), type="Rule",

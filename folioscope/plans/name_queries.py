@@ -10,8 +10,8 @@ from .document_queries import squeeze
 from .registry import query
 
 # Every document is given a sentence that names people, a body and a firm.
-_LEAD = ("Gov. Mark Gordon met Kate Gamble of Prism Logistics at the Wyoming Supreme Court. Prism and Gamble argued; "
-         "Gordon’s aide, Ann Lee-Price, agreed. ")
+_LEAD = ("Gov. Alan Brook met Nora Finch of Cobalt Logistics at the Montana Supreme Court. Cobalt and Finch argued; "
+         "Brook’s aide, Ann Lee-Price, agreed. ")
 
 
 def _sources(spark, sf):
@@ -21,8 +21,8 @@ def _sources(spark, sf):
 
 
 def _labels(spark, sf):
-    rows = [("Mark Gordon", "person", "Alan Reed"), ("Kate Gamble", "person", "Joan"), ("Prism", "company", "Vertex Freight"),
-            ("Wyoming Supreme Court", "company", "Some Court"), ("Supreme Court", "company", "Other Court")]
+    rows = [("Alan Brook", "person", "Piers Reed"), ("Nora Finch", "person", "Joan"), ("Cobalt", "company", "Vertex Freight"),
+            ("Montana Supreme Court", "company", "Some Court"), ("Supreme Court", "company", "Other Court")]
     return _sources(spark, sf).select("doc_id", F.posexplode(F.array(*[F.struct(F.lit(a).alias("label"), F.lit(k).alias("kind"), F.lit(i).alias("invented"))
                                                                      for a, k, i in rows])).alias("pos", "x")).select("doc_id", "pos", "x.*")
 

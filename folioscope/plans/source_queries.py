@@ -46,10 +46,10 @@ _LEAD = """CASE WHEN doc_id % 3 = 0 AND doc_id % 4 = 0 THEN doc_id * 10 + 2 WHEN
 
 @query("s3_case_law_hits", rf"""
 SELECT doc_id, 'courtlistener' AS provider, CAST({_LEAD} AS VARCHAR) AS ref, CASE WHEN doc_id % 5 = 0 THEN 'Opinion ' || ({_LEAD}) ELSE 'Case ' || doc_id END AS title,
-  regexp_replace(regexp_replace(regexp_replace(' ' || left(text, 30) || ' ', '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS snippet, 'https://www.courtlistener.com/o/' || doc_id AS url, '2001-02-03' AS date, 'D. Wyo.' AS badge FROM documents""")
+  regexp_replace(regexp_replace(regexp_replace(' ' || left(text, 30) || ' ', '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS snippet, 'https://www.courtlistener.com/o/' || doc_id AS url, '2001-02-03' AS date, 'D. Mont.' AS badge FROM documents""")
 def _(spark, sf):
     r = F.struct(F.when(_i() % 5 != 0, F.concat(F.lit("Case "), _i())).otherwise("").alias("caseName"), F.concat(F.lit("/o/"), _i()).alias("absolute_url"),
-                 F.lit("2001-02-03").alias("dateFiled"), F.lit("D. Wyo.").alias("court"), _opinions().alias("opinions"))
+                 F.lit("2001-02-03").alias("dateFiled"), F.lit("D. Mont.").alias("court"), _opinions().alias("opinions"))
     return _hits(pv.case_law_hits(_payload(_docs(spark, sf), r), keep=("doc_id",)))
 
 

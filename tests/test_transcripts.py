@@ -2,8 +2,8 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import names, pacing, transcripts as op
 
-TEXT = ("Gov. Mark Gordon met Kate Gamble from Prism Logistics at the Wyoming Supreme Court. Prism argued that Gamble knew the true costs. "
-        "Gordon’s aide spoke. The Department of Environmental Quality listened near Green River. Mary Ann Smith left.")
+TEXT = ("Gov. Alan Brook met Nora Finch from Cobalt Logistics at the Montana Supreme Court. Cobalt argued that Finch knew the true costs. "
+        "Brook’s aide spoke. The Department of Environmental Quality listened near Green River. Mary Ann Smith left.")
 
 
 def turns(spark, *rows):
@@ -70,34 +70,34 @@ def test_who_sees_what(spark):
 def test_name_candidates(spark):
     d = spark.createDataFrame([(TEXT,)], "t string")
     got = d.select(names.name_candidates(F.col("t")).alias("n")).first().n
-    for n in ("Mark Gordon", "Kate Gamble", "Prism Logistics", "Prism", "Gamble", "Gordon", "Department of Environmental Quality", "Green River"):
+    for n in ("Alan Brook", "Nora Finch", "Cobalt Logistics", "Cobalt", "Finch", "Brook", "Department of Environmental Quality", "Green River"):
         assert n in got, n
     assert "The" not in got and len(got) == len(set(got))
-    core = {n: d.select(names.person_core(F.lit(n)).alias("c")).first().c for n in ("Gov. Mark Gordon", "Public Instruction Megan Degenfelder", "Mary Ann Smith", "Gordon")}
-    assert core == {"Gov. Mark Gordon": "Mark Gordon", "Public Instruction Megan Degenfelder": "Megan Degenfelder", "Mary Ann Smith": "Mary Ann Smith", "Gordon": ""}
+    core = {n: d.select(names.person_core(F.lit(n)).alias("c")).first().c for n in ("Gov. Alan Brook", "Public Instruction Ruth Ellison", "Mary Ann Smith", "Brook")}
+    assert core == {"Gov. Alan Brook": "Alan Brook", "Public Instruction Ruth Ellison": "Ruth Ellison", "Mary Ann Smith": "Mary Ann Smith", "Brook": ""}
 
 
 def test_substitutions(spark):
     src = spark.createDataFrame([(1, TEXT)], "doc_id long, text string")
-    labels = spark.createDataFrame([(1, 0, "Kate Gamble", "person", "Joan Ames"), (1, 1, "Prism", "company", "Vertex"), (1, 2, "Wyoming Supreme Court", "company", "Some Court"),
-                                    (1, 3, "Environmental Quality", "company", "Fake Agency"), (1, 4, "Mark Gordon", "person", "")],
+    labels = spark.createDataFrame([(1, 0, "Nora Finch", "person", "Joan Ames"), (1, 1, "Cobalt", "company", "Vertex"), (1, 2, "Montana Supreme Court", "company", "Some Court"),
+                                    (1, 3, "Environmental Quality", "company", "Fake Agency"), (1, 4, "Alan Brook", "person", "")],
                                    "doc_id long, pos int, label string, kind string, invented string")
-    forced = spark.createDataFrame([(1, "Mark Gordon")], "doc_id long, name string")
+    forced = spark.createDataFrame([(1, "Alan Brook")], "doc_id long, name string")
     pairs = names.substitutions(labels, src, forced)
     got = {r.real: (r.invented, r.full) for r in pairs.collect()}
-    assert got["Kate Gamble"] == ("Joan Ames", True) and got["Gamble"] == ("Ames", False)
-    assert got["Prism"] == ("Vertex", False) and got["Prism Logistics"] == ("Vertex Logistics", True)
-    assert "Wyoming Supreme Court" not in got and "Environmental Quality" not in got
-    made = got["Mark Gordon"][0]
-    assert len(made.split()) == 2 and got["Gordon"][0] == made.split()[1]
+    assert got["Nora Finch"] == ("Joan Ames", True) and got["Finch"] == ("Ames", False)
+    assert got["Cobalt"] == ("Vertex", False) and got["Cobalt Logistics"] == ("Vertex Logistics", True)
+    assert "Montana Supreme Court" not in got and "Environmental Quality" not in got
+    made = got["Alan Brook"][0]
+    assert len(made.split()) == 2 and got["Brook"][0] == made.split()[1]
     text = names.apply_substitutions(src, pairs).first().text
-    assert "Gamble" not in text and "Gordon" not in text and "Vertex Logistics" in text and "Wyoming Supreme Court" in text and "true costs" in text
-    assert {r.real for r in names.renamed_for_display(pairs).collect()} == {"Kate Gamble", "Mark Gordon", "Prism Logistics"}
+    assert "Finch" not in text and "Brook" not in text and "Vertex Logistics" in text and "Montana Supreme Court" in text and "true costs" in text
+    assert {r.real for r in names.renamed_for_display(pairs).collect()} == {"Nora Finch", "Alan Brook", "Cobalt Logistics"}
 
 
 def test_fallback_names_follow_the_digest(spark):
     import hashlib
-    for real in ("Mark Gordon", "Ann Lee"):
+    for real in ("Alan Brook", "Ann Lee"):
         h = int(hashlib.sha256(real.encode()).hexdigest(), 16)
         want = f"{names.FIRST_NAMES[h % 20]} {names.SURNAMES[(h // 97) % 20]}"
         assert spark.range(1).select(names.fallback_name(F.lit(real)).alias("x")).first().x == want
