@@ -6,11 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, mixing, url_filter
+from . import embedding_dedup, html_text, mixing, quality, secrets, url_filter
 from .common import table
 from .oracles import SQL as SQL  # noqa: PLC0414 - part of this module's interface
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = secrets.train(secrets.labelled_samples(docs))
+    return secrets.digest(secrets.find_secrets(docs, model))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -24,4 +38,4 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op8_url_filter, op9_source_mix, op10_embedding_dedup)}
+    f.__name__: f for f in (op1_secret_scan, op4_html_text, op5_quality, op8_url_filter, op9_source_mix, op10_embedding_dedup)}
