@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import embedding_dedup, html_text, mixing, quality, secrets, url_filter
+from . import embedding_dedup, html_text, line_dedup, mixing, quality, secrets, url_filter
 from .common import table
 from .oracles import SQL as SQL  # noqa: PLC0414 - part of this module's interface
 
@@ -17,6 +17,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(docs, model))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    text = F.coalesce("__kept_text", F.lit(""))
+    return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -38,4 +44,4 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op4_html_text, op5_quality, op8_url_filter, op9_source_mix, op10_embedding_dedup)}
+    f.__name__: f for f in (op1_secret_scan, op3_line_dedup, op4_html_text, op5_quality, op8_url_filter, op9_source_mix, op10_embedding_dedup)}
