@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..scale import ensure_checkpoint_dir
 
@@ -27,6 +27,13 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """`df` with a column that is computed once for each row. The optimizer merges projections, and
+    a lambda that refers to a merged column would compute it again for each element; it does not
+    merge across a generator."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def groups(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected groups of the links (a, b) between long ids: (id, root), root the least id of
     the group, for every id that has a link to another.

@@ -11,6 +11,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import held
+
 #: The patterns, in the order of their kinds. A match counts from so many characters of its group on.
 PATTERNS = (
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
@@ -24,36 +26,55 @@ SAMPLE_ROWS = 4_000          # about so many documents give the labelled samples
 MARGIN = 0.5                 # nats for each character
 KINDS = (*[p[0] for p in PATTERNS], "markov")
 _N = len(ALPHABET) + 1       # state 0: before the first character
-_MATCH = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
-
 
-def _running(lens: Column) -> Column:
-    """Running sums of an array, in two levels so that a text with very many matches stays cheap."""
-    n = F.size(lens)
-    step = F.greatest(F.lit(1), F.ceil(F.sqrt(n.cast("double"))).cast("int"))
-    add = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x)      # noqa: E731
-    blocks = F.sequence(F.lit(0), F.ceil(n / step).cast("int") - 1)
-    sums = F.transform(blocks, lambda b: add(F.slice(lens, b * step + 1, step)))
-    return F.flatten(F.transform(blocks, lambda b: F.transform(
-        F.sequence(F.lit(1), F.least(step, n - b * step)),
-        lambda k: add(F.slice(sums, 1, b)) + add(F.slice(lens, b * step + 1, k)))))
 
+def _sum(part: Column) -> Column:
+    return F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x)
 
-def _matches(text: Column, pattern: str, group: int, least: int, kind: int) -> Column:
-    """Leftmost non-overlapping matches with their places in code points. The parts between
-    matches and the matches take turns, so places are running sums of their lengths."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    before = F.transform(found, lambda m, i: (F.length(F.get(between, i)) + F.coalesce(F.length(F.get(found, i - 1)), F.lit(0))).cast("long"))
-    spans = F.zip_with(F.arrays_zip(_running(before).alias("start"), found.alias("found")), value, lambda s, v: F.struct(
-        s["start"].alias("start"), F.lit(kind).alias("kind"), (s["start"] + F.length(s["found"])).cast("long").alias("end"), v.alias("value")))
-    return F.when(text.rlike(pattern), F.filter(spans, lambda s: F.length(s["value"]) >= least)).otherwise(F.expr(f"cast(array() as {_MATCH})"))
 
+def with_matches(df: DataFrame, text: Column, patterns: tuple, name: str) -> DataFrame:
+    """`df` with `name`: for each pattern its leftmost non-overlapping matches that are long
+    enough, as an array of (start, kind, end, value) in code points; all in one array by start,
+    then kind.
 
-def base_spans(text: Column) -> Column:
-    """Spans of the fixed patterns by start, then kind: start, kind, end, value (the secret itself)."""
-    return F.array_sort(F.concat(*[_matches(text, p, group, least, k) for k, (_, p, group, least) in enumerate(PATTERNS)]))
+    The parts between matches and the matches take turns, so places are running sums of their
+    lengths. The sums go in two levels, so that a text with very many matches stays cheap.
+    """
+    df = held(df, "__hits", F.struct(*[text.rlike(pattern).alias(f"hit{k}") for k, (_, pattern, _, _) in enumerate(patterns)]))
+    cut = []
+    for k, (_, pattern, group, _) in enumerate(patterns):
+        hit = F.col(f"__hits.hit{k}")
+        found = F.when(hit, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+        own = F.when(hit, F.regexp_extract_all(text, F.lit(pattern), F.lit(group))) if group else found
+        lens = F.zip_with(F.split(text, pattern, -1), F.concat(F.array(F.lit("")), found), lambda between, before: (F.length(between) + F.length(before)).cast("long"))
+        cut += [found.alias(f"found{k}"), own.alias(f"own{k}"), F.when(hit, lens).alias(f"lens{k}")]
+    df = held(df, "__cut", F.struct(*cut))
+    df = held(df, "__sums", F.struct(*[_block_sums(F.col(f"__cut.lens{k}")).alias(f"sums{k}") for k in range(len(patterns))]))
+    spans = [_spans(F.col(f"__cut.found{k}"), F.col(f"__cut.own{k}"), F.col(f"__cut.lens{k}"), F.col(f"__sums.sums{k}"), k, least)
+             for k, (_, _, _, least) in enumerate(patterns)]
+    return held(df, name, F.array_sort(F.concat(*spans))).drop("__hits", "__cut", "__sums")
+
+
+def _blocks(lens: Column) -> tuple[Column, Column]:
+    """The size of a block of the lengths, and the numbers of the blocks."""
+    step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(lens).cast("double"))).cast("int"))
+    return step, F.sequence(F.lit(0), F.ceil(F.size(lens) / step).cast("int") - 1)
+
+
+def _block_sums(lens: Column) -> Column:
+    step, blocks = _blocks(lens)
+    return F.when(lens.isNotNull(), F.transform(blocks, lambda b: _sum(F.slice(lens, b * step + 1, step))))
+
+
+def _spans(found: Column, own: Column, lens: Column, sums: Column, kind: int, least: int) -> Column:
+    step, blocks = _blocks(lens)
+    starts = F.flatten(F.transform(blocks, lambda b: F.transform(
+        F.sequence(F.lit(1), F.least(step, F.size(lens) - b * step)),
+        lambda n: _sum(F.slice(sums, F.lit(1), b)) + _sum(F.slice(lens, b * step + 1, n)))))
+    marks = F.transform(F.arrays_zip(F.slice(starts, F.lit(1), F.size(found)).alias("start"), found.alias("found"), own.alias("value")), lambda s: F.struct(
+        s["start"].alias("start"), F.lit(kind).alias("kind"), (s["start"] + F.length(s["found"])).cast("long").alias("end"), s["value"].alias("value")))
+    none = F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint,value:string>>)")
+    return F.when(found.isNotNull(), F.filter(marks, lambda s: F.length(s["value"]) >= least)).otherwise(none)
 
 
 def labelled_samples(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -61,7 +82,7 @@ def labelled_samples(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE
     the fixed patterns, and words of the texts without any."""
     share = max(1, docs.count() // rows)
     some = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(share)) == 0)
-    some = some.withColumn("spans", base_spans(F.col("t")))
+    some = with_matches(some, F.col("t"), PATTERNS, "spans")
     words = F.when(F.size("spans") == 0, F.array_distinct(F.regexp_extract_all("t", F.lit(WORD_SAMPLE), F.lit(0))))
     return (some.select(F.explode(F.transform("spans", lambda s: s["value"])).alias("token"), F.lit(True).alias("secret"))
             .unionByName(some.select(F.explode(words).alias("token"), F.lit(False).alias("secret"))))
@@ -102,11 +123,12 @@ def find_secrets(docs: DataFrame, model: list[float], id_col: str = "doc_id", te
     rows that repeat come out as often as they come in; other columns are not read.
     """
     found = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    found = found.withColumn("__base", base_spans(F.col("__text")))
-    tokens = _matches(F.col("__text"), TOKEN, 0, 16, len(PATTERNS))
-    free = F.filter(tokens, lambda t: ~F.exists("__base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-                    & t["value"].rlike("[0-9]") & t["value"].rlike("[A-Za-z]") & (ratio(t["value"], model) >= F.length(t["value"]) * margin))
-    return found.select(F.col(id_col), F.array_sort(F.concat("__base", free)).alias("secrets"))
+    found = with_matches(found, F.col("__text"), (*PATTERNS, ("markov", TOKEN, 0, 16)), "__spans").drop("__text")
+    kind = len(PATTERNS)
+    found = held(found, "__base", F.filter("__spans", lambda s: s["kind"] < kind))
+    free = lambda t: (~F.exists("__base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))                  # noqa: E731
+                      & t["value"].rlike("[0-9]") & t["value"].rlike("[A-Za-z]") & (ratio(t["value"], model) >= F.length(t["value"]) * margin))
+    return found.select(F.col(id_col), F.filter("__spans", lambda t: F.when(t["kind"] < kind, True).otherwise(free(t))).alias("secrets"))
 
 
 def _joined(spans: Column) -> Column:
@@ -116,6 +138,7 @@ def _joined(spans: Column) -> Column:
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Counts of each kind, the digest of the fixed patterns' spans, and all spans as text."""
+    found = held(found, "secrets_", F.col("secrets")).drop("secrets").withColumnRenamed("secrets_", "secrets")
     count = lambda k: F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("long")     # noqa: E731
     base = F.filter("secrets", lambda s: s["kind"] < len(PATTERNS))
     return found.select(id_col, *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)],
