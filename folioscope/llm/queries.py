@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, embedding_dedup, html_text, line_dedup, mixing, quality, secrets, url_filter
+from . import decontaminate, embedding_dedup, html_text, jaccard_join, line_dedup, mixing, quality, secrets, url_filter
 from .common import table
 from .oracles import SQL as SQL  # noqa: PLC0414 - part of this module's interface
 
@@ -31,6 +31,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_similar(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,4 +52,4 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op3_line_dedup, op4_html_text, op5_quality, op7_decontaminate, op8_url_filter, op9_source_mix, op10_embedding_dedup)}
+    f.__name__: f for f in (op1_secret_scan, op3_line_dedup, op4_html_text, op5_quality, op6_jaccard_join, op7_decontaminate, op8_url_filter, op9_source_mix, op10_embedding_dedup)}
