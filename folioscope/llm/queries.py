@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, embedding_dedup, html_text, jaccard_join, line_dedup, mixing, quality, secrets, url_filter
+from . import decontaminate, embedding_dedup, html_text, jaccard_join, line_dedup, mixing, quality, secrets, suffix_dedup, url_filter
 from .common import table
 from .oracles import SQL as SQL  # noqa: PLC0414 - part of this module's interface
 
@@ -17,6 +17,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(docs, model))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     text = F.coalesce("__kept_text", F.lit(""))
@@ -52,4 +56,4 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op3_line_dedup, op4_html_text, op5_quality, op6_jaccard_join, op7_decontaminate, op8_url_filter, op9_source_mix, op10_embedding_dedup)}
+    f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_line_dedup, op4_html_text, op5_quality, op6_jaccard_join, op7_decontaminate, op8_url_filter, op9_source_mix, op10_embedding_dedup)}
