@@ -9,7 +9,8 @@ document go over the regions of its first pivots: any two linked documents meet
 Regions are then joined, exactly. First every document meets one leader, the least document of its
 regions; links found make groups. A region whose documents are all in one group is done. The
 others are joined again, only between documents of different groups, so a large group of near
-copies costs a row for each copy. Links are verified on the whole sets. Equal sets are one
+copies costs a row for each copy. A pair that shares too few pivots in its windows to be linked
+is dropped; links of the others are verified on the whole sets. Equal sets are one
 document until the end.
 
 Pivots that very many documents hold come last in the order. They are found on a bounded sample;
@@ -22,15 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import groups, stored
 from .hashing import Runs, mixed, pieces
 
 WORDS = 5
 PERCENT = 80
-SAMPLE_ROWS = 8_192          # about so many documents show which pivots are common
-COMMON = 4                   # documents of the sample that hold a common pivot
+SAMPLE_ROWS = 4_096          # about so many documents show which pivots are common
+COMMON = 3                   # documents of the sample that hold a common pivot
 _BROADCAST_ROWS = 1_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -124,18 +125,31 @@ def _regions(described: DataFrame, buckets: int) -> DataFrame:
     return packed.groupBy("bucket").applyInPandas(meet, "pivot long, id long, n long")
 
 
+def _least_shared(percent: int) -> Column:
+    """How many pivots two linked documents of sizes n and n2 share at least in their windows.
+
+    Their intersection is at least `o`. Of the window of the one whose window ends first, at most
+    n - o pivots are missing in the other set, and the rest are in the other's window too."""
+    o = F.ceil(percent * (F.col("n") + F.col("n2")) / (100 + percent))
+    shared = [n - F.ceil(n * percent / 100) + 1 - (n - o) for n in (F.col("n"), F.col("n2"))]
+    return F.greatest(F.lit(1), F.least(*shared))
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are linked, by the sizes of their intersection and union. The
-    sets of the documents asked for are made again from their texts; b's travel to a's."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= _BROADCAST_ROWS else wanted
+    sets are made again from the texts of the documents asked for; b's set travels to a's."""
+    few = pairs.count() <= _BROADCAST_ROWS
 
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "set": [s.tobytes() for s in shingle_sets(pdf["text"].tolist())]})
+    def sets(wanted: DataFrame, fields: str) -> DataFrame:
+        def run(batches):
+            for pdf in batches:
+                yield pdf.drop(columns=["id", "text"]).assign(set=[s.tobytes() for s in shingle_sets(pdf["text"].tolist())])
+        wanted = F.broadcast(wanted) if few else wanted
+        return docs.join(wanted, docs["id"] == F.col("wanted")).drop("wanted").mapInPandas(run, fields)
 
-    sets = stored(docs.join(wanted, docs["id"] == F.col("wanted")).select("id", "text").mapInPandas(run, "id long, set binary").dropDuplicates(["id"]))
-    rows = pairs.join(sets.withColumnsRenamed({"id": "b", "set": "set_b"}), "b").join(sets.withColumnsRenamed({"id": "a", "set": "set_a"}), "a")
+    left = sets(pairs.select(F.col("a").alias("wanted"), "a").distinct(), "a long, set binary").withColumnRenamed("set", "set_a")
+    right = sets(pairs.select(F.col("b").alias("wanted"), "a", "b"), "a long, b long, set binary").withColumnsRenamed({"a": "a2", "set": "set_b"})
+    rows = left.join(right, F.col("a") == F.col("a2"))
 
     def compare(batches):
         for pdf in batches:
@@ -175,15 +189,17 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     included).
 
     Ids are integers. Null, empty and blank texts have no shingles and are linked with nothing.
-    Of rows that repeat an id one counts, that of the least set; a null id comes out with a null
+    Of rows that repeat an id one counts, that of the least text; a null id comes out with a null
     component. No rows give no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    if texts.select("id").distinct().count() < texts.count():
+        texts = texts.groupBy("id").agg(F.min("text").alias("text"))
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     common = _common_pivots(texts, sample_rows)
     described = stored(_described(texts, common, buckets, percent))
-    whole = described.groupBy("id").agg(F.min(F.struct("print", "n")).alias("s")).select("id", F.col("s.print").alias("print"), F.col("s.n").alias("n"))
+    whole = described.select("id", "print", "n")
     # Equal sets: the least id stands for all.
     leads = stored(whole.filter("n > 0 AND id IS NOT NULL").groupBy("print").agg(F.min("id").alias("lead")))
     mine = described.join(F.broadcast(leads) if leads.count() <= _BROADCAST_ROWS // 4 else leads, "print").filter("id = lead").drop("lead", "print")
@@ -191,7 +207,9 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # One leader for each document: the least document it meets of a fitting size.
     fits = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
     least = regions.groupBy("pivot").agg(F.min(F.struct("id", "n")).alias("l")).select("pivot", F.col("l.id").alias("id2"), F.col("l.n").alias("n2"))
-    stars = regions.join(least, "pivot").filter((F.col("id2") < F.col("id")) & fits).groupBy(F.col("id").alias("b")).agg(F.min("id2").alias("a"))
+    stars = regions.join(least, "pivot").filter((F.col("id2") < F.col("id")) & fits).groupBy("id", "n", "id2", "n2").agg(F.count(F.lit(1)).alias("met"))
+    stars = stars.filter(F.col("met") >= _least_shared(percent)).groupBy(F.col("id").alias("b")).agg(F.max(F.struct("met", (-F.col("id2")).alias("of"))).alias("best"))
+    stars = stars.select((-F.col("best.of")).alias("a"), "b")
     linked = stored(_linked(stored(stars), texts, percent))
     root = groups(linked)
     known = regions.join(root.withColumnRenamed("id", "rid"), F.col("id") == F.col("rid"), "left").select("pivot", "id", "n", F.coalesce("root", "id").alias("g"))
@@ -199,7 +217,8 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = stored(known.join(mixed_regions, "pivot", "left_semi"))
     other = known.toDF("pivot2", "id2", "n2", "g2")
     rest = known.join(other, (F.col("pivot") == F.col("pivot2")) & (F.col("id") < F.col("id2")) & (F.col("g") != F.col("g2")) & fits)
-    rest = stored(rest.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct())
+    rest = rest.groupBy("id", "n", "id2", "n2").agg(F.count(F.lit(1)).alias("met")).filter(F.col("met") >= _least_shared(percent))
+    rest = stored(rest.select(F.col("id").alias("a"), F.col("id2").alias("b")))
     if not rest.isEmpty():
         root = groups(linked.unionByName(_linked(rest, texts, percent)))
     of_set = leads.join(root, leads["lead"] == root["id"], "left").select("print", F.coalesce("root", "lead").alias("component"))
