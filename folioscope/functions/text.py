@@ -100,8 +100,17 @@ def title_from_url(path: Column) -> Column:
 
 
 def first_words(c: Column, limit: int) -> Column:
-    """The first `limit` words with the breaks between them as they were."""
-    return F.regexp_extract(c, r"(?U)^(\s*(?:\S+\s+){0,%d}\S+)" % (limit - 1), 1)
+    """The first `limit` words with the breaks between them as they were; "" for blank text.
+    Words and breaks take turns, so a text of any number of words is put together in one go."""
+    body = strip(c)
+    breaks = F.regexp_extract_all(body, F.lit(r"(?U)\s+"), F.lit(0))
+    parts = F.zip_with(F.concat(F.array(F.regexp_extract(c, r"(?U)^\s*", 0)), F.slice(breaks, 1, limit - 1)), F.slice(F.split(body, r"(?U)\s+"), 1, limit), lambda gap, word: F.concat(gap, word))
+    return F.when(body == "", "").otherwise(F.array_join(parts, ""))
+
+
+def quoted(c: Column) -> Column:
+    """The text as a regular expression that matches itself, whatever it holds."""
+    return F.regexp_replace(c, r"([\\\[\](){}.*+?^$|])", r"\\$1")
 
 
 def truncate_words(c: Column, limit: int) -> Column:

@@ -149,14 +149,14 @@ def _(spark, sf):
 @query("t9_word_cap", rf"""
 WITH t AS (SELECT doc_id, {strip(r"regexp_replace(text, '[ \t]+', ' ', 'g')")} AS x FROM documents),
 w AS (SELECT *, {wc('x')} AS total_words FROM t)
-SELECT doc_id, total_words, least(total_words, 400) AS words, total_words > 400 AS truncated,
-  sha256(CASE WHEN total_words > 400 THEN regexp_extract(x, '^(?:\S+\s+){{399}}\S+') ELSE x END) AS text_sha,
+SELECT doc_id, total_words, least(total_words, 12000) AS words, total_words > 12000 AS truncated,
+  sha256(CASE WHEN total_words > 12000 THEN array_to_string(regexp_extract_all(x, '\s*\S+')[1:12000], '') ELSE x END) AS text_sha,
   CASE WHEN total_words = 0 THEN 'error' ELSE 'read' END AS status,
-  (CASE WHEN total_words > 400 THEN 1 ELSE 0 END) + (CASE WHEN least(total_words, 400) < 80 THEN 1 ELSE 0 END) AS warnings
+  (CASE WHEN total_words > 12000 THEN 1 ELSE 0 END) + (CASE WHEN least(total_words, 12000) < 80 THEN 1 ELSE 0 END) AS warnings
 FROM w""")
 def _(spark, sf):
     d = ad.table(spark, sf, "documents").select("doc_id", "text", F.lit("").alias("title"))
-    return op.finish(d, 400).select("doc_id", "total_words", "words", "truncated", F.sha2("text", 256).alias("text_sha"),
+    return op.finish(d).select("doc_id", "total_words", "words", "truncated", F.sha2("text", 256).alias("text_sha"),
                                     "status", F.size("warnings").alias("warnings"))
 
 
