@@ -42,10 +42,11 @@ _PLAIN = "<h1>Title</h1><p>Only a line.</p><p>And then a second text, which is a
 #: Parts that are content.
 MAINS = (
     f"<article data-main>{_BODY}</article>", f"<article data-main>{_PLAIN}</article>", f"<article data-main class='post entry'>{_BODY}</article>",
-    f"<main><article data-main>{_BODY}</article></main>", f"<main data-main role='main'>{_PLAIN}</main>", f"<main data-main>{_BODY}</main>",
+    f"<main data-main><article>{_BODY}</article></main>", f"<main data-main role='main'>{_PLAIN}</main>", f"<main data-main>{_BODY}</main>",
     f"<div data-main class='content article-body post-content entry-content story' id='content'>{_BODY}</div>",
     f"<div data-main id='main-content' class='text article'>{_PLAIN}</div>", f"<section data-main class='article story'>{_BODY}</section>",
     f"<div class='page wrapper container' id='page'><div class='row'><article data-main>{_BODY}</article></div></div>",
+    "<main data-main><h1>Title</h1><p>Only a line.</p></main>", "<article data-main><p>Only a line.</p></article>", "<article data-main><h1>Title</h1><p>A line.</p></article>",
     "<h1 data-main>A headline of it</h1><p data-main>A text without any frame around it, that is long enough to be read.</p><p data-main>Short one.</p>",
     "<div><p data-main>A text in a plain box, that tells of many things, and then of more.</p><p data-main>And a second.</p></div>",
     "<article data-main><header data-main><h1>The headline</h1></header><p>Text of the page, which is not long.</p></article>",
@@ -78,10 +79,12 @@ def labelled_pages() -> list[str]:
         others = [asides[(i * 7 + 31 * k) % len(asides)] for k in (1, 2, 3)]
         for k in range(4):
             main = mains[(i * 4 + k) % len(mains)]
-            inside = aside.replace(">", " data-not>", 1)
             if k and main.startswith(("<article", "<main data", "<div data", "<section")):
-                at = (main.index(">") + 1, main.find("</p>") + 4, main.rindex("</"))[k - 1]
-                body = others[0] + main[:at] + inside + main[at:]
+                spots = sorted({main.index(">") + 1, main.find("</p>") + 4, main.rindex("</")} - {(i + k) % 3 and main.index(">") + 1})
+                for n, at in enumerate(reversed(spots[-k:])):
+                    part = (aside, others[0], others[1])[n].replace(">", " data-not>", 1)
+                    main = main[:at] + part + main[at:]
+                body = (others[0] + main, main + others[0])[i % 2]
             else:
                 body = (aside + main, main + aside)[i % 2] + others[0]
             pages.append(f"<html><head><title>A title</title><style>p{{}}</style></head><body>{others[1]}{body}{others[2]}</body></html>")

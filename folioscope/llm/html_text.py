@@ -60,9 +60,11 @@ class Page:
             if not name:
                 continue
             if m[1] or m[4]:
-                self._close(name)
+                if name not in UNSEEN:
+                    self._close(name)
                 continue
-            self._start(name, m[3] or m[6] or "")
+            if name not in UNSEEN:
+                self._start(name, m[3] or m[6] or "")
             if name in RAW:
                 end = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(source, at)
                 stop = end.start() if end else len(source)

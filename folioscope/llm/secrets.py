@@ -23,6 +23,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 WORD_SAMPLE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z0-9_-]{3,}"
 SAMPLE_ROWS = 4_000          # about so many documents give the labelled samples
+PRIOR = 16.0                 # weight of the characters' own frequencies, in pairs seen
 MARGIN = 0.5                 # nats for each character
 KINDS = (*[p[0] for p in PATTERNS], "markov")
 _N = len(ALPHABET) + 1       # state 0: before the first character
@@ -90,20 +91,27 @@ def labelled_samples(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE
 
 def train(samples: DataFrame) -> list[float]:
     """Log-likelihood ratios of each pair (state, next character), secrets over identifiers, from
-    (token, secret). Every pair counts one more than it was seen, so that without samples both
-    models are uniform. The result has a fixed size."""
+    (token, secret). After a state that was seldom seen, a character is as likely as it is anywhere
+    in the model's samples; every character counts one more than it was seen there, so that without
+    samples both models are uniform. The result has a fixed size."""
     chars = F.filter(F.split("token", ""), lambda c: c != "")
     pairs = samples.filter("token IS NOT NULL AND secret IS NOT NULL").select("secret", F.explode(
         F.transform(chars, lambda c, i: F.struct(F.coalesce(F.get(chars, i - 1), F.lit("")).alias("a"), c.alias("b")))).alias("p"))
     counts = {(r["secret"], r["a"], r["b"]): r["n"] for r in pairs.groupBy("secret", "p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
               .filter(F.length("a") <= 1).filter((F.col("a") == "") | F.lit(ALPHABET).contains(F.col("a"))).filter(F.lit(ALPHABET).contains(F.col("b"))).collect()}
     states = ["", *ALPHABET]
+    logs = {}
+    for s in (True, False):
+        alone = {b: 1 + sum(counts.get((s, a, b), 0) for a in states) for b in ALPHABET}
+        every = sum(alone.values())
+        for a in states:
+            seen = sum(counts.get((s, a, b), 0) for b in ALPHABET)
+            for b in ALPHABET:
+                logs[s, a, b] = math.log((counts.get((s, a, b), 0) + PRIOR * alone[b] / every) / (seen + PRIOR))
     out = [0.0] * (_N * _N)
     for i, a in enumerate(states):
-        rows = {s: [counts.get((s, a, b), 0) + 1 for b in ALPHABET] for s in (True, False)}
-        total = {s: sum(r) for s, r in rows.items()}
-        for j in range(len(ALPHABET)):
-            out[i * _N + j + 1] = round(math.log(rows[True][j] / total[True]) - math.log(rows[False][j] / total[False]), 4)
+        for j, b in enumerate(ALPHABET, 1):
+            out[i * _N + j] = round(logs[True, a, b] - logs[False, a, b], 4)
     return out
 
 
