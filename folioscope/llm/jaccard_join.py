@@ -9,7 +9,8 @@ document go over the regions of its first pivots: any two linked documents meet
 Regions are then joined, exactly. First every document meets one leader, the least document of its
 regions; links found make groups. A region whose documents are all in one group is done. The
 others are joined again, only between documents of different groups, so a large group of near
-copies costs a row for each copy. A pair that shares too few pivots in its windows to be linked
+copies costs a row for each copy. A map of the sets into bits, which brings no two farther apart than
+they are, tells most other pairs from linked ones before they are written. A pair that shares too few pivots in its windows to be linked
 is dropped; links of the others are verified on the whole sets. Equal sets are one
 document until the end.
 
@@ -31,6 +32,7 @@ from .hashing import Runs, mixed, pieces
 WORDS = 5
 PERCENT = 80
 SAMPLE_ROWS = 4_096          # about so many documents show which pivots are common
+SKETCH_BITS = 512
 COMMON = 3                   # documents of the sample that hold a common pivot
 _BROADCAST_ROWS = 1_000_000
 _SPACE = np.zeros(256, bool)
@@ -83,16 +85,23 @@ def _fingerprint(s: np.ndarray) -> bytes:
     return np.array([s.sum(dtype=np.uint64), mixed(s ^ _PLACE[1]).sum(dtype=np.uint64), len(s)], np.uint64).tobytes()
 
 
+def _sketch(s: np.ndarray) -> list[int]:
+    """One bit for each of SKETCH_BITS classes of digests: whether the set holds an odd number of
+    them. Sets that differ in d digests differ in at most d bits."""
+    odd = np.bincount((mixed(s ^ _PLACE[2]) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _described(docs: DataFrame, common: np.ndarray, regions: int, percent: int) -> DataFrame:
-    """(id, n, print, pivots): each document's set in short, and its pivots as one binary."""
+    """(id, n, print, sketch, pivots): each document's set in short, and its pivots as one binary."""
     shared = docs.sparkSession.sparkContext.broadcast(common)           # at most SAMPLE_ROWS * shingles / COMMON digests
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = list(shingle_sets(pdf["text"].tolist()))
-            yield pd.DataFrame({"id": pdf["id"], "n": [len(s) for s in sets], "print": [_fingerprint(s) for s in sets],
+            yield pd.DataFrame({"id": pdf["id"], "n": [len(s) for s in sets], "print": [_fingerprint(s) for s in sets], "sketch": [_sketch(s) for s in sets],
                                 "pivots": [_windows(s, shared.value, percent).tobytes() for s in sets]})
-    return docs.mapInPandas(run, "id long, n long, print binary, pivots binary")
+    return docs.mapInPandas(run, "id long, n long, print binary, sketch array<long>, pivots binary")
 
 
 def _regions(described: DataFrame, buckets: int) -> DataFrame:
@@ -202,7 +211,7 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole = described.select("id", "print", "n")
     # Equal sets: the least id stands for all.
     leads = stored(whole.filter("n > 0 AND id IS NOT NULL").groupBy("print").agg(F.min("id").alias("lead")))
-    mine = described.join(F.broadcast(leads) if leads.count() <= _BROADCAST_ROWS // 4 else leads, "print").filter("id = lead").drop("lead", "print")
+    mine = described.join(F.broadcast(leads) if leads.count() <= _BROADCAST_ROWS // 4 else leads, "print").filter("id = lead").drop("lead", "print", "sketch")
     regions = stored(_regions(mine, buckets))
     # One leader for each document: the least document it meets of a fitting size.
     fits = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
@@ -214,9 +223,13 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     root = groups(linked)
     known = regions.join(root.withColumnRenamed("id", "rid"), F.col("id") == F.col("rid"), "left").select("pivot", "id", "n", F.coalesce("root", "id").alias("g"))
     mixed_regions = known.groupBy("pivot").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("pivot")
-    known = stored(known.join(mixed_regions, "pivot", "left_semi"))
-    other = known.toDF("pivot2", "id2", "n2", "g2")
-    rest = known.join(other, (F.col("pivot") == F.col("pivot2")) & (F.col("id") < F.col("id2")) & (F.col("g") != F.col("g2")) & fits)
+    sketches = described.select(F.col("id").alias("sid"), "sketch")
+    known = stored(known.join(mixed_regions, "pivot", "left_semi").join(sketches, F.col("id") == F.col("sid")).drop("sid"))
+    other = known.toDF("pivot2", "id2", "n2", "g2", "sketch2")
+    # The sketches bound the difference of the sets from below: most documents that share no more than a passage end here.
+    odd = sum((F.bit_count(F.get("sketch", F.lit(k)).bitwiseXOR(F.get("sketch2", F.lit(k)))) for k in range(SKETCH_BITS // 64)), F.lit(0))
+    close = odd <= F.col("n") + F.col("n2") - 2 * F.ceil(percent * (F.col("n") + F.col("n2")) / (100 + percent))
+    rest = known.join(other, (F.col("pivot") == F.col("pivot2")) & (F.col("id") < F.col("id2")) & (F.col("g") != F.col("g2")) & fits & close)
     rest = rest.groupBy("id", "n", "id2", "n2").agg(F.count(F.lit(1)).alias("met")).filter(F.col("met") >= _least_shared(percent))
     rest = stored(rest.select(F.col("id").alias("a"), F.col("id2").alias("b")))
     if not rest.isEmpty():
