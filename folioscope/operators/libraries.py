@@ -54,11 +54,14 @@ def add_status(incoming: DataFrame, held: DataFrame) -> DataFrame:
             .withColumn("status", F.when(F.col("__taken"), "added").otherwise("duplicate")).drop("__taken"))
 
 
-def ingest_report(items: DataFrame, held: DataFrame, batch_cap: int | None = DEFAULTS.source_max_ingest) -> DataFrame:
+def ingest_report(items: DataFrame, held: DataFrame, batch_cap: int | None = None) -> DataFrame:
     """Per fetched item of a batch: error, empty, duplicate or ingested. Items (`batch_id`,
-    `position`, `document_id`, `corpus`, `text`, `error`) past the batch cap are not asked for."""
+    `position`, `document_id`, `corpus`, `text`, `error`) past a batch cap are told as such."""
     if batch_cap is not None:
-        items = best_per(items, ["batch_id"], [F.col("position")], batch_cap, "__rank").drop("__rank")
+        items = with_position(items, ["batch_id"], ["position"], "__rank")
+        over = items.filter(F.col("__rank") > batch_cap).drop("__rank")
+        within = ingest_report(items.filter(F.col("__rank") <= batch_cap).drop("__rank"), held)
+        return within.unionByName(over.withColumn("sha256", tx.fingerprint(F.col("text"))).withColumn("status", F.lit("past the cap")))
     items = items.withColumn("sha256", tx.fingerprint(F.col("text")))
     bad = (F.when(F.col("error").isNotNull(), "error")
            .when(tx.strip(F.coalesce("text", F.lit(""))) == "", "empty"))
@@ -69,11 +72,14 @@ def ingest_report(items: DataFrame, held: DataFrame, batch_cap: int | None = DEF
 
 
 def link_report(requests: DataFrame, reads: DataFrame, held: DataFrame,
-                cap: int | None = DEFAULTS.links_per_request) -> DataFrame:
+                cap: int | None = None) -> DataFrame:
     """What became of each link someone asked to add (`request_id`, `position`, `corpus`,
-    `link`): already known by link, failed, already held by text, or added."""
+    `link`): already known by link, failed, already held by text, or added; past a cap, that."""
     if cap is not None:
-        requests = best_per(requests, ["request_id"], [F.col("position")], cap, "__rank").drop("__rank")
+        requests = with_position(requests, ["request_id"], ["position"], "__rank")
+        over = requests.filter(F.col("__rank") > cap).drop("__rank")
+        within = link_report(requests.filter(F.col("__rank") <= cap).drop("__rank"), reads, held)
+        return within.unionByName(over.withColumn("status", F.lit("past the cap")), allowMissingColumns=True)
     known = held.filter(F.col("link").isNotNull()).groupBy("corpus", "link").agg(
         F.min("document_id").alias("by_link"))
     texts = held.groupBy("corpus", "sha256").agg(F.min("document_id").alias("by_text"))

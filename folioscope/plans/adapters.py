@@ -258,9 +258,9 @@ def handed_out(spark, sf) -> DataFrame:
     """What each turn's search returned, in rank order: passages of the embeddings table
     picked by rule. Every third passage was read online and not kept."""
     c = table(spark, sf, "conversations").select(F.col("conv_id").alias("run_id"), "turn")
-    picks = c.select("run_id", "turn", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("rank")).withColumn(
-        "chunk_id", (F.col("run_id") * 7 + F.col("turn") * F.col("rank") * 3) % 40)
     p = chunks(spark, sf).drop("embedding", "ordinal")
+    picks = c.select("run_id", "turn", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("rank")).withColumn(
+        "chunk_id", (F.col("run_id") * 7919 + F.col("turn") * F.col("rank") * 104729) % p.count())
     kept = F.col("chunk_id") % 3 != 0
     return (picks.join(p, "chunk_id")
             .withColumn("similarity", 0.9 - F.col("rank") * 0.1 - (F.col("chunk_id") % 10) * 0.001)
@@ -277,7 +277,7 @@ SELECT p.run_id, p.turn, p.rank, c.chunk_id, c.document_id, c.corpus, c.title, c
   CASE WHEN c.chunk_id % 3 = 0 THEN 'https://web.example.org/' || c.chunk_id END AS url,
   CASE WHEN c.chunk_id % 3 = 0 THEN '2024-05-06' END AS retrieved_at,
   CASE WHEN c.chunk_id % 3 = 0 THEN sha256(c.content) END AS fingerprint
-FROM (SELECT conv_id AS run_id, turn, rank, (conv_id * 7 + turn * rank * 3) % 40 AS pick
+FROM (SELECT conv_id AS run_id, turn, rank, (conv_id * 7919 + turn * rank * 104729) % (SELECT count(*) FROM embeddings) AS pick
       FROM conversations, (SELECT unnest([1, 2, 3]) AS rank)) p JOIN v_chunks c ON c.chunk_id = p.pick""")
 
 

@@ -69,7 +69,7 @@ def _(spark, sf):
 
 
 @query("l3_ingest_report", f"""
-WITH asked AS (SELECT * FROM v_arrivals WHERE position < 10), good AS (
+WITH asked AS (SELECT * FROM v_arrivals), good AS (
   SELECT document_id, CASE WHEN {_ADDED} THEN 'ingested' ELSE 'duplicate' END AS status
   FROM (SELECT document_id, corpus, sha256(text) AS sha256 FROM asked WHERE error IS NULL AND trim(text) <> '') a)
 SELECT batch_id, coalesce(g.status, CASE WHEN error IS NOT NULL THEN 'error' ELSE 'empty' END) AS status, count(*) AS items
@@ -109,7 +109,7 @@ def _reads(spark, sf):
 
 @query("l4_add_links", """
 WITH q AS (SELECT doc_id // 24 AS request_id, doc_id % 24 AS position, source AS corpus,
-    'https://example.org/' || (doc_id * 3 % (SELECT count(*) FROM documents)) AS link FROM documents WHERE doc_id % 24 < 20),
+    'https://example.org/' || (doc_id * 3 % (SELECT count(*) FROM documents)) AS link FROM documents),
 h AS (SELECT * FROM v_linked WHERE live),
 r AS (SELECT q.*, d.text, d.error, sha256(d.text) AS sha256,
     EXISTS (SELECT 1 FROM h WHERE h.corpus = q.corpus AND h.link = q.link) AS by_link,

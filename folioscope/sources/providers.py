@@ -20,9 +20,10 @@ def _or(*options: Column) -> Column:
     return F.coalesce(*[F.nullif(o, F.lit("")) for o in options], F.lit(""))
 
 
-def _results(payloads: DataFrame, schema: str, limit: int, keep: tuple[str, ...], path: str = "results") -> DataFrame:
+def _results(payloads: DataFrame, schema: str, limit: int | None, keep: tuple[str, ...], path: str = "results") -> DataFrame:
     parsed = payloads.select(*keep, F.from_json("payload", schema).alias("p"))
-    return parsed.select(*keep, F.posexplode(F.slice(F.col(f"p.{path}"), 1, limit)).alias("position", "r"))
+    every = F.col(f"p.{path}")
+    return parsed.select(*keep, F.posexplode(every if limit is None else F.slice(every, 1, limit)).alias("position", "r"))
 
 
 def _hits(rows: DataFrame, keep: tuple[str, ...], provider: str, **columns: Column) -> DataFrame:
@@ -60,7 +61,7 @@ _CASES = ("results array<struct<caseName:string,caseNameFull:string,absolute_url
           "court_citation_string:string,opinions:array<struct<id:bigint,type:string,ordering_key:int,snippet:string>>>>")
 
 
-def case_law_hits(payloads: DataFrame, limit: int = 20, keep: tuple[str, ...] = (), full_text: bool = False) -> DataFrame:
+def case_law_hits(payloads: DataFrame, limit: int | None = None, keep: tuple[str, ...] = (), full_text: bool = False) -> DataFrame:
     """One hit per case, for its lead opinion."""
     r = _results(payloads, _CASES, limit, keep).withColumn("op", pick_lead(F.col("r.opinions"))).filter(F.col("op").isNotNull())
     ref = F.col("op.id").cast("string")
@@ -121,7 +122,7 @@ _RULES = ("results array<struct<title:string,document_number:string,publication_
           "type:string,agencies:array<struct<name:string>>>>")
 
 
-def rulemaking_hits(payloads: DataFrame, limit: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
+def rulemaking_hits(payloads: DataFrame, limit: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     r = _results(payloads, _RULES, limit, keep)
     agencies = F.array_join(F.transform(F.slice(F.coalesce("r.agencies", F.expr("cast(array() as array<struct<name:string>>)")), 1, 2),
                                         lambda a: F.coalesce(a["name"], F.lit(""))), ", ")
@@ -172,7 +173,7 @@ def code_url(h: str) -> Column:
         F.array_join(F.transform(rest, lambda e: F.concat(e["key"], F.lit("-"), e["value"])), "/")))
 
 
-def code_hits(payloads: DataFrame, limit: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
+def code_hits(payloads: DataFrame, limit: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     r = _results(payloads, _CODE, limit, keep).withColumn("h", F.col("r.hierarchy"))
     heading = strip_markup(_or(F.col("r.headings.section"), F.col("r.hierarchy_headings.section")))
     return _hits(r, keep, "ecfr", ref=F.to_json(F.map_from_entries(_present("h"))), title=F.trim(F.concat(code_citation("h", "?"), F.lit(" "), heading)),
@@ -200,7 +201,7 @@ def code_documents(rows: DataFrame, titles: DataFrame) -> DataFrame:
 _PUBLICATIONS = "results array<struct<packageId:string,granuleId:string,title:string,summary:string,dateIssued:string,collectionCode:string>>"
 
 
-def publication_hits(payloads: DataFrame, limit: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
+def publication_hits(payloads: DataFrame, limit: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     r = _results(payloads, _PUBLICATIONS, limit, keep)
     pkg, gran = F.coalesce("r.packageId", F.lit("")), F.coalesce("r.granuleId", F.lit(""))
     ref = F.when(gran != "", F.concat(pkg, F.lit("/"), gran)).otherwise(pkg)
@@ -232,7 +233,7 @@ def filing_url(ref: Column, cik: Column) -> Column:
                     F.replace(F.substring_index(ref, ":", 1), F.lit("-"), F.lit("")), F.lit("/"), F.regexp_replace(ref, "^[^:]*:?", ""))
 
 
-def filing_hits(payloads: DataFrame, limit: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
+def filing_hits(payloads: DataFrame, limit: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     r = _results(payloads, _FILINGS, limit, keep, "hits.hits").withColumn("s", F.col("r._source"))
     name = F.get("s.display_names", F.lit(0))
     form = _or(F.col("s.form"), F.col("s.file_type"))
