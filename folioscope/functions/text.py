@@ -181,3 +181,26 @@ def elapsed_text(seconds: Column) -> Column:
             .when(minutes < 60, F.concat(minutes.cast("string"), F.lit(" min")))
             .otherwise(F.concat(F.floor(minutes / 60).cast("string"), F.lit(" h "),
                                 F.pmod(minutes, F.lit(60)).cast("string"), F.lit(" min"))))
+
+
+def block_step(lens: Column) -> Column:
+    """The block size of `running_before`: the root of the number of elements."""
+    return F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(lens).cast("double"))).cast("int"))
+
+
+def _total(part: Column) -> Column:
+    return F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def block_sums(lens: Column) -> Column:
+    """Sums of the blocks of an array column of numbers."""
+    step = block_step(lens)
+    return F.transform(F.sequence(F.lit(0), F.ceil(F.size(lens) / step).cast("int")), lambda b: _total(F.slice(lens, b * step + 1, step)))
+
+
+def running_before(lens: Column, sums: Column) -> Column:
+    """For each element the sum of those before it. `lens` and `sums` (its `block_sums`) are columns
+    of the row, not expressions, so that a step reads them and does not make them again."""
+    step = block_step(lens)
+    return F.transform(lens, lambda _, i: _total(F.slice(sums, F.lit(1), F.floor(i / step).cast("int")))
+                       + _total(F.slice(lens, F.floor(i / step).cast("int") * step + 1, i % step)))

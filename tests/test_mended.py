@@ -40,3 +40,25 @@ def test_ids_with_many_collisions(spark):
         df = spark.createDataFrame([(1, i, n) for i, n in enumerate(people)], "cast_id int, seat int, name string")
         got = [r.agent_id for r in documents.assign_ids(df, ["cast_id"], ["seat"]).orderBy("seat").collect()]
         assert got == _rule(people)
+
+
+def test_a_document_of_very_many_pages(spark):
+    n = 20_000
+    pages = spark.range(n).selectExpr("1 AS doc_id", "cast(id AS int) AS page", "concat('Page number ', id, ' holds enough readable words to be kept here.') AS text")
+    row = documents.pages_to_documents(pages).first()
+    starts, at = [], 0
+    for i in range(n):
+        starts.append(at)
+        at += len(f"Page number {i} holds enough readable words to be kept here.") + 2
+    assert row.pages_kept == n and [m.start for m in row.page_map] == starts and len(row.text) == at - 2
+
+
+def test_starts_of_very_many_chunks(spark):
+    df = spark.createDataFrame([(1, "\n\n".join("w" * 30 for _ in range(3000))), (2, ""), (3, "one")], "doc_id int, text string")
+    rows = documents.chunk(df, 40, 5).orderBy("doc_id", "ordinal").collect()
+    at = 0
+    for r in rows:
+        at = 0 if r.ordinal == 0 else at
+        assert r.start == at
+        at += len(r.content)
+    assert len(rows) > 2000
