@@ -46,7 +46,7 @@ class Runs:
         return mixed((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
 
 
-def pieces(texts: Sequence[bytes], size: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def pieces(texts: Sequence[bytes], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `size` bytes together; one longer text is a range of its own."""
     start = total = 0
     for i, t in enumerate(texts):

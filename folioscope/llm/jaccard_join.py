@@ -65,6 +65,13 @@ def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
+def _parts(batches: Iterator[pd.DataFrame], rows: int = 512) -> Iterator[pd.DataFrame]:
+    """The rows of the batches, some at a time, so that few sets are held at once."""
+    for pdf in batches:
+        for k in range(0, len(pdf), rows):
+            yield pdf.iloc[k:k + rows]
+
+
 def _windows(shingles: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
     """The pivots whose regions a document is in: enough of the first in the order (rare before
     common, then by digest) that two linked documents share one."""
@@ -97,7 +104,7 @@ def _described(docs: DataFrame, common: np.ndarray, regions: int, percent: int)
     shared = docs.sparkSession.sparkContext.broadcast(common)           # at most SAMPLE_ROWS * shingles / COMMON digests
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _parts(batches):
             sets = list(shingle_sets(pdf["text"].tolist()))
             yield pd.DataFrame({"id": pdf["id"], "n": [len(s) for s in sets], "print": [_fingerprint(s) for s in sets], "sketch": [_sketch(s) for s in sets],
                                 "pivots": [_windows(s, shared.value, percent).tobytes() for s in sets]})
@@ -151,7 +158,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
     def sets(wanted: DataFrame, fields: str) -> DataFrame:
         def run(batches):
-            for pdf in batches:
+            for pdf in _parts(batches):
                 yield pdf.drop(columns=["id", "text"]).assign(set=[s.tobytes() for s in shingle_sets(pdf["text"].tolist())])
         wanted = F.broadcast(wanted) if few else wanted
         return docs.join(wanted, docs["id"] == F.col("wanted")).drop("wanted").mapInPandas(run, fields)
