@@ -9,7 +9,7 @@ is a sum for each source and bucket, and a larger budget takes all that a smalle
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -17,6 +17,7 @@ from .common import WORD, stored
 
 LEVEL_BITS = 12
 LEVELS = 4
+_BROADCAST_SOURCES = 100_000
 
 
 def position(id_col: str = "doc_id") -> Column:
@@ -59,15 +60,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = source_targets(sized, weights, max_repeat)
     repeats = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     plan = stored(plan.withColumn("repeats", repeats).withColumn("budget", F.col("target") - F.col("repeats") * F.col("source_size")))
-    below = _thresholds(sized, plan.select("source", "budget"))
+    # A row for each source goes to every task if the sources were counted to be few; a hot one is then not gathered.
+    near = F.broadcast if plan.count() <= _BROADCAST_SOURCES else lambda df: df
+    below = _thresholds(sized, plan.select("source", "budget"), near)
     plan = plan.join(below, plan["source"].eqNullSafe(below["of"]), "left").drop("of")
     plan = plan.withColumnRenamed("source", "of")
     extra = F.when(F.col("at") < F.coalesce("below", F.lit(0)), 1).otherwise(0)
-    return (sized.join(plan, sized["source"].eqNullSafe(plan["of"]))
+    return (sized.join(near(plan), sized["source"].eqNullSafe(plan["of"]))
             .select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * (F.col("repeats") + extra)).alias("taken")))
 
 
-def _thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
+def _thresholds(sized: DataFrame, budgets: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(of, below): for each source the position below which its documents meet the budget best."""
     # The open bucket of each source: its number at this level, and the words before it.
     opened = budgets.select(F.col("source").alias("of"), "budget", F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("before"))
@@ -75,7 +78,7 @@ def _thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     for level in range(LEVELS):
         wide, fine = width - level * LEVEL_BITS, width - (level + 1) * LEVEL_BITS
         here = sized.withColumn("bucket", F.shiftrightunsigned("at", wide))
-        inside = here.join(opened.withColumnRenamed("bucket", "open"), here["source"].eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("open")))
+        inside = here.join(near(opened.withColumnRenamed("bucket", "open")), here["source"].eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("open")))
         sums = (inside.groupBy("of", "budget", "before", F.shiftrightunsigned("at", fine).alias("bucket"))
                 .agg(F.sum("size").alias("words")))
         run = Window.partitionBy("of").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
