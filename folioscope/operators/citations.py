@@ -88,6 +88,7 @@ def sources_handed_out(passages: DataFrame, cited: DataFrame) -> DataFrame:
         F.when(~kept & F.col("cited"), tx.excerpt(F.col("content"))).alias("excerpt"))
 
 
+# Fixed value: the form of an online citation marker.
 _W_MARK = r"(?U)\[(W\d{1,3}(?:\s*,\s*W?\d{1,3})*)\]"
 
 
@@ -309,6 +310,7 @@ def exhibit_entries(exhibits: DataFrame, in_full: int = 8, words: int = 160) ->
 
 # ------------------------------------------------------------------ findings
 
+# Fixed value: the heading of a finding.
 _HEAD = r"(?m)^\[(\d+)\] (.+)$"
 
 
