@@ -190,6 +190,35 @@ def test_similar_lines_against_all_pairs(spark, make):
     assert pairs and got == {x: want[x] for p in pairs for x in p}
 
 
+def recall_of_lines(spark, make, change, sizes=(8, 12, 20, 30, 50, 80), each=25):
+    """Of pairs of a line and its changed copy that have an edit similarity of 0.8 or more, the share that is found."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9)))      # noqa: E731
+    pairs = []
+    for n in sizes:
+        for _ in range(each):
+            a = [word() for _ in range(n)]
+            pairs.append((" ".join(a), " ".join(change(rng, word, a))))
+    pairs = [(a, b) for a, b in pairs if a != b and levenshtein(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)]
+    docs = make([(k, line) for k, line in enumerate(x for p in pairs for x in p)])
+    lost = {r.doc_id: r["__n_removed"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert len(pairs) > 0.3 * each * len(sizes) and not any(lost[2 * k] for k in range(len(pairs)))
+    return sum(lost[2 * k + 1] for k in range(len(pairs))) / len(pairs)
+
+
+def replaced(share):
+    def change(rng, word, a):
+        at = set(rng.sample(range(len(a)), max(1, round(share * len(a)))))
+        return [word() if k in at else w for k, w in enumerate(a)]
+    return change
+
+
+def test_similar_lines_recall(spark, make):
+    assert recall_of_lines(spark, make, replaced(0)) >= 0.9          # one word
+    assert recall_of_lines(spark, make, replaced(0.1)) >= 0.9
+    assert recall_of_lines(spark, make, replaced(0.2)) >= 0.9
+
+
 def test_block_choices_find_the_same(spark):
     rng = random.Random(4)
     sims = [rng.getrandbits(60) for _ in range(20)]
