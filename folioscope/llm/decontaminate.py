@@ -3,7 +3,8 @@
 Numbers, units and names become typed placeholders, so that a question with other numbers has the
 same template. Windows of template words of the benchmark items are hash-joined with windows of
 the documents at regular steps; at each place found, the document is laid beside the whole item,
-word by word, and the values in its slots must map to the item's values one to one.
+word by word. Runs of equal template words are judged each by itself: an item's value must stand
+for one value of the document, but for a single slot or in a run that is nearly word for word.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ WINDOW = 8                 # words of a window
 STEP = 4                   # words between a document's windows, at most
 LITERAL = 4                # words of a window that must not be placeholders, at least
 SHARE = 0.5                # of an item's words that a document must hold
+VERBATIM = 0.8             # of a run's words that are equal: it counts whatever its slots
 _BROADCAST_ROWS = 500_000
 #: Units after a number.
 UNITS = ("km/h", "mph", "km", "kg", "mg", "cm", "mm", "ml", "lb", "lbs", "oz", "ft", "kb", "mb", "gb", "hz", "kw", "m", "g", "l", "s", "h", "usd", "eur", "dollars", "dollar", "euros",
@@ -54,11 +56,12 @@ def _windows(words: Column, width: int, step: int) -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                  item_text_col: str = "text", window: int = WINDOW, step: int = STEP, share: float = SHARE) -> DataFrame:
     """(id, item_id, n_words, n_found, n_slots): the documents that hold at least `share` of an
-    item's template words in its order, their slots filled consistently, once for each item.
+    item's template words in its order, once for each item.
 
-    A passage of an item is found if it holds `window` + step - 1 words in a row, where the step
-    is made small enough for the shortest item; an item shorter than a window is looked for as a
-    whole. An item or document without words, or with a null text, matches nothing, and so does
+    A run is `window` or more template words in a row; one of `window` + step - 1 is always found; an item shorter than a
+    window is looked for as a whole. A run counts if at most one of its slots has a second value,
+    or if most of its words are equal to the letter. Beside it count words in shorter runs whose
+    slots do not contradict it. An item or document without words, or with a null text, matches nothing, and so does
     an item that is nearly all placeholders. Rows that repeat an id count as one document. Other
     columns are not read.
     """
@@ -91,11 +94,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     laid = held(laid.join(items, "item_id"), "words", template_words(F.col("text"), values=True))
     at = lambda k: F.when(k + F.col("shift") >= 0, F.get("words", k + F.col("shift")))                            # noqa: E731
     cells = F.transform("item", lambda w, k: F.struct(k.alias("k"), w.alias("ours"), at(k).alias("theirs")))
-    laid = held(laid, "same", F.filter(cells, lambda c: _template(c["ours"]) == _template(c["theirs"]))).select("id", "item_id", "n_words", "same")
-    slots = F.transform(F.filter("same", lambda c: c["ours"].rlike(rf"^{_MARK}")), lambda c: F.struct(c["ours"].alias("a"), c["theirs"].alias("b")))
-    laid = held(laid, "slots", F.array_distinct(slots))
-    one = lambda side: F.size(F.array_distinct(F.transform("slots", lambda s: s[side])))                            # noqa: E731
-    laid = laid.filter((one("a") == F.size("slots")) & (one("b") == F.size("slots")))
-    counted = laid.select("id", "item_id", "n_words", F.size("slots").alias("n_slots"), F.explode(F.transform("same", lambda c: c["k"])).alias("k"))
+    same = F.filter(cells, lambda c: _template(c["ours"]) == _template(c["theirs"]))
+    laid = held(laid, "same", same).select("id", "item_id", "n_words", "shift", "same")
+    # Cells next to each other differ as much in k as in their place among the equal ones.
+    of_run = laid.select("id", "item_id", "n_words", "shift", F.posexplode("same").alias("i", "c"))
+    slot = F.col("c.ours").rlike(rf"^{_MARK}")
+    runs = of_run.groupBy("id", "item_id", "n_words", "shift", (F.col("c.k") - F.col("i")).alias("run")).agg(
+        F.collect_list("c").alias("cells"), F.count(F.lit(1)).alias("n"), F.sum((F.col("c.ours") == F.col("c.theirs")).cast("int")).alias("equal"),
+        F.collect_set(F.when(slot, F.struct(F.col("c.ours").alias("a"), F.col("c.theirs").alias("b")))).alias("slots"))
+    second = F.size("slots") - F.size(F.array_distinct(F.transform("slots", lambda p: p["a"])))
+    whole = F.col("n") >= F.least("n_words", F.lit(window))
+    runs = runs.withColumn("good", F.when(whole, (second <= 1) | (F.col("equal") >= F.col("n") * VERBATIM)))
+    good = F.col("good").eqNullSafe(F.lit(True))
+    places = runs.groupBy("id", "item_id", "n_words", "shift").agg(
+        F.flatten(F.collect_list(F.when(good, F.col("cells")))).alias("cells"), F.flatten(F.collect_list(F.when(F.col("good").isNull(), F.col("cells")))).alias("more"),
+        F.array_distinct(F.flatten(F.collect_list(F.when(good, F.col("slots"))))).alias("slots"))
+    places = places.filter(F.size("cells") > 0)
+    agrees = lambda c: ~F.exists("slots", lambda p: (p["a"] == c["ours"]) & (p["b"] != c["theirs"]))                   # noqa: E731
+    ks = F.transform(F.concat("cells", F.filter("more", agrees)), lambda c: c["k"])
+    counted = places.select("id", "item_id", "n_words", F.size("slots").alias("n_slots"), F.explode(ks).alias("k"))
     counted = counted.groupBy("id", "item_id", "n_words").agg(F.count_distinct("k").cast("int").alias("n_found"), F.max("n_slots").alias("n_slots"))
     return counted.filter(F.col("n_found") >= F.col("n_words") * share).select(F.col("id").alias(id_col), F.col("item_id").alias(item_col), "n_words", "n_found", "n_slots")

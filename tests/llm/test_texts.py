@@ -157,6 +157,19 @@ def test_contaminated(spark, make):
     assert decontaminate.contaminated(make([]), bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_slots_are_judged_in_their_runs(spark, make):
+    rng = random.Random(13)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))      # noqa: E731
+    head, tail, two = prose(18), prose(10), "one has 3 red and 5 blue beads and so"
+    item = f"{head} 7 {tail} 7"
+    bench = spark.createDataFrame([(1, item), (2, f"{prose(8)} {two} {prose(8)}")], "item_id long, text string")
+    second = bench.filter("item_id = 2").first().text
+    docs = make([(1, f"{head} 7 {prose(10)} 9"), (2, f"{head} 7 {tail} 8"), (3, second.replace("3", "4").replace("5", "4")),
+                 (4, f"{head} 9 more {tail} 8"), (5, prose(60))])
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(1, 1), (2, 1), (3, 2), (4, 1)}
+
+
 def test_whole_items_are_found_at_any_place(spark, make):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))      # noqa: E731
