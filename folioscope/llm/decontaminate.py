@@ -2,7 +2,7 @@
 
 Numbers, units and names become typed placeholders, so that a question with other numbers has the
 same template. Windows of template words of the benchmark items are hash-joined with windows of
-the documents at regular steps; at each place found, the document is laid beside the whole item,
+the documents at every word; at each place found, the document is laid beside the whole item,
 word by word. Runs of equal template words are judged each by itself: an item's value must stand
 for one value of the document, but for a single slot or in a run that is nearly word for word.
 """
@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import held, stored
 
 WINDOW = 8                 # words of a window
-STEP = 4                   # words between a document's windows, at most
 LITERAL = 4                # words of a window that must not be placeholders, at least
-SHARE = 0.5                # of an item's words that a document must hold
+SHARE = 0.5                # of an item's words that a document must hold, or
+LONG = 20                  # equal words in one run
 VERBATIM = 0.8             # of a run's words that are equal: it counts whatever its slots
 _BROADCAST_ROWS = 500_000
 #: Units after a number.
@@ -46,19 +46,18 @@ def _template(word: Column) -> Column:
     return F.when(word.rlike(rf"^{_MARK}"), F.substring(word, 1, 1)).otherwise(word)
 
 
-def _windows(words: Column, width: int, step: int) -> Column:
-    """(at, h) of the windows of `width` words at each `step`-th word; the last window too."""
+def _windows(words: Column, width: int) -> Column:
+    """(at, h) of the windows of `width` words at each word."""
     last = F.size(words) - width
-    starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(step)), F.array(last)))
-    return F.when(last >= 0, F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(words, i + 1, width)).alias("h"))))
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(words, i + 1, width)).alias("h"))))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-                 item_text_col: str = "text", window: int = WINDOW, step: int = STEP, share: float = SHARE) -> DataFrame:
+                 item_text_col: str = "text", window: int = WINDOW, share: float = SHARE, long: int = LONG) -> DataFrame:
     """(id, item_id, n_words, n_found, n_slots): the documents that hold at least `share` of an
-    item's template words in its order, once for each item.
+    item's template words in its order, or `long` of its words in one run, once for each item.
 
-    A run is `window` or more template words in a row; one of `window` + step - 1 is always found; an item shorter than a
+    A run is `window` or more template words in a row, wherever it stands; an item shorter than a
     window is looked for as a whole. A run counts if at most one of its slots has a second value,
     or if most of its words are equal to the letter. Beside it count words in shorter runs whose
     slots do not contradict it. An item or document without words, or with a null text, matches nothing, and so does
@@ -67,18 +66,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), template_words(F.col(item_text_col), values=True).alias("item"))
     items = stored(items.filter(F.size("item") > 0).withColumn("n_words", F.size("item")))
-    # The widths and the shortest item: at most `window` numbers.
-    widths = {r["w"]: r["least"] for r in items.groupBy(F.least("n_words", F.lit(window)).alias("w")).agg(F.min("n_words").alias("least")).collect()}
+    widths = [r["w"] for r in items.select(F.least("n_words", F.lit(window)).alias("w")).distinct().collect()]     # at most `window` numbers
     found = None
-    for width, least in sorted(widths.items()):
+    for width in sorted(widths):
         here = items.filter(F.least("n_words", F.lit(window)) == width).select("item_id", F.transform("item", _template).alias("words"))
         here = held(here, "own", F.col("words"))
-        keys = here.select("item_id", "own", F.explode(_windows(F.col("own"), width, 1)).alias("w")).select(
+        keys = here.select("item_id", "own", F.explode(_windows(F.col("own"), width)).alias("w")).select(
             "item_id", F.col("w.at").alias("item_at"), F.col("w.h").alias("h"), F.slice("own", F.col("w.at") + 1, F.lit(width)).alias("in_it"))
         literal = F.size(F.filter("in_it", lambda w: ~w.rlike(rf"^{_MARK}")))
         keys = stored(keys.filter(literal >= min(LITERAL, max(1, width - 1))).select("item_id", "item_at", "h"))
         places = held(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "words", template_words(F.col("text"), values=False))
-        places = places.select("id", F.explode(_windows(F.col("words"), width, max(1, min(step, least - width + 1)))).alias("w"))
+        places = places.select("id", F.explode(_windows(F.col("words"), width)).alias("w"))
         places = places.select("id", F.col("w.at").alias("at"), F.col("w.h").alias("h"))
         keys = F.broadcast(keys) if keys.count() <= _BROADCAST_ROWS else keys
         some = places.join(keys, "h").select("id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
@@ -108,10 +106,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     good = F.col("good").eqNullSafe(F.lit(True))
     places = runs.groupBy("id", "item_id", "n_words", "shift").agg(
         F.flatten(F.collect_list(F.when(good, F.col("cells")))).alias("cells"), F.flatten(F.collect_list(F.when(F.col("good").isNull(), F.col("cells")))).alias("more"),
-        F.array_distinct(F.flatten(F.collect_list(F.when(good, F.col("slots"))))).alias("slots"))
+        F.array_distinct(F.flatten(F.collect_list(F.when(good, F.col("slots"))))).alias("slots"), F.max(F.when(good, F.col("equal"))).alias("longest"))
     places = places.filter(F.size("cells") > 0)
     agrees = lambda c: ~F.exists("slots", lambda p: (p["a"] == c["ours"]) & (p["b"] != c["theirs"]))                   # noqa: E731
     ks = F.transform(F.concat("cells", F.filter("more", agrees)), lambda c: c["k"])
-    counted = places.select("id", "item_id", "n_words", F.size("slots").alias("n_slots"), F.explode(ks).alias("k"))
-    counted = counted.groupBy("id", "item_id", "n_words").agg(F.count_distinct("k").cast("int").alias("n_found"), F.max("n_slots").alias("n_slots"))
-    return counted.filter(F.col("n_found") >= F.col("n_words") * share).select(F.col("id").alias(id_col), F.col("item_id").alias(item_col), "n_words", "n_found", "n_slots")
+    counted = places.select("id", "item_id", "n_words", "longest", F.size("slots").alias("n_slots"), F.explode(ks).alias("k"))
+    counted = counted.groupBy("id", "item_id", "n_words").agg(F.count_distinct("k").cast("int").alias("n_found"), F.max("n_slots").alias("n_slots"), F.max("longest").alias("longest"))
+    enough = (F.col("n_found") >= F.col("n_words") * share) | (F.col("longest") >= long)
+    return counted.filter(enough).select(F.col("id").alias(id_col), F.col("item_id").alias(item_col), "n_words", "n_found", "n_slots")

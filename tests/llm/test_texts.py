@@ -170,6 +170,17 @@ def test_slots_are_judged_in_their_runs(spark, make):
     assert got == {(1, 1), (2, 1), (3, 2), (4, 1)}
 
 
+def test_runs_are_found_at_any_place(spark, make):
+    rng = random.Random(14)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))      # noqa: E731
+    short, long = prose(15).split(), prose(59).split()
+    bench = spark.createDataFrame([(1, " ".join(short)), (2, " ".join(long))], "item_id long, text string")
+    edited = " ".join(["other" if k == 6 else w for k, w in enumerate(short)])
+    docs = make([(k, f"{prose(k)} {edited} {prose(3)}") for k in range(8)] + [(20, f"{prose(3)} {' '.join(long[20:48])} {prose(9)}"), (21, f"{prose(3)} {' '.join(long[20:32])} {prose(9)}")])
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(k, 1) for k in range(8)} | {(20, 2)}
+
+
 def test_whole_items_are_found_at_any_place(spark, make):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))      # noqa: E731
