@@ -130,12 +130,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for k in range(0, len(pdf), _BLOCK):
                 part = pdf.iloc[k:k + _BLOCK]
                 yield pd.DataFrame({"id": part["id"].astype(str), "label": part["label"], "text": [t or "" for t in part["text"]],
-                                    "counts": [np.minimum(c, 65_535).astype("<u2").tobytes() for c in describe(part["text"].tolist())]})
+                                    "counts": [np.asarray(c).astype("<u4").tobytes() for c in describe(part["text"].tolist())]})
 
     rows = (texts.mapInPandas(counted, "id string, label int, text string, counts binary").withColumn("digest", F.sha2("text", 256)).drop("text")
             .groupBy("id", "label").agg(F.min_by("counts", "digest").alias("counts")).collect())
     rows.sort(key=lambda r: r["id"])
-    counts = np.array([np.frombuffer(r["counts"], "<u2") for r in rows], np.float32).reshape(len(rows), COLUMNS)
+    counts = np.array([np.frombuffer(r["counts"], "<u4") for r in rows], np.float32).reshape(len(rows), COLUMNS)
     return LatentSpace(counts, np.array([r["label"] for r in rows]))
 
 

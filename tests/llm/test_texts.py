@@ -68,6 +68,14 @@ def test_quality(spark, make):
     assert np.mean([got[i].predicted == int(bool(i % 3)) for i in held]) > 0.95
 
 
+def test_labelled_counts_are_not_cut(spark, make, monkeypatch):
+    monkeypatch.setattr(quality, "LatentSpace", lambda counts, labels: counts)
+    long = "e" * 70_000
+    docs = make([(i, long) for i in range(10)])
+    counts = quality.train(docs, spark.createDataFrame([(i, i % 2, 0) for i in range(10)], "doc_id long, quality int, toxic int"))
+    assert len(counts) and (counts == quality.describe([long])).all() and counts.max() > 65_535
+
+
 def test_quality_odd_rows(spark, make):
     none = spark.createDataFrame([], "doc_id long, quality int")
     got = quality.score_quality(make(ODD), none).collect()
