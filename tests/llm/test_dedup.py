@@ -231,6 +231,16 @@ def test_block_choices_find_the_same(spark):
         assert {(i, j) for i in range(40) for j in range(i + 1, 40) if bin(sims[i] ^ sims[j]).count("1") <= 3} <= met
 
 
+def test_lines_of_few_words(spark, make):
+    rng = random.Random(17)
+    signs = lambda n: "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n))      # noqa: E731
+    a, row = signs(60), "\t".join(str(rng.randrange(1000)) for _ in range(15))
+    docs = [(1, f"{a}\nAll rights reserved.\n{row}\nshort line"), (2, f"{a[:30]}{signs(1)}{a[31:]}\nall rights Reserved.\n{signs(60)}\n{row}\nshort line\nAll rights deserved.")]
+    got = {r.doc_id: (r["__n_removed"], r["__kept_text"]) for r in line_dedup.dedup_lines(make(docs)).collect()}
+    lines = docs[1][1].split("\n")
+    assert got == {1: (0, docs[0][1]), 2: (3, "\n".join([lines[2], *lines[4:]]))}
+
+
 def test_line_dedup_odd_rows(spark, make):
     got = line_dedup.dedup_lines(make(ODD)).collect()
     assert len(got) == len(ODD) and {r["__n_removed"] for r in got} == {0}
