@@ -27,6 +27,18 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def repeats_ids(docs: DataFrame, id_col: str) -> bool:
+    return docs.select(id_col).distinct().count() < docs.count()
+
+
+def own_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """`docs` with a number `__key` for each row, in the order of id and text, null ids last.
+    Rows become one only if their id, not null, and their text are both equal."""
+    named = docs.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col])
+    rows = named.unionByName(docs.filter(F.col(id_col).isNull()))
+    return stored(rows.orderBy(F.asc_nulls_last(id_col), text_col).withColumn("__key", F.monotonically_increasing_id()))
+
+
 def held(df: DataFrame, name: str, value: Column) -> DataFrame:
     """`df` with a column that is computed once for each row. The optimizer merges projections, and
     a lambda that refers to a merged column would compute it again for each element; it does not

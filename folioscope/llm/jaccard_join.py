@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import groups, stored
+from .common import groups, own_keys, repeats_ids, stored
 from .hashing import Runs, mixed, pieces
 
 WORDS = 5
@@ -205,13 +205,18 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     included).
 
     Ids are integers. Null, empty and blank texts have no shingles and are linked with nothing.
-    Of rows that repeat an id one counts, that of the least text; a null id comes out with a null
+    Rows that repeat an id come out once for each different text; each null id comes out with a null
     component. No rows give no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    if texts.select("id").distinct().count() < texts.count():
-        texts = texts.groupBy("id").agg(F.min("text").alias("text"))
+    if repeats_ids(texts, "id"):
+        keyed = own_keys(texts, "id", "text")
+        names = keyed.select(F.col("__key").alias("k"), "id")
+        out = join_similar(keyed.filter("id IS NOT NULL"), "__key", "text", percent, sample_rows).join(names, F.col("__key") == F.col("k")).drop("k")
+        out = out.join(names.select("k", F.col("id").alias("least")), F.col("component_id") == F.col("k")).select(F.col("id").alias(id_col), "n_shingles", F.col("least").alias("component_id"))
+        alone = keyed.filter("id IS NULL")
+        return out.unionByName(join_similar(alone, "__key", "text", percent, sample_rows).select(F.lit(None).cast("long").alias(id_col), "n_shingles", F.lit(None).cast("long").alias("component_id"))) if not alone.isEmpty() else out
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     common = _common_pivots(texts, sample_rows)
     described = stored(_described(texts, common, buckets, percent))

@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored
+from .common import own_keys, repeats_ids, stored
 from .hashing import Runs, mixed, pieces
 
 LENGTH = 100
@@ -154,15 +154,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Each byte covered by a `length`-byte string that also starts earlier (smaller id, or the same
     document further left) goes; overlaps count, and strings are judged on the input. Texts are
     UTF-8 bytes, a null text is empty. Ids are integers. Rows that repeat an id count as one
-    document, the one of the least text; a document with a null id is left as it is and lends
+    document if their texts are equal, else one after another by text; a document with a null id is left as it is and lends
     nothing. No rows give no rows. Other columns are not read.
     """
     if not PIECE + 32 <= length <= 132 + PIECE:
         raise ValueError("length must be from 64 to 164")
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    if texts.select("id").distinct().count() < texts.count():
-        texts = texts.groupBy("id").agg(F.min("text").alias("text"))
+    if repeats_ids(texts, "id"):
+        keyed = own_keys(texts.filter("id IS NOT NULL"), "id", "text")
+        names = keyed.select(F.col("__key").alias("k"), "id")
+        texts = keyed.select(F.col("__key").alias("id"), "text").unionByName(texts.filter("id IS NULL"))
+        out = remove_repeats(texts.filter("id IS NOT NULL"), "id", "text", length, sample_rows).withColumnRenamed("id", "k").join(names, "k").drop("k")
+        return out.unionByName(_left_alone(texts)).select(F.col("id").alias(id_col), "kept", "n_bytes", "n_removed", "n_spans")
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     whole = texts.filter("id IS NOT NULL")
     shared = spark.sparkContext.broadcast(_common_anchors(whole, length, sample_rows))     # bounded by the sample
@@ -240,9 +244,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pd.DataFrame(rows, columns=["id", "kept", "n_bytes", "n_removed", "n_spans"])
 
     out = dealt.groupBy("bucket").cogroup(gone.groupBy("bucket")).applyInPandas(strip, "id long, kept binary, n_bytes long, n_removed long, n_spans long")
-    alone = texts.filter("id IS NULL").select("id", F.col("text").cast("binary").alias("kept"), F.octet_length("text").cast("long").alias("n_bytes"),
-                                              F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
-    return out.unionByName(alone).withColumnRenamed("id", id_col)
+    return out.unionByName(_left_alone(texts)).withColumnRenamed("id", id_col)
+
+
+def _left_alone(texts: DataFrame) -> DataFrame:
+    return texts.filter("id IS NULL").select("id", F.col("text").cast("binary").alias("kept"), F.octet_length("text").cast("long").alias("n_bytes"),
+                                             F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
 
 
 def digest(kept: DataFrame, id_col: str = "doc_id") -> DataFrame:

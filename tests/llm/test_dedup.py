@@ -245,3 +245,21 @@ def test_line_dedup_odd_rows(spark, make):
     got = line_dedup.dedup_lines(make(ODD)).collect()
     assert len(got) == len(ODD) and {r["__n_removed"] for r in got} == {0}
     assert line_dedup.dedup_lines(make([])).count() == 0
+
+
+# ------------------------------------------------------------------ ids
+
+def test_rows_of_one_id_are_documents_of_their_own(spark, make):
+    rng = random.Random(31)
+    shared = prose(rng, 30)
+    texts = [f"{prose(rng, 30)} {k}" for k in range(4)]
+    rows = [(1, f"first line of its own here\n{shared}"), (None, f"{texts[0]}\n{shared}"), (None, f"{texts[1]}\n{texts[2]}"), (7, texts[3]), (7, "another text under the same id"), (7, texts[3])]
+    got = [(r.doc_id, r["__kept_text"]) for r in line_dedup.dedup_lines(make(rows)).collect()]
+    assert (None, rows[2][1]) in got and sum(shared in t for _, t in got) == 1 and got.count((7, texts[3])) == 2
+    got = suffix_dedup.remove_repeats(make(rows)).collect()
+    assert sorted((str(r.doc_id), r.n_bytes) for r in got) == sorted((str(i), len(t)) for i, t in rows[:5])
+    got = jaccard_join.join_similar(make(rows)).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == sorted((str(i), len(shingles(t)), str(i)) for i, t in rows[:5])
+    import corpus_pipeline
+    got = corpus_pipeline.near_duplicates(spark, make(rows), "").collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(i), t) for i, t in rows[:5])
