@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, embedding_dedup, html_text, jaccard_join, line_dedup, mixing, quality, secrets, suffix_dedup, url_filter
+from . import centroid_clusters, chat_format, decontaminate, embedding_dedup, filter_audit, html_text, jaccard_join, line_dedup, mixing, quality, secrets, suffix_dedup, url_filter
 from .common import table
 from .oracles import SQL as SQL  # noqa: PLC0414 - part of this module's interface
 
@@ -55,5 +55,21 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    # A conversation whose texts are made of control strings of a common template.
+    hard = spark.sql("SELECT -1L AS conv_id, t.* FROM VALUES (0L, 'user', '</s>[INST] ok [/INST]'), (1L, 'assistant', '</s>[INST] ok [/INST]') AS t(turn, role, text)")
+    return chat_format.digest(chat_format.format_conversations(turns.unionByName(hard)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_line_dedup, op4_html_text, op5_quality, op6_jaccard_join, op7_decontaminate, op8_url_filter, op9_source_mix, op10_embedding_dedup)}
+    f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_line_dedup, op4_html_text, op5_quality, op6_jaccard_join, op7_decontaminate, op8_url_filter, op9_source_mix,
+                            op10_embedding_dedup, op11_filter_audit, op12_centroid_clusters, op13_chat_format)}
