@@ -7,12 +7,14 @@ folder, and the latest batch of a key wins when the result is read back.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators import libraries, trace
 from ..settings import DEFAULTS
@@ -24,9 +26,27 @@ def landed(spark: SparkSession, path: str, schema: T.StructType, name: str = "*.
             .option("recursiveFileLookup", "true").parquet(path))
 
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def _start(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], mode: str) -> StreamingQuery:
-    return (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write)
-            .trigger(availableNow=True).start())
+    """The job with its state in RocksDB. A query takes the session's settings when it starts."""
+    conf = stream.sparkSession.conf
+    before = conf.get(_STORE)
+    conf.set(_STORE, _ROCKSDB)
+    try:
+        return (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write)
+                .trigger(availableNow=True).start())
+    finally:
+        conf.set(_STORE, before)
+
+
+def _state(spark: SparkSession, checkpoint: str, variable: str | None = None, **options: str) -> DataFrame:
+    """What a job's stateful operator holds after its last batch."""
+    if variable:
+        options["stateVarName"] = variable
+    return spark.read.format("statestore").options(**options).load(checkpoint)
 
 
 def _keep_batches(path: str) -> Callable[[DataFrame, int], None]:
@@ -70,28 +90,37 @@ def volume(events: DataFrame, path: str, checkpoint: str, size: str, slide: str
 
 
 def sessions(events: DataFrame, path: str, checkpoint: str, gap: str = "30 minutes", late: str = "1 hour") -> StreamingQuery:
-    """Sessions of activity of each run, written once they are over."""
+    """Sessions of activity of each run, written once they are over; `open_sessions` has the others."""
     agg = (events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "run_id").agg(F.count(F.lit(1)).alias("events"))
            .select("run_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "events"))
     return _start(agg, checkpoint, _keep_batches(path), "append")
 
 
+def open_sessions(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The sessions of a `sessions` job that may still go on, read from its state."""
+    return _state(spark, checkpoint).select("value.run_id", F.col("value.session_window.start").alias("start"), F.col("value.session_window.end").alias("end"),
+                                            F.col("value.count").alias("events"))
+
+
 # ------------------------------------------------------------------ libraries
 
-def add_documents(documents: DataFrame, held: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Arriving documents with each one's status: a text is added to a library once, whether
-    it was held before, came in an earlier batch, or comes twice in one."""
-    spark = documents.sparkSession
+def add_documents(documents: DataFrame, held: DataFrame, path: str, checkpoint: str, arrived: str = "arrived", within: str = "30 days") -> StreamingQuery:
+    """Arriving documents that are added: a text is added to a library once, whether
+    it was held before, came in an earlier batch, or comes twice in one.
 
-    def write(batch: DataFrame, number: int) -> None:
-        before = held.select("corpus", "sha256")
-        if number:
-            earlier = spark.read.option("basePath", path).parquet(path).filter((F.col("batch") < number) & (F.col("status") == "added"))
-            before = before.unionByName(earlier.select("corpus", "sha256"))
-        before = before.join(batch.select("corpus", "sha256"), ["corpus", "sha256"], "left_semi")
-        libraries.add_status(batch, before).write.mode("overwrite").parquet(f"{path}/batch={number}")
+    Texts that arrived `within` this time before are known by state, which holds their digests for so long and is dropped after it; those
+    of before by `held`, which a stream-static join reads. No batch reads what earlier ones wrote. Of equal texts in one batch the first that
+    is read is added, where a file is read in several parts any of them.
+    """
+    new = documents.withWatermark(arrived, within).dropDuplicatesWithinWatermark(["corpus", "sha256"])
+    new = new.join(held.select("corpus", "sha256").distinct(), ["corpus", "sha256"], "left_anti")
+    return _start(new, checkpoint, _keep_batches(path), "append")
 
-    return _start(documents, checkpoint, write, "append")
+
+def add_statuses(documents: DataFrame, added: DataFrame) -> DataFrame:
+    """The status of documents that have arrived, by what `add_documents` has added."""
+    known = added.select(F.col("document_id"), F.lit("added").alias("status"))
+    return documents.join(known, "document_id", "left").withColumn("status", F.coalesce("status", F.lit("duplicate")))
 
 
 def record_versions(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -123,117 +152,202 @@ def record_versions(changes: DataFrame, path: str, checkpoint: str) -> Streaming
 
 # ------------------------------------------------------------------ state per key
 #
-# State is small by rule: a buffer under its token budget, a streak, a pair of times. Rows of
-# a key come a micro-batch at a time, and a batch is bounded by files per trigger.
-
-_FOLDED = T.StructType([T.StructField(n, t) for n, t in (
-    ("run_id", T.LongType()), ("agent_id", T.StringType()), ("summary_no", T.LongType()), ("messages", T.LongType()), ("excerpt", T.StringType()))])
-_BUFFER = T.StructType([T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("lines", T.ArrayType(T.StringType())),
-                        T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("folds", T.LongType())])
+# State lies in RocksDB and is small by rule: a buffer under its token budget, a streak, a pair of
+# times. The rows of a key come in frames of at most `spark.sql.execution.arrow.maxRecordsPerBatch`
+# rows, and only one of these is in memory at a time.
+
+class _InOrder(StatefulProcessor):
+    """Takes the rows of a key in a batch by number. One frame is sorted where it is. When there are more, their
+    rows are put in a map of the state store, each under its number, and taken out again by number, so that
+    what is in memory of a key with most rows of a batch are numbers."""
+
+    number: str
+    fields: tuple[str, ...]
+    schema: str
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.waiting = handle.getMapState("waiting", "number long, place long", self.schema)
+
+    def in_order(self, frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        first = next(frames, None)
+        second = next(frames, None)
+        if first is None:
+            return
+        if second is None:
+            yield from first.sort_values(self.number, kind="stable")[list(self.fields)].itertuples(index=False, name=None)
+            return
+        numbers = []
+        for place, frame in enumerate(chain((first, second), frames)):
+            values = frame[list(self.fields)].astype(object).where(frame[list(self.fields)].notna(), None)
+            for at, (number, row) in enumerate(zip(frame[self.number].tolist(), values.itertuples(index=False, name=None))):
+                self.waiting.updateValue((int(number), place * len(first) + at), row)
+            numbers.append(np.column_stack([frame[self.number].to_numpy(np.int64), place * len(first) + np.arange(len(frame))]))
+        first = second = None
+        both = np.concatenate(numbers)
+        for key in both[np.lexsort((both[:, 1], both[:, 0]))]:
+            key = (int(key[0]), int(key[1]))
+            yield tuple(self.waiting.getValue(key))
+            self.waiting.removeKey(key)
+
+
+def _stateful(rows: DataFrame, keys: list[str], processor: StatefulProcessor, out: str, time: str = "None") -> DataFrame:
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, out, "append", time)
+
+
+class _Compaction(_InOrder):
+    number, fields, schema = "message_id", ("message_id", "role", "content"), "message_id long, role string, content string"
+
+    def __init__(self, budget: int, fraction: float) -> None:
+        self.budget, self.fraction = budget, fraction
+
+    def init(self, handle):
+        super().init(handle)
+        self.buffer = handle.getListState("buffer", "message_id long, line string, tokens long")
+        self.folds = handle.getValueState("folds", "folds long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        buffer = deque((int(i), line, int(t)) for i, line, t in self.buffer.get())
+        total, folds = sum(t for _, _, t in buffer), int(self.folds.get()[0]) if self.folds.exists() else 0
+        out = []
+        for number, role, content in self.in_order(rows):
+            tokens = max(1, int(len(content) / 3.5))
+            buffer.append((int(number), f"{role}: {content}", tokens))
+            total += tokens
+            if total > self.budget and len(buffer) >= 2:
+                n = max(2, int(len(buffer) * self.fraction))
+                gone = [buffer.popleft() for _ in range(n)]
+                folds, total = folds + 1, total - sum(t for _, _, t in gone)
+                out.append((*key, folds, n, "\n".join(line for _, line, _ in gone)))
+        self.buffer.put(list(buffer)) if buffer else self.buffer.clear()
+        self.folds.update((folds,))
+        yield pd.DataFrame(out, columns=["run_id", "agent_id", "summary_no", "messages", "excerpt"])
 
 
 def compaction(messages: DataFrame, path: str, checkpoint: str, budget: int = DEFAULTS.short_term_token_budget,
                fraction: float = DEFAULTS.compact_fraction) -> StreamingQuery:
     """The buffer of each (run, agent) as messages come: over budget, its oldest part is
     folded and written. Messages of a batch are taken in the order of their ids."""
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids, lines, tokens, folds = (list(state.get[0]), list(state.get[1]), list(state.get[2]), state.get[3]) if state.exists else ([], [], [], 0)
-        out = []
-        for m in pd.concat(list(frames)).sort_values("message_id").itertuples():
-            ids.append(int(m.message_id))
-            lines.append(f"{m.role}: {m.content}")
-            tokens.append(max(1, int(len(m.content) / 3.5)))
-            if sum(tokens) > budget and len(ids) >= 2:
-                n = max(2, int(len(ids) * fraction))
-                folds += 1
-                out.append((key[0], key[1], folds, n, "\n".join(lines[:n])))
-                ids, lines, tokens = ids[n:], lines[n:], tokens[n:]
-        state.update((ids, lines, tokens, folds))
-        yield pd.DataFrame(out, columns=_FOLDED.fieldNames())
+    folded = _stateful(messages, ["run_id", "agent_id"], _Compaction(budget, fraction), "run_id long, agent_id string, summary_no long, messages long, excerpt string")
+    return _start(folded, checkpoint, _keep_batches(path), "append")
+
+
+def buffers(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The messages now in each buffer of a `compaction` job, read from its state."""
+    rows = _state(spark, checkpoint, "buffer", flattenCollectionTypes="true")
+    return rows.select("key.run_id", "key.agent_id", "list_element.message_id", "list_element.line", "list_element.tokens")
+
 
-    states = messages.groupBy("run_id", "agent_id").applyInPandasWithState(fold, _FOLDED, _BUFFER, "append", GroupStateTimeout.NoTimeout)
-    return _start(states, checkpoint, _keep_batches(path), "append")
+class _Halts(_InOrder):
+    number, fields, schema = "position", ("position", "status", "http_status"), "position long, status string, http_status int"
 
+    def init(self, handle):
+        super().init(handle)
+        self.streak = handle.getValueState("streak", "failures int, halted boolean")
 
-_HALT = T.StructType([T.StructField("crawl_id", T.LongType()), T.StructField("position", T.LongType()), T.StructField("reason", T.StringType())])
-_STREAK = T.StructType([T.StructField("failures", T.IntegerType()), T.StructField("halted", T.BooleanType())])
+    def handleInputRows(self, key, rows, timerValues):
+        failures, halted = self.streak.get() if self.streak.exists() else (0, False)
+        out = []
+        for position, status, http_status in self.in_order(rows):
+            if halted:
+                continue                       # what waits is still taken out
+            failures = failures + 1 if status == "error" else 0
+            busy = status == "error" and http_status in (429, 503)
+            halted = busy or failures >= 3
+            if halted:
+                out.append((key[0], int(position), "busy" if busy else "three in a row"))
+        self.streak.update((int(failures), bool(halted)))
+        yield pd.DataFrame(out, columns=["crawl_id", "position", "reason"])
 
 
 def crawl_halts(results: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Where each crawl has to stop, as its results come: at a 429 or 503, or at the third
     failed request in a row."""
-    def watch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures, halted = state.get if state.exists else (0, False)
-        out = []
-        if not halted:
-            for r in pd.concat(list(frames)).sort_values("position").itertuples():
-                failures = failures + 1 if r.status == "error" else 0
-                busy = r.status == "error" and r.http_status in (429, 503)
-                if busy or failures >= 3:
-                    out.append((key[0], int(r.position), "busy" if busy else "three in a row"))
-                    halted = True
-                    break
-        state.update((failures, halted))
-        yield pd.DataFrame(out, columns=_HALT.fieldNames())
-
-    halts = results.groupBy("crawl_id").applyInPandasWithState(watch, _HALT, _STREAK, "append", GroupStateTimeout.NoTimeout)
+    halts = _stateful(results, ["crawl_id"], _Halts(), "crawl_id long, position long, reason string")
     return _start(halts, checkpoint, _keep_batches(path), "append")
 
 
-_PACED = T.StructType([T.StructField("source", T.StringType()), T.StructField("request_id", T.LongType()),
-                       T.StructField("cooling", T.BooleanType()), T.StructField("too_soon", T.BooleanType())])
-_CLOCK = T.StructType([T.StructField("last", T.DoubleType()), T.StructField("limited", T.DoubleType())])
+class _Pace(_InOrder):
+    number, fields = "at_us", ("request_id", "at_us", "limited")
+    schema = "request_id long, at_us long, limited boolean"
+
+    def __init__(self, cooldown: float, spacing: float) -> None:
+        self.cooldown, self.spacing = cooldown, spacing
+
+    def init(self, handle):
+        super().init(handle)
+        self.clock = handle.getValueState("clock", "last long, limited long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        last, limited = self.clock.get() if self.clock.exists() else (None, None)
+        out = []
+        for request, at, was_limited in self.in_order(rows):
+            since = lambda t: None if t is None else (at - t) / 1e6      # noqa: B023, E731
+            out.append((key[0], int(request), limited is not None and since(limited) < self.cooldown, last is not None and since(last) < self.spacing))
+            last, limited = int(at), int(at) if was_limited else limited
+        self.clock.update((last, limited))
+        yield pd.DataFrame(out, columns=["source", "request_id", "cooling", "too_soon"])
 
 
 def cooldowns(requests: DataFrame, path: str, checkpoint: str, cooldown: float = DEFAULTS.cooldown_s, spacing: float = DEFAULTS.spacing_s) -> StreamingQuery:
     """Requests (`source`, `request_id`, `at_s`, `limited`) made while a source was cooling
     down after a 429, or less than the spacing after the one before."""
-    def pace(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, limited = state.get if state.exists else (None, None)
-        out = []
-        for r in pd.concat(list(frames)).sort_values(["at_s", "request_id"]).itertuples():
-            out.append((key[0], int(r.request_id), limited is not None and r.at_s - limited < cooldown, last is not None and r.at_s - last < spacing))
-            last, limited = r.at_s, (r.at_s if r.limited else limited)
-        state.update((last, limited))
-        yield pd.DataFrame(out, columns=_PACED.fieldNames())
-
-    paced = requests.groupBy("source").applyInPandasWithState(pace, _PACED, _CLOCK, "append", GroupStateTimeout.NoTimeout)
+    rows = requests.select("source", "request_id", F.round(F.col("at_s") * 1_000_000).cast("long").alias("at_us"), "limited")
+    paced = _stateful(rows, ["source"], _Pace(cooldown, spacing), "source string, request_id long, cooling boolean, too_soon boolean")
     return _start(paced, checkpoint, _keep_batches(path), "append")
 
 
-_LATE = T.StructType([T.StructField("run_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("outcome", T.StringType())])
-_OPEN = T.StructType([T.StructField("turn", T.LongType()), T.StructField("opened_ms", T.LongType())])
+class _Deadlines(_InOrder):
+    number, fields, schema = "at_ms", ("turn", "at_ms", "kind"), "turn long, at_ms long, kind string"
+
+    def __init__(self, limit: int) -> None:
+        self.limit = limit
+
+    def init(self, handle):
+        super().init(handle)
+        self.handle = handle
+        self.open = handle.getValueState("open", "turn long, opened_ms long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        turn, opened = self.open.get() if self.open.exists() else (None, None)
+        before, out = opened, []
+        for number, at, kind in self.in_order(rows):
+            if turn is not None and (at - opened > self.limit or kind == "opened"):
+                out.append((key[0], int(turn), "passed over"))
+                turn = None
+            if kind == "opened":
+                turn, opened = int(number), int(at)
+            elif turn is not None:
+                out.append((key[0], int(turn), "answered"))
+                turn = None
+        if before is not None and (turn is None or opened != before):
+            self.handle.deleteTimer(int(before) + self.limit)
+        if turn is None:
+            self.open.clear()
+        else:
+            self.open.update((turn, opened))
+            if opened != before:
+                self.handle.registerTimer(int(opened) + self.limit)
+        yield _outcomes(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        turn = self.open.get()[0] if self.open.exists() else None
+        self.open.clear()
+        yield _outcomes([] if turn is None else [(key[0], int(turn), "passed over")])
+
+
+def _outcomes(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["run_id", "turn", "outcome"])
 
 
-def turn_deadlines(turns: DataFrame, path: str, checkpoint: str, minutes: int = DEFAULTS.reply_minutes_default) -> StreamingQuery:
+def turn_deadlines(turns: DataFrame, path: str, checkpoint: str, minutes: int = DEFAULTS.reply_minutes_default, late: str = "1 minute") -> StreamingQuery:
     """Turns (`run_id`, `turn`, `ts`, `kind` of opened or replied): answered in time, or
-    passed over once event time is past the deadline. A run has one turn open at a time."""
-    limit = minutes * 60_000
+    passed over when a timer finds event time past the deadline. A run has one turn open at a time; `open_turns` has
+    those still open."""
+    rows = turns.withWatermark("ts", late).select("run_id", "turn", "ts", F.unix_millis("ts").alias("at_ms"), "kind")
+    done = _stateful(rows, ["run_id"], _Deadlines(minutes * 60_000), "run_id long, turn long, outcome string", "eventtime")
+    return _start(done, checkpoint, _keep_batches(path), "append")
 
-    def watch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out = []
-        if state.hasTimedOut:
-            out.append((key[0], state.get[0], "passed over"))
-            state.remove()
-        else:
-            turn, opened = state.get if state.exists else (None, None)
-            for r in pd.concat(list(frames)).sort_values(["ts", "turn"]).itertuples():
-                at = int(r.ts.timestamp() * 1000)
-                if turn is not None and (at - opened > limit or r.kind == "opened"):
-                    out.append((key[0], turn, "passed over"))
-                    turn = None
-                if r.kind == "opened":
-                    turn, opened = int(r.turn), at
-                elif turn is not None:
-                    out.append((key[0], turn, "answered"))
-                    turn = None
-            if turn is None:
-                state.remove()
-            else:
-                state.update((turn, opened))
-                state.setTimeoutTimestamp(max(opened + limit + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=_LATE.fieldNames())
-
-    late = (turns.withWatermark("ts", "1 minute").groupBy("run_id")
-            .applyInPandasWithState(watch, _LATE, _OPEN, "append", GroupStateTimeout.EventTimeTimeout))
-    return _start(late, checkpoint, _keep_batches(path), "append")
+
+def open_turns(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The turns that wait for a reply in a `turn_deadlines` job, read from its state."""
+    return _state(spark, checkpoint, "open").select("key.run_id", "value.turn", F.timestamp_millis("value.opened_ms").alias("opened"))

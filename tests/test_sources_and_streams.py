@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from folioscope.operators import transcripts, web
@@ -116,13 +117,19 @@ def test_streamed_metrics_equal_the_batch_over_many_batches(spark, tmp_path):
 
 
 def test_streamed_documents_over_many_batches(spark, tmp_path):
-    rows = [(i, "L", f"s{i % 5}") for i in range(20)] + [(20, "L", "held")]
-    d = spark.createDataFrame(rows, "document_id long, corpus string, sha256 string")
+    rows = [(i, "L", f"s{i % 5}", f"2024-01-01 00:00:{i:02d}") for i in range(20)] + [(20, "L", "held", "2024-01-01 00:01:00")]
+    d = spark.createDataFrame(rows, "document_id long, corpus string, sha256 string, arrived string").withColumn("arrived", F.col("arrived").cast("timestamp"))
     src = parts_of(d, str(tmp_path / "in"), 3, "document_id")
     held = spark.createDataFrame([("L", "held")], "corpus string, sha256 string")
-    st.add_documents(st.landed(spark, src, d.schema, files_per_trigger=1), held, str(tmp_path / "out"), str(tmp_path / "place")).awaitTermination()
-    added = sorted(r.document_id for r in st.every(spark, str(tmp_path / "out")).filter("status = 'added'").collect())
-    assert added == [0, 1, 2, 3, 4]
+    held.write.parquet(str(tmp_path / "held"))
+    held = spark.read.parquet(str(tmp_path / "held"))
+    job = st.add_documents(st.landed(spark, src, d.schema, files_per_trigger=1), held, str(tmp_path / "out"), str(tmp_path / "place"))
+    job.awaitTermination()
+    out = st.every(spark, str(tmp_path / "out"))
+    assert sorted(r.document_id for r in out.collect()) == [0, 1, 2, 3, 4]
+    assert [p["numInputRows"] for p in job.recentProgress if p["numInputRows"]] == [7, 7, 7]      # its own files, nothing of earlier batches
+    statuses = {r.document_id: r.status for r in st.add_statuses(d, out).collect()}
+    assert statuses[20] == "duplicate" and sum(s == "added" for s in statuses.values()) == 5
 
 
 def test_streamed_versions(spark, tmp_path):
@@ -143,3 +150,78 @@ def test_streamed_compaction_keeps_the_buffer_under_budget(spark, tmp_path):
     assert [f.messages for f in folds] == [3, 3, 3]
     plan = transcripts.compaction_plan(m.withColumn("archived", F.lit(False)), budget=500)
     assert plan.count() == 6
+    held = [r.message_id for r in st.buffers(spark, str(tmp_path / "place")).orderBy("message_id").collect()]
+    assert held == [9, 10, 11]
+
+
+@pytest.fixture
+def small_frames(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "40")
+    yield
+    spark.conf.set(name, before)
+
+
+def folded(rows, budget, fraction=0.5):
+    """The folds of one buffer, message by message."""
+    buffer, out = [], []
+    for i, role, text in sorted(rows):
+        buffer.append((f"{role}: {text}", max(1, int(len(text) / 3.5))))
+        if sum(t for _, t in buffer) > budget and len(buffer) >= 2:
+            n = max(2, int(len(buffer) * fraction))
+            out.append((n, "\n".join(line for line, _ in buffer[:n])))
+            buffer = buffer[n:]
+    return out
+
+
+def test_streamed_compaction_of_one_key_with_most_rows(spark, tmp_path, small_frames):
+    rows = [(1, "a", "user", (i * 7919) % 600, "w" * (i % 90)) for i in range(600)] + [(k, "b", "user", i, "x" * 40) for k in range(2, 6) for i in range(5)]
+    m = spark.createDataFrame(rows, "run_id long, agent_id string, role string, message_id long, content string")
+    m.repartition(3).write.parquet(str(tmp_path / "in"))
+    st.compaction(st.landed(spark, str(tmp_path / "in"), m.schema), str(tmp_path / "out"), str(tmp_path / "place"), budget=60).awaitTermination()
+    out = st.every(spark, str(tmp_path / "out")).collect()
+    for key in {(r[0], r[1]) for r in rows}:
+        got = [(r.messages, r.excerpt) for r in sorted(out, key=lambda r: r.summary_no) if (r.run_id, r.agent_id) == key]
+        assert got == folded([r[3:4] + (r[2], r[4]) for r in rows if (r[0], r[1]) == key], 60)
+    waiting = spark.read.format("statestore").option("stateVarName", "waiting").option("flattenCollectionTypes", "true").load(str(tmp_path / "place"))
+    assert waiting.count() == 0
+
+
+def test_streamed_cooldowns_and_halts_of_one_key_with_most_rows(spark, tmp_path, small_frames):
+    from folioscope.operators import pacing
+    r = spark.range(400).selectExpr("IF(id % 10 = 0, 'q', 'p') AS source", "id AS request_id", "pmod(id * 7919, 400) * 7.0D AS at_s", "id % 37 = 0 AS limited")
+    r.repartition(2).write.parquet(str(tmp_path / "in"))
+    st.cooldowns(st.landed(spark, str(tmp_path / "in"), r.schema), str(tmp_path / "out"), str(tmp_path / "place"), 30, 8).awaitTermination()
+    got = st.every(spark, str(tmp_path / "out")).select("source", "request_id", "cooling", "too_soon")
+    want = pacing.cooldowns(r, 30, 8).select("source", "request_id", "cooling", "too_soon")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    c = spark.range(300).selectExpr("id % 2 AS crawl_id", "pmod(id * 7919, 300) AS position", "IF(pmod(id * 7919, 300) IN (200, 201, 202, 204, 206, 208, 210), 'error', 'added') AS status", "500 AS http_status")
+    c.write.parquet(str(tmp_path / "in2"))
+    st.crawl_halts(st.landed(spark, str(tmp_path / "in2"), c.schema), str(tmp_path / "out2"), str(tmp_path / "place2")).awaitTermination()
+    got = {r.crawl_id: r.position for r in st.every(spark, str(tmp_path / "out2")).collect()}
+    want = {r.crawl_id: r.p for r in web.halted(c).filter("outcome = 'stopped'").groupBy("crawl_id").agg(F.max("position").alias("p")).collect()}
+    assert got == want and got
+
+
+def test_streamed_deadlines_over_batches(spark, tmp_path):
+    at = lambda m: f"2024-01-01 {10 + m // 60}:{m % 60:02d}:00"      # noqa: E731
+    rows = [(1, 1, at(0), "opened"), (1, 1, at(20), "replied"), (1, 2, at(30), "opened"), (2, 1, at(5), "opened"),          # run 1 answers, then keeps silent
+            (2, 1, at(45), "replied"), (3, 1, at(50), "opened"), (3, 2, at(55), "opened"),                                    # late; opened twice
+            (3, 2, at(84), "replied"), (4, 1, at(85), "opened")]                                                             # in time; open at the end
+    d = spark.createDataFrame(rows, "run_id long, turn long, ts string, kind string").withColumn("ts", F.col("ts").cast("timestamp"))
+    src = parts_of(d, str(tmp_path / "in"), 3, "ts")
+    st.turn_deadlines(st.landed(spark, src, d.schema, files_per_trigger=1), str(tmp_path / "out"), str(tmp_path / "place"), 30).awaitTermination()
+    got = sorted((r.run_id, r.turn, r.outcome) for r in st.every(spark, str(tmp_path / "out")).collect())
+    assert got == [(1, 1, "answered"), (1, 2, "passed over"), (2, 1, "passed over"), (3, 1, "passed over"), (3, 2, "answered")]
+    assert [(r.run_id, r.turn) for r in st.open_turns(spark, str(tmp_path / "place")).collect()] == [(4, 1)]
+
+
+def test_sessions_closed_and_open(spark, tmp_path):
+    rows = [(1, "2024-01-01 10:00:00"), (1, "2024-01-01 10:20:00"), (1, "2024-01-01 11:00:00"), (2, "2024-01-01 15:00:00")]
+    e = spark.createDataFrame(rows, "run_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    src = parts_of(e, str(tmp_path / "in"), 2, "ts")
+    st.sessions(st.landed(spark, src, e.schema, files_per_trigger=1), str(tmp_path / "out"), str(tmp_path / "place")).awaitTermination()
+    closed = sorted((r.run_id, r.events) for r in st.every(spark, str(tmp_path / "out")).collect())
+    still = sorted((r.run_id, r.events) for r in st.open_sessions(spark, str(tmp_path / "place")).collect())
+    assert closed == [(1, 1), (1, 2)] and still == [(2, 1)]
