@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioscope.llm import jaccard_join, line_dedup, suffix_dedup
 from folioscope.llm.common import groups
@@ -136,28 +137,22 @@ def test_jaccard_join_odd_rows(spark, make):
 
 # ------------------------------------------------------------------ lines
 
-def test_simhash_is_the_majority_of_bits(spark, make):
-    text = "amber birch cedar delta ember\n" + " ".join(f"w{i % 2500}" for i in range(2600)) + "\nx y"
-    rows = line_dedup._distinct(line_dedup.line_hashes(make([(1, text), (2, text)]), "doc_id", "text", 5)).collect()
-    assert len(rows) == 2
-    df = spark.createDataFrame([(line, w) for line in text.split("\n")[:2] for w in line.split(" ")], "line string, w string").selectExpr("line", "xxhash64(w) AS x")
-    words = {}
-    for r in df.collect():
-        words.setdefault(r.line, set()).add(r.x)
-    want = {sum(1 << b for b in range(60) if 2 * sum((x >> b) & 1 for x in xs) > len(xs)) for xs in words.values()}
-    assert {r.sim for r in rows} == want
+def test_simhash_is_the_majority_of_bits(spark):
+    rng = random.Random(12)
+    rows = [[rng.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (1, 2, 5, 31, 1023, 1024, 1500)]
+    got = spark.createDataFrame([(r,) for r in rows], "xs array<long>").select("xs", line_dedup.simhash(F.col("xs")).alias("sim")).collect()
+    assert [r.sim for r in got] == [sum(1 << b for b in range(60) if 2 * sum((x >> b) & 1 for x in r.xs) > len(r.xs)) for r in got]
 
 
 def test_line_dedup(spark, make):
     rng = random.Random(2)
     a, b = prose(rng, 80), prose(rng, 90)
     near = a.replace("amber", "ambers", 1) if "amber" in a else a + "s"
-    docs = [(1, f"{a}\nshort line\n{b}"), (2, f"short line\n{a.upper()}\n"), (3, f"{near}\nits own line of five words"), (4, f"\n{b}\n{b}"), (5, None), (6, "")]
+    wide = [" ".join(b.split()[:12]), "\t".join(b.split()[:12]), "   ".join(b.split()[:12])]
+    docs = [(1, f"{a}\nshort line\n{b}"), (2, f"short line\n{a.upper()}\n"), (3, f"{near}\nits own line of five words"), (4, f"\n{b}\n{b}"), (5, None), (6, ""), (7, "\n".join(wide))]
     got = {r.doc_id: (r["__n_lines"], r["__n_removed"], r["__kept_text"]) for r in line_dedup.dedup_lines(make(docs)).collect()}
     assert got[1] == (3, 0, docs[0][1]) and got[2] == (3, 1, "short line\n") and got[4] == (3, 2, "") and got[5] == (0, 0, None) and got[6] == (1, 0, "")
-    sims = [r.sim for r in line_dedup._distinct(line_dedup.line_hashes(make([(1, a), (2, near)]), "doc_id", "text", 5)).collect()]
-    linked = bin(sims[0] ^ sims[1]).count("1") <= line_dedup.DISTANCE
-    assert got[3] == ((2, 1, "its own line of five words") if linked else (2, 0, docs[2][1]))
+    assert got[3] == (2, 1, "its own line of five words") and got[7] == (3, 2, wide[0])
 
 
 def levenshtein(a, b):
@@ -170,6 +165,7 @@ def levenshtein(a, b):
 
 
 def test_similar_lines_against_all_pairs(spark, make):
+    """Every line that has a partner by edit similarity alone finds its family."""
     rng = random.Random(9)
     lines = []
     for _ in range(8):
@@ -179,15 +175,12 @@ def test_similar_lines_against_all_pairs(spark, make):
             for _ in range(rng.randrange(3)):
                 words[rng.randrange(70)] = rng.choice(WORDS)
             lines.append(" ".join(words))
+    lines = list(dict.fromkeys(lines))
     df = make(list(enumerate(lines)))
-    hashed = line_dedup.line_hashes(df, "doc_id", "text", 5)
-    sim = {r.h: (r.sim, lines[r.first.id]) for r in line_dedup._distinct(hashed).collect()}
-    ids = sorted(sim)
-    pairs = [(x, y) for k, x in enumerate(ids) for y in ids[k + 1:] if bin(sim[x][0] ^ sim[y][0]).count("1") <= 3
-             and levenshtein(sim[x][1], sim[y][1]) <= int(0.2 * max(len(sim[x][1]), len(sim[y][1])) + 1e-9)]
-    got = {r.id: r.root for r in line_dedup.similar_lines(hashed, df, "doc_id", "text", 0.8).collect()}
-    want = roots(ids, pairs)
-    assert pairs and got == {x: want[x] for p in pairs for x in p}
+    pairs = [(x, y) for x in range(len(lines)) for y in range(x + 1, len(lines)) if levenshtein(lines[x], lines[y]) <= int(0.2 * max(len(lines[x]), len(lines[y])) + 1e-9)]
+    want = roots(range(len(lines)), pairs)
+    removed = {r.doc_id: r["__n_removed"] for r in line_dedup.dedup_lines(df).collect()}
+    assert pairs and removed == {x: int(want[x] != x) for x in want}
 
 
 def recall_of_lines(spark, make, change, sizes=(8, 12, 20, 30, 50, 80), each=25):
@@ -213,6 +206,19 @@ def replaced(share):
     return change
 
 
+def letters(share):
+    def change(rng, word, a):
+        text = list(" ".join(a))
+        for k in rng.sample(range(len(text)), round(share * len(text))):
+            text[k] = rng.choice("abcdefghijklmnopqrstuvwxyz")
+        return ["".join(text)]
+    return change
+
+
+def test_similar_lines_recall_of_changed_letters(spark, make):
+    assert recall_of_lines(spark, make, letters(0.05)) >= 0.9
+
+
 def test_similar_lines_recall(spark, make):
     assert recall_of_lines(spark, make, replaced(0)) >= 0.9          # one word
     assert recall_of_lines(spark, make, replaced(0.1)) >= 0.9
@@ -224,7 +230,6 @@ def test_block_choices_find_the_same(spark):
     sims = [rng.getrandbits(60) for _ in range(20)]
     sims += [s ^ (1 << rng.randrange(60)) ^ (1 << rng.randrange(60)) ^ (1 << rng.randrange(60)) for s in sims]
     df = spark.createDataFrame([(i, s) for i, s in enumerate(sims)], "i int, sim long")
-    from pyspark.sql import functions as F
     for blocks in (4, 5, 6, 7, 8):
         keys = df.select("i", F.explode(line_dedup.block_keys(F.col("sim"), blocks)).alias("k"))
         met = {(r.i, r.j) for r in keys.join(keys.withColumnRenamed("i", "j"), "k").filter("i < j").select("i", "j").distinct().collect()}
