@@ -371,22 +371,40 @@ def rename_in_config(configs: DataFrame, old: str, new: str) -> DataFrame:
         "agents": F.transform("agents", lambda a: F.struct(a["id"].alias("id"), swap(a["libraries"]).alias("libraries")))})
 
 
+def _followed(steps: DataFrame, names: int) -> tuple[DataFrame, DataFrame]:
+    """Chains of (`name`, `to`), each name once, followed by pointer doubling: every round a name takes over where the
+    name it points at has come to, so a chain of n steps takes log2(n) rounds, each of one join. Names that have come to an end are not
+    joined again. First come the names with their `end`; then those that are still on their way after as many
+    steps as there are names, which lead into a cycle, with the name on it that they have come to."""
+    step = pinned(steps.select("name", "to", F.lit(True).alias("live")))
+    ended = step.filter("not live").select("name", F.col("to").alias("end"))
+    for _ in range(max(names, 1).bit_length()):
+        ahead = step.select(F.col("name").alias("to"), F.col("to").alias("beyond"), F.col("live").alias("goes_on"))
+        joined = step.filter("live").join(ahead, "to", "left").select(
+            "name", F.coalesce("beyond", "to").alias("to"), F.coalesce("goes_on", F.lit(False)).alias("live"))
+        step = pinned(joined.unionByName(step.filter("not live")))
+        ended = step.filter("not live").select("name", F.col("to").alias("end"))
+        if step.filter("live").isEmpty():
+            break
+    return ended, step.filter("live").select("name", F.col("to").alias("end"))
+
+
 def current_names(renames: DataFrame) -> DataFrame:
     """Each former name and the name it goes by now. The last rename of a name counts; a
-    chain that comes back to a name it has passed stops there. One join per step of the
-    longest chain, each step written out before the next."""
-    last = pinned(renames.groupBy("old_name").agg(F.max_by("new_name", "rename_id").alias("new_name")))
-    step = last.select(F.col("old_name").alias("name"), F.col("new_name").alias("to"))
-    walk = last.select("old_name", F.col("new_name").alias("name"), F.array("old_name").alias("seen"))
-    done = None
-    while True:
-        tried = walk.join(step, "name", "left")
-        tried = pinned(tried.withColumn("end", F.col("to").isNull() | F.array_contains("seen", F.col("name"))))
-        ended = tried.filter("end").select("old_name", F.col("name").alias("new_name"))
-        done = ended if done is None else done.unionByName(ended)
-        walk = tried.filter("not end").select("old_name", F.col("to").alias("name"), F.array_append("seen", F.col("name")).alias("seen"))
-        if walk.isEmpty():
-            return done
+    chain that comes back to a name it has passed stops there.
+
+    Chains into a cycle are those that have no end. The names they have come to after as many steps as there are names are all of the
+    cycles'; those go by themselves again, and the others by the first of them they meet, which following once more with the
+    cycles taken out finds."""
+    last = pinned(renames.groupBy(F.col("old_name").alias("name")).agg(F.max_by("new_name", "rename_id").alias("to")))
+    names = last.count()
+    ended, looping = _followed(last, names)
+    on_cycle = pinned(looping.select(F.col("end").alias("name")).distinct())
+    if not on_cycle.isEmpty():
+        toward = last.join(looping.select("name"), "name", "left_semi").join(on_cycle, "name", "left_anti")
+        first, _ = _followed(toward, names)
+        ended = ended.unionByName(first).unionByName(on_cycle.select("name", F.col("name").alias("end")))
+    return ended.select(F.col("name").alias("old_name"), F.col("end").alias("new_name"))
 
 
 # ------------------------------------------------------------------ lists and sizes
