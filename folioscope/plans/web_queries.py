@@ -150,12 +150,13 @@ _ALLOWED = """CASE WHEN http_status <> 200 THEN true WHEN form = 0 THEN NOT star
 
 def _judged(spark, sf):
     links = op.extract_links(_pages(spark, sf))
-    return op.with_site_rules(links, _rules(spark, sf)).withColumn("target", urls.target(F.col("link")))
+    d = op.with_site_rules(links, _rules(spark, sf)).withColumn("target", urls.target(F.col("link")))
+    return d.withColumn("judged", op.decisions(F.col("sets"), F.col("target"))).drop("sets")
 
 
 @query("w8_robots_decision", f"SELECT page_id, link, {_ALLOWED} AS allowed FROM v_judged")
 def _(spark, sf):
-    return _judged(spark, sf).select("page_id", "link", op.allows(op.rules_for(F.col("agents"), "labbot"), F.col("target")).alias("allowed"))
+    return _judged(spark, sf).select("page_id", "link", op.allows(F.col("agents"), F.col("judged"), "labbot").alias("allowed"))
 
 
 _REFUSED = f"""CASE WHEN http_status = 503 THEN 'the site''s robots.txt could not be read (the site did not answer properly)'
@@ -165,7 +166,7 @@ _REFUSED = f"""CASE WHEN http_status = 503 THEN 'the site''s robots.txt could no
 
 def _refused(spark, sf):
     d = _judged(spark, sf)
-    return d.withColumns({"refusal": op.refusal(F.col("status"), F.col("agents"), F.col("target"), "labbot", F.lit("")),
+    return d.withColumns({"refusal": op.refusal(F.col("status"), F.col("agents"), F.col("judged"), "labbot", F.lit("")),
                           "delay": op.crawl_delay(F.col("delays"), F.col("agents"), "labbot")})
 
 
