@@ -240,16 +240,7 @@ SELECT c.doc_id, c.ordinal,
   (SELECT max(page) FROM marks m WHERE m.doc_id = c.doc_id AND m.at <= c.start + length(c.content)) AS page_end
 FROM chunked c""")
 def _(spark, sf):
-    d = ad.table(spark, sf, "documents")
-    marks = F.aggregate(
-        F.transform(F.split("text", "\n"), lambda t, i: F.struct(t.alias("t"), (i + 1).alias("page"))),
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,page:int>>)").alias("map")),
-        lambda a, p: F.when(p["t"] == "", a).otherwise(F.struct(
-            (a["at"] + F.length(p["t"]) + 2).alias("at"),
-            F.concat(a["map"], F.array(F.struct(a["at"].alias("start"), p["page"].alias("page")))).alias("map"))),
-        lambda a: a["map"])
-    docs = d.select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"), marks.alias("page_map"))
-    return op.anchor(op.chunk(docs, keep=("doc_id", "page_map"))).select("doc_id", "ordinal", "page_start", "page_end")
+    return op.anchor(op.chunk(ad.paragraphed(spark, sf)), op.page_starts(ad.pages_of_text(spark, sf)))
 
 
 @query("t14_token_estimate", "SELECT doc_id, greatest(1, CAST(floor(length(text) / 3.5) AS BIGINT)) AS tokens FROM documents")

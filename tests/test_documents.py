@@ -1,3 +1,4 @@
+import bisect
 import random
 import re
 
@@ -135,3 +136,23 @@ def test_ids_of_random_casts_against_the_rule(spark):
         used.add(found)
         want.append(found)
     assert got == want
+
+
+def test_anchors_of_many_pages_and_chunks(spark):
+    """One document of 20,000 pages and as many chunks, and a few small ones with pages that start where chunks do."""
+    pages = spark.range(20_000).selectExpr("1L AS doc_id", "id + 1 AS page", "repeat('x', cast(id % 7 as int)) AS text")
+    starts = op.page_starts(pages)
+    want, at = [], 0
+    for i in range(20_000):
+        if i % 7:
+            want.append((at, i + 1))
+            at += i % 7 + 2
+    assert [(r.start, r.page) for r in starts.orderBy("page").collect()] == want
+    chunks = spark.range(20_000).selectExpr("1L AS doc_id", "cast(id as int) AS ordinal", "cast(id * 5 as int) AS start", "repeat('y', cast(id % 40 as int)) AS content")
+    small = spark.createDataFrame([(2, 0, 0, "abc"), (2, 1, 3, "de"), (3, 0, 0, "no pages")], "doc_id long, ordinal int, start int, content string")
+    few = spark.createDataFrame([(2, 1, 0), (2, 2, 3), (2, 3, 3), (2, 4, 5)], "doc_id long, page long, start long")
+    got = {(r.doc_id, r.ordinal): (r.page_start, r.page_end) for r in op.anchor(chunks.unionByName(small), starts.unionByName(few)).collect()}
+    places = [p for p, _ in want]
+    page = lambda x: want[bisect.bisect_right(places, x) - 1][1]      # noqa: E731
+    assert all(got[1, i] == (page(5 * i), page(5 * i + i % 40)) for i in range(20_000))
+    assert got[2, 0] == (1, 3) and got[2, 1] == (3, 4) and got[3, 0] == (None, None)
