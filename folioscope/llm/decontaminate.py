@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import held, stored
+from .common import held, own_keys, repeats_ids, stored
 
 WINDOW = 8                 # words of a window
 LITERAL = 4                # words of a window that must not be placeholders, at least
@@ -61,9 +61,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     window is looked for as a whole. A run counts if at most one of its slots has a second value,
     or if most of its words are equal to the letter. Beside it count words in shorter runs whose
     slots do not contradict it. An item or document without words, or with a null text, matches nothing, and so does
-    an item that is nearly all placeholders. Rows that repeat an id count as one document. Other
-    columns are not read.
+    an item that is nearly all placeholders. Rows that repeat an id, null or not, are documents of their own if
+    their texts differ, and each is returned. No documents or no items give no rows. Other columns are not read.
     """
+    if docs.filter(F.col(id_col).isNull()).limit(1).count() or repeats_ids(docs, id_col):
+        keyed = own_keys(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__id", "__text")
+        found = contaminated(keyed, benchmark, "__key", "__text", item_col, item_text_col, window, share, long).withColumnRenamed("__key", "__of")
+        return found.join(keyed.select("__key", "__id"), F.col("__of") == F.col("__key")).select(F.col("__id").alias(id_col), item_col, "n_words", "n_found", "n_slots")
     items = benchmark.select(F.col(item_col).alias("item_id"), template_words(F.col(item_text_col), values=True).alias("item"))
     items = stored(items.filter(F.size("item") > 0).withColumn("n_words", F.size("item")))
     widths = [r["w"] for r in items.select(F.least("n_words", F.lit(window)).alias("w")).distinct().collect()]     # at most `window` numbers

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import groups, own_keys, repeats_ids, stored
@@ -33,6 +34,7 @@ WORDS = 5
 PERCENT = 80
 SAMPLE_ROWS = 4_096          # about so many documents show which pivots are common
 SKETCH_BITS = 512
+_LONG_WORD = 32              # bytes of a word up to which sums of powers tell words apart; long ones can be made to have the same sum
 COMMON = 3                   # documents of the sample that hold a common pivot
 _BROADCAST_ROWS = 1_000_000
 _SPACE = np.zeros(256, bool)
@@ -50,6 +52,8 @@ def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
         before = np.concatenate([[True], space[:-1]])
         start, end = np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
         words = Runs(data).digest(start, end)
+        for i in np.flatnonzero(end - start > _LONG_WORD):
+            words[i] = xxhash.xxh64_intdigest(data[start[i]:end[i]].tobytes())
         five = np.zeros(max(0, len(words) - WORDS + 1), np.uint64)
         for k in range(WORDS):
             five += words[k:len(words) - WORDS + 1 + k] * _PLACE[k] if len(five) else 0
@@ -248,5 +252,5 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         root = groups(linked.unionByName(_linked(rest, texts, percent)))
     of_set = leads.join(root, leads["lead"] == root["id"], "left").select("print", F.coalesce("root", "lead").alias("component"))
     out = whole.join(of_set, "print", "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
+    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))

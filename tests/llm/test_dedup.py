@@ -136,6 +136,12 @@ def test_jaccard_join_odd_rows(spark, make):
     assert jaccard_join.join_similar(make([])).count() == 0
 
 
+def test_jaccard_join_tells_long_words_apart(spark, make):
+    a = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))         # sums of powers of two's 64th cannot tell it from its complement
+    got = jaccard_join.join_similar(make([(1, a), (2, a.translate(str.maketrans("ab", "ba"))), (3, a), (None, a)])).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == [("1", "1"), ("2", "2"), ("3", "1"), ("None", "None")]
+
+
 # ------------------------------------------------------------------ lines
 
 def test_simhash_is_the_majority_of_bits():

@@ -142,6 +142,13 @@ def test_urls(spark):
     assert {r.verdict for r in url_filter.filter_urls(df, rules=(), blocked_labels=()).collect()} == {"allow"}
 
 
+def test_very_long_hosts(spark):
+    host = "a." * 100_000 + "free-bets.example.net"
+    df = spark.createDataFrame([(1, f"http://{host}/de/8/x"), (2, f"http://{host}/x"), (3, "http://" + "b" * 200_000 + ".com/en/")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(df).collect()}
+    assert got == {1: ("example.net/de/8", "block"), 2: (None, "block"), 3: ("com/en/", "block")}
+
+
 def test_digest_collisions_are_told_apart(spark, monkeypatch):
     index = url_filter.build_index(spark, [("block", "com/a"), ("allow", "net/b")], ["bad"])
     real = url_filter._digests(["com/a", "net/b"])
@@ -165,6 +172,19 @@ def test_contaminated(spark, make):
     assert decontaminate.contaminated(make([]), bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_are_laid_by_themselves(spark, make):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))      # noqa: E731
+    item = [word() for _ in range(24)]
+    fill = lambda n: " ".join(word() for _ in range(n))      # noqa: E731
+    half = [" ".join([fill(9), *item[:11], fill(9)]), " ".join([fill(9), *item[13:], fill(9)])]
+    bench = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    assert decontaminate.contaminated(make([(None, half[0]), (None, half[1]), (7, half[0]), (7, half[1])]), bench).count() == 0
+    whole = " ".join([fill(5), *item, fill(5)])
+    got = decontaminate.contaminated(make([(None, whole), (None, half[0]), (7, whole), (7, whole), (8, None)]), bench).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["7", "None"] and {r.n_found for r in got} == {24}
+
+
 def test_slots_are_judged_in_their_runs(spark, make):
     rng = random.Random(13)
     prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))      # noqa: E731
