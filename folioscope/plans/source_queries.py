@@ -147,7 +147,7 @@ def _(spark, sf):
 def _cast_text(spark, sf):
     """A cast file per document: two people, the second in bold, and for every fourth file
     the experiment around them."""
-    first = F.regexp_replace(F.substring(F.regexp_replace("text", r"[^A-Za-z ]", " "), 1, 60), r"\s+", " ")
+    first = F.regexp_replace(F.regexp_replace("text", r"[^A-Za-z ]", " "), r"\s+", " ")
     head = F.when(_i() % 4 == 0, F.concat(F.lit("# Scenario\nA dispute over "), _i(), F.lit(".\n\n# Settings\n- Max turns: 1,0"), _i() % 10, F.lit("\nWords per turn: 300\n\n# Source\nLink: https://example.org/a\n\n"))).otherwise("")
     return _docs(spark, sf).select(F.format_string("f%09d.md", _i()).alias("file"), F.concat(
         F.lit("<!-- how to use -->\n"), head, F.lit("# Dana Reyes "), _i(), F.lit("\n## Objectves\n"), first, F.lit("\n## Tendencies\n- listens\n  and waits\n- argues\n## Leverage\nmuch\n"
@@ -155,7 +155,7 @@ def _cast_text(spark, sf):
 
 
 @query("s11_cast_files", r"""
-WITH d AS (SELECT doc_id, printf('f%09d.md', doc_id) AS file, trim(regexp_replace(left(regexp_replace(text, '[^A-Za-z ]', ' ', 'g'), 60), '\s+', ' ', 'g')) AS goal FROM documents)
+WITH d AS (SELECT doc_id, printf('f%09d.md', doc_id) AS file, trim(regexp_replace(regexp_replace(text, '[^A-Za-z ]', ' ', 'g'), '\s+', ' ', 'g')) AS goal FROM documents)
 SELECT file, 'Dana Reyes ' || doc_id AS name, 'dana-reyes-' || doc_id AS agent_id, NULL AS role, nullif(goal, '') AS goal, 'listens and waits|argues' AS tendencies, 'Leverage: much' AS notes, NULL AS model, NULL AS played_by FROM d
 UNION ALL SELECT file, 'Lee Park', CASE WHEN row_number() OVER (ORDER BY file) = 1 THEN 'lee-park' ELSE 'lee-park-' || row_number() OVER (ORDER BY file) END, 'buyer' || chr(10) || 'Model: Default', NULL, NULL, NULL, NULL, 'person' FROM d""")
 def _(spark, sf):

@@ -13,160 +13,181 @@ from pyspark.sql.window import Window
 from ..functions import text as tx
 from ..scale import pinned
 
-# Section headings and the field each stands for.
+# What a section's heading says, and the field it stands for.
 SECTIONS = {
-    "role": "role, position, title, party",
-    "goal": "objective, goal, objectives, goals, aim, aims, what they want",
-    "backstory": "background, backstory, back story, history, experience, biography, bio, background and history",
-    "demeanor": "demeanor, demeanour, temperament, manner, style, personality, tone",
-    "tendencies": "tendencies, behavioral tendencies, behavioural tendencies, behavior, behaviour, behaviors, behaviours, habits, tactics",
-    "priorities": "priorities, interests, what they care about, what they care about most, concerns, values",
-    "bottom_line": "bottom line, walk away point, walkaway point, walk away, reservation point, reservation price, batna, red lines, limits",
-    "confidential": "confidential information, confidential, private information, private facts, secrets, secret information, "
-                    "what only they know, hidden information",
-    "model": "model, language model, llm, ai model, played by model",
-    "libraries": "case files, libraries, case file, own case files, library, private libraries, own sources, private sources, evidence, documents",
-    "played_by": "played by, player, human, human player, participant type",
-    "notes": "additional notes, notes, other notes, extra notes",
-    "system_prompt": "full prompt, system prompt, custom prompt",
-    "id": "short id, id",
+    "role": "role", "position": "role", "title": "role", "party": "role",
+    "objective": "goal", "objectives": "goal", "goal": "goal", "goals": "goal", "aim": "goal", "aims": "goal", "what they want": "goal",
+    "background": "backstory", "backstory": "backstory", "back story": "backstory", "history": "backstory", "experience": "backstory",
+    "biography": "backstory", "bio": "backstory", "background and history": "backstory",
+    "demeanor": "demeanor", "demeanour": "demeanor", "temperament": "demeanor", "manner": "demeanor", "style": "demeanor",
+    "personality": "demeanor", "tone": "demeanor",
+    "tendencies": "tendencies", "behavioral tendencies": "tendencies", "behavioural tendencies": "tendencies", "behavior": "tendencies",
+    "behaviour": "tendencies", "behaviors": "tendencies", "behaviours": "tendencies", "habits": "tendencies", "tactics": "tendencies",
+    "priorities": "priorities", "interests": "priorities", "what they care about": "priorities", "what they care about most": "priorities",
+    "concerns": "priorities", "values": "priorities",
+    "bottom line": "bottom_line", "walk away point": "bottom_line", "walkaway point": "bottom_line", "walk away": "bottom_line",
+    "reservation point": "bottom_line", "reservation price": "bottom_line", "batna": "bottom_line", "red lines": "bottom_line", "limits": "bottom_line",
+    "confidential information": "confidential", "confidential": "confidential", "private information": "confidential", "private facts": "confidential",
+    "secrets": "confidential", "secret information": "confidential", "what only they know": "confidential", "hidden information": "confidential",
+    "model": "model", "language model": "model", "llm": "model", "ai model": "model", "played by model": "model",
+    "case files": "libraries", "libraries": "libraries", "case file": "libraries", "own case files": "libraries", "library": "libraries",
+    "private libraries": "libraries", "own sources": "libraries", "private sources": "libraries", "evidence": "libraries", "documents": "libraries",
+    "played by": "played_by", "player": "played_by", "human": "played_by", "human player": "played_by", "participant type": "played_by",
+    "additional notes": "notes", "notes": "notes", "other notes": "notes", "extra notes": "notes",
+    "full prompt": "system_prompt", "system prompt": "system_prompt", "custom prompt": "system_prompt",
+    "short id": "id", "id": "id",
 }
+FIELDS = tuple(dict.fromkeys(SECTIONS.values()))
 LISTS = ("tendencies", "libraries")
 # Headings that belong to the experiment, its settings and its source.
-RESERVED = {"scenario": "scenario, the scenario", "settings": "settings, role play settings, roleplay settings, experiment settings, pacing",
-            "source": "source, drafted from, source material", "cast": "cast, the cast, participants, agents"}
-SETTINGS = {"max_turns": "max turns, maximum turns, turn limit, maximum number of turns, turns",
-            "word_limit": "words per turn, max words per turn, maximum words per turn, word limit, words"}
-SOURCE = {"title": "title", "url": "link, url, web address, address", "site": "site, website, publisher",
-          "published": "published, publication date, date published", "retrieved_at": "retrieved, read, accessed, date read", "words": "words",
-          "kind": "kind, type", "truncated": "shortened, truncated", "sha256": "sha 256, sha256, fingerprint"}
+RESERVED = {
+    "scenario": "scenario", "the scenario": "scenario",
+    "settings": "settings", "role play settings": "settings", "roleplay settings": "settings", "experiment settings": "settings", "pacing": "settings",
+    "source": "source", "drafted from": "source", "source material": "source",
+    "cast": "cast", "the cast": "cast", "participants": "cast", "agents": "cast",
+}
+SETTINGS = {
+    "max turns": "max_turns", "maximum turns": "max_turns", "turn limit": "max_turns", "maximum number of turns": "max_turns", "turns": "max_turns",
+    "words per turn": "word_limit", "max words per turn": "word_limit", "maximum words per turn": "word_limit", "word limit": "word_limit", "words": "word_limit",
+}
+SOURCE = {
+    "title": "title", "link": "url", "url": "url", "web address": "url", "address": "url", "site": "site", "website": "site", "publisher": "site",
+    "published": "published", "publication date": "published", "date published": "published",
+    "retrieved": "retrieved_at", "read": "retrieved_at", "accessed": "retrieved_at", "date read": "retrieved_at",
+    "words": "words", "kind": "kind", "type": "kind", "shortened": "truncated", "truncated": "truncated",
+    "sha 256": "sha256", "sha256": "sha256", "fingerprint": "sha256",
+}
 NONE_WORDS = ("none", "no", "n/a", "na", "nil", "-", "no case files")
 DEFAULT_WORDS = (*NONE_WORDS, "default", "the default", "lab default", "default model")
 PERSON_WORDS = ("person", "a person", "human", "a human", "human player", "a human player", "yes", "player", "participant", "a participant")
+# The marks at the beginning of a list entry, and those around bold text.
+ENTRY = r"[-*+•‣◦]|\d{1,3}[.)]"
+BOLD = ("**", "__")
 
-# The line forms of a cast file.
-_H1 = r"^#(?!#)(?:\s+|(?=[A-Za-z]))(.*?)\s*#*\s*$"
-_H2 = r"^#{2,6}(?:\s+|(?=[A-Za-z]))(.*?)\s*#*\s*$"
-_BOLD = r"^\s*(\*\*|__)(.+?)\1\s*:?\s*$"
-_LABEL = r"^\s*(?:\*\*|__)?([^:*_\n]{2,40}?)(?:\*\*|__)?\s*:\s*(?:\*\*|__)?\s*(.*\S)\s*$"
-_RULE = r"^\s*([-*_])(?:\s*\1){2,}\s*$"
-_BULLET = r"^\s*(?:[-*+•‣◦]|\d{1,3}[.)])\s+(.*)$"
-_NAME_LINE = r"^\s*(?:(\*\*|__)(.+?)\1|#{2,6}\s+(.+?)\s*#*)\s*$"
 
+def _among(table: dict[str, str], key: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
 
-def _lookup(table: dict[str, str]) -> Column:
-    entries = {}
-    for field, names in table.items():
-        for n in names.split(","):
-            entries.setdefault(" ".join(n.split()), field)
-    return F.create_map(*[F.lit(x) for kv in entries.items() for x in kv])
 
-
-def norm(label: Column) -> Column:
+def key_of(label: Column) -> Column:
     """A heading as a lookup key: "Walk-away point (private):" is "walk away point"."""
-    s = F.replace(F.lower(F.regexp_replace(label, r"\([^)]*\)", " ")), F.lit("&"), F.lit(" and "))
-    return tx.squeeze(F.regexp_replace(s, "[^a-z0-9]+", " "))
+    outside = F.replace(F.lower(F.regexp_replace(label, r"\([^)]*\)", " ")), F.lit("&"), F.lit(" and "))
+    return tx.squeeze(F.regexp_replace(outside, "[^a-z0-9]+", " "))
 
 
 def section_of(label: Column) -> Column:
     """The field a heading stands for, forgiving a small typo; the full prompt only exactly."""
-    key = norm(label)
-    known = [(" ".join(n.split()), field) for field, names in SECTIONS.items() if field != "system_prompt" for n in names.split(",")]
-    entries = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(f).alias("f")) for n, f in known if len(n) >= 6])
-    near = F.filter(entries, lambda e: F.startswith(key, e["n"]) | ((F.abs(F.length(key) - F.length(e["n"])) <= 2) & (F.levenshtein(key, e["n"], 2) >= 0)))
-    return F.coalesce(_lookup(SECTIONS)[key], F.when(F.length(key) >= 6, F.try_element_at(near, F.lit(1))["f"]))
-
-
-def _inline(c: Column) -> Column:
-    t = tx.strip(F.regexp_replace(tx.strip(c), r"^(\*\*|__)(.*)\1$", "$2"))
-    return tx.strip(F.regexp_replace(t, ":+$", ""))
-
-
-def _unescape(c: Column) -> Column:
-    return F.regexp_replace(c, r"^(\s*)\\([#*_+-])", "$1$2")
-
-
-def _text(lines: Column) -> Column:
-    """Lines as text: stripped, blank ends off, one blank line at most."""
-    t = F.array_join(F.transform(lines, lambda x: _unescape(tx.strip(x))), "\n")
-    return F.regexp_replace(F.regexp_replace(t, r"^\n+|\n+$", ""), r"\n{3,}", "\n\n")
-
-
-def _items(lines: Column) -> Column:
-    """List entries from bullets or numbers (wrapped lines join theirs), or one per line."""
-    bulleted = F.exists(lines, lambda x: x.rlike(_BULLET))
-    none = F.expr("cast(array() as array<string>)")
-
-    def step(acc, raw):
-        line = tx.strip(raw)
-        return (F.when(line == "", acc).when(raw.rlike(_BULLET), F.array_append(acc, tx.strip(F.regexp_extract(raw, _BULLET, 1))))
-                .when(bulleted & (F.size(acc) > 0), F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1),
-                                                                  F.concat(F.try_element_at(acc, F.lit(-1)), F.lit(" "), line)))
-                .otherwise(F.array_append(acc, line)))
-
-    return F.filter(F.transform(F.aggregate(lines, none, step), lambda x: tx.squeeze(_unescape(x))), lambda x: x != "")
+    key = key_of(label)
+    forgiving = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(f).alias("f")) for n, f in SECTIONS.items() if f != "system_prompt" and len(n) >= 6])
+    near = F.filter(forgiving, lambda e: F.startswith(key, e["n"]) | ((F.abs(F.length(key) - F.length(e["n"])) <= 2) & (F.levenshtein(key, e["n"], 2) >= 0)))
+    return F.coalesce(_among(SECTIONS, key), F.when(F.length(key) >= 6, F.try_element_at(near, F.lit(1))["f"]))
+
+
+def bare(c: Column) -> Column:
+    """A heading's or name's own text, without marks of bold around it and colons behind it."""
+    t = tx.strip(c)
+    for mark in BOLD:
+        t = F.when(t.startswith(mark) & t.endswith(mark) & (F.length(t) >= 4), tx.strip(F.substring(t, F.lit(3), F.length(t) - 4))).otherwise(t)
+    return tx.strip(F.rtrim(t, F.lit(":")))
+
+
+def line_form(raw: Column) -> Column:
+    """What a line is: its `kind` (person, section, bold, rule, item, blank or plain), for a heading its level, and
+    the text it carries."""
+    t = tx.strip(raw)
+    level = F.length(F.regexp_extract(raw, r"^(#{1,6})(?=\s|[A-Za-z])", 1))
+    heading = tx.strip(F.regexp_replace(F.substring(raw, level + 1, F.length(raw)), r"\s*#*\s*$", ""))
+    uncoloned = F.regexp_replace(t, r"\s*:$", "")
+    bold = F.lit(False)
+    for mark in BOLD:
+        bold = bold | (uncoloned.startswith(mark) & uncoloned.endswith(mark) & (F.length(uncoloned) > 4))
+    kind = (F.when(level == 1, "person").when(level > 1, "section").when(t == "", "blank").when(t.rlike(r"^([-*_])(\s*\1){2,}$"), "rule")
+            .when(bold, "bold").when(t.rlike(rf"^({ENTRY})\s"), "item").otherwise("plain"))
+    text = F.when(level > 0, heading).when(kind == "rule", "").when(kind == "bold", F.substring(uncoloned, F.lit(3), F.length(uncoloned) - 4)).when(
+        kind == "item", F.regexp_replace(t, rf"^({ENTRY})\s+", "")).otherwise(t)
+    # A mark at the beginning that is not to be read as one has a backslash before it.
+    said = F.when(kind == "rule", "").otherwise(F.regexp_replace(t, r"^\\(?=[#*_+-])", ""))
+    return F.struct(kind.alias("kind"), level.alias("level"), text.alias("text"), said.alias("said"), (kind.isin("section", "bold") & t.endswith(":")).alias("colon"))
+
+
+def label_and_value(line: Column) -> tuple[Column, Column]:
+    """Of a line "Label: value", the label perhaps in bold: both, or nulls."""
+    marks = r"^(\*\*|__)|(\*\*|__)$"
+    label = tx.strip(F.regexp_replace(tx.strip(F.substring_index(line, ":", 1)), marks, ""))
+    value = tx.strip(F.regexp_replace(tx.strip(F.regexp_replace(line, r"^[^:]*:", "")), r"^(\*\*|__)", ""))
+    right = line.contains(":") & F.length(label).between(2, 40) & ~label.rlike("[*_]") & (value != "")
+    return F.when(right, label), F.when(right, value)
 
 
 def file_lines(files: DataFrame) -> DataFrame:
-    """The lines of each file (`file`, `text`) with the person and section they stand in:
-    `h1` and `block` or `name`, `sec`, `heading`."""
-    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "^﻿", ""), r"(?s)<!--.*?-->", ""), r"\r\n?", "\n")
-    rows = files.select("file", F.posexplode(F.split(clean, "\n")).alias("pos", "raw"))
+    """The lines of each file (`file`, `text`) by their form, with the person and section they stand in:
+    `h1` and `title` or `block`, `sec`, `heading`."""
+    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "^\ufeff", ""), r"(?s)<!--.*?-->", ""), r"\r\n?", "\n")
+    rows = files.select("file", F.posexplode(F.split(clean, "\n")).alias("pos", "raw")).withColumn("form", line_form(F.col("raw"))).select("file", "pos", "form.*")
     w = Window.partitionBy("file").orderBy("pos")
-    known = _lookup(SECTIONS)
-    after = w.rowsBetween(1, Window.unboundedFollowing)
+    known = _among(SECTIONS, key_of(bare(F.col("text"))))
+    rows = rows.withColumn("field", F.when(F.col("kind").isin("section", "bold"), known))
+    # A bold line or lower heading that reads as a name, with a section behind it, opens a person. Where people have headings of
+    # their own, only before a role.
     rows = rows.withColumns({
-        "has_names": F.max(F.col("raw").rlike(_H1)).over(Window.partitionBy("file")),
-        "next": F.first(F.when(tx.strip(F.col("raw")) != "", F.col("raw")), ignorenulls=True).over(after)})
-
-    def heading(c):
-        return F.when(c.rlike(_H2), F.regexp_extract(c, _H2, 1)).when(c.rlike(_BOLD), F.regexp_extract(c, _BOLD, 2))
-
-    # A bold or sub-heading line that reads as a name before a section is a name line.
-    said = _inline(F.concat(F.regexp_extract("raw", _NAME_LINE, 2), F.regexp_extract("raw", _NAME_LINE, 3)))
-    follows = known[norm(_inline(F.coalesce(heading(F.col("next")), F.lit(""))))]
-    is_name = (F.col("raw").rlike(_NAME_LINE) & tx.word_count(said).between(2, 8) & ~said.endswith(".") & known[norm(said)].isNull()
-               & follows.isNotNull() & ((follows == "role") | ~F.col("has_names")))
-    rows = rows.withColumn("raw", F.when(F.coalesce(is_name, F.lit(False)), F.concat(F.lit("# "), said)).otherwise(F.col("raw")))
-    is_h1 = F.col("raw").rlike(_H1)
-    title = _inline(F.regexp_extract("raw", _H1, 1))
-    rows = rows.withColumn("is_h1", is_h1).withColumn("h1", F.sum(F.col("is_h1").cast("int")).over(w))
+        "has_people": F.max(F.col("kind") == "person").over(Window.partitionBy("file")),
+        "next": F.first(F.when(F.col("kind") != "blank", F.struct("field")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))["field"]})
+    name = bare(F.col("text"))
+    is_name = (F.col("kind").isin("section", "bold") & ~F.col("colon") & tx.word_count(name).between(2, 8) & ~name.endswith(".") & F.col("field").isNull()
+               & F.col("next").isNotNull() & ((F.col("next") == "role") | ~F.col("has_people")))
+    rows = rows.withColumn("kind", F.when(F.coalesce(is_name, F.lit(False)), "person").otherwise(F.col("kind")))
+    rows = rows.withColumn("is_h1", F.col("kind") == "person").withColumn("h1", F.sum(F.col("is_h1").cast("int")).over(w))
     per = Window.partitionBy("file", "h1").orderBy("pos")
-    rows = rows.withColumn("title", F.first(F.when(F.col("is_h1"), title), ignorenulls=True).over(per))
-    rows = rows.withColumn("block", _lookup(RESERVED)[norm(F.col("title"))])
-    opens = F.col("block").isNull() & ~F.col("is_h1") & (F.col("raw").rlike(_H2) | (
-        F.col("raw").rlike(_BOLD) & known[norm(F.regexp_extract("raw", _BOLD, 2))].isNotNull()))
+    rows = rows.withColumn("title", F.first(F.when(F.col("is_h1"), bare(F.col("text"))), ignorenulls=True).over(per))
+    rows = rows.withColumn("block", _among(RESERVED, key_of(F.col("title"))))
+    opens = F.col("block").isNull() & ((F.col("kind") == "section") | ((F.col("kind") == "bold") & F.col("field").isNotNull()))
     rows = rows.withColumn("opens", opens).withColumn("sec", F.sum(F.col("opens").cast("int")).over(per))
     inside = Window.partitionBy("file", "h1", "sec").orderBy("pos")
-    rows = rows.withColumn("heading", F.first(F.when(F.col("opens"), _inline(heading(F.col("raw")))), ignorenulls=True).over(inside))
-    rows = rows.withColumn("raw", F.when(F.col("raw").rlike(_RULE), "").otherwise(F.col("raw")))
+    rows = rows.withColumn("heading", F.first(F.when(F.col("opens"), bare(F.col("text"))), ignorenulls=True).over(inside))
     # Every reader below goes through the lines several times.
-    return pinned(rows.filter(F.col("h1") > 0).select("file", "pos", "raw", "is_h1", "h1", "title", "block", "opens", "sec", "heading"))
+    return pinned(rows.filter(F.col("h1") > 0).select("file", "pos", "kind", "text", "said", "is_h1", "h1", "title", "block", "opens", "sec", "heading"))
+
+
+def joined_text(lines: DataFrame, keys: list[str], name: str, paragraphs: Column | None = None) -> DataFrame:
+    """The lines of each group in one text `name`, with the first `pos`. Of blank lines between others one stays, where there
+    are to be paragraphs."""
+    gap = F.col("pos") - F.lag("pos").over(Window.partitionBy(*keys).orderBy("pos"))
+    before = F.when(gap.isNull(), "").when((gap > 1) if paragraphs is None else (gap > 1) & paragraphs, "\n\n").otherwise("\n")
+    parts = lines.filter("said <> ''").withColumn("part", F.concat(before, "said"))
+    return parts.groupBy(*keys).agg(F.min("pos").alias("pos"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"]), "").alias(name))
+
+
+def entries(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """The list entries of each group as `items`: a line without a mark goes on with the entry before it, and is one by itself
+    where no marked one is before it."""
+    w = Window.partitionBy(*keys).orderBy("pos")
+    some = lines.filter("said <> ''").withColumn("marked", F.sum((F.col("kind") == "item").cast("int")).over(w))
+    some = some.withColumn("entry", F.sum(((F.col("kind") == "item") | (F.col("marked") == 0)).cast("int")).over(w))
+    part = F.when(F.col("kind") == "item", F.regexp_replace("text", r"^\\(?=[#*_+-])", "")).otherwise(F.col("said"))
+    whole = some.groupBy(*keys, "entry").agg(tx.squeeze(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", part.alias("part")))), lambda x: x["part"]), " ")).alias("item"))
+    return whole.filter("item <> ''").groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("entry", "item"))), lambda x: x["item"]).alias("items"))
 
 
 def agent_fields(lines: DataFrame) -> DataFrame:
-    """One row per person and field (`file`, `h1`, `name`, `field`, `value`, `items`), in the
+    """One row per person and field (`file`, `h1`, `title`, `field`, `value`, `items`), in the
     order the file gives them; text that fits no section is kept under notes."""
-    people = lines.filter("block is null")
-    body = people.filter("not is_h1 and not opens")
-    labelled = (F.col("sec") == 0) & F.col("raw").rlike(_LABEL) & _lookup(SECTIONS)[norm(F.regexp_extract("raw", _LABEL, 1))].isNotNull()
-    body = body.withColumn("labelled", labelled)
-    keys = ["file", "h1", "title"]
-    inline = body.filter("labelled").select(*keys, "pos", F.regexp_extract("raw", _LABEL, 1).alias("label"), F.array(F.regexp_extract("raw", _LABEL, 2)).alias("ls"))
-    gathered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "raw"))), lambda x: x["raw"])
-    sections = body.filter("sec > 0").groupBy(*keys, "sec", "heading").agg(F.min("pos").alias("pos"), gathered.alias("ls")).select(
-        *keys, "pos", F.col("heading").alias("label"), "ls")
-    loose = body.filter((F.col("sec") == 0) & ~F.col("labelled") & (tx.strip(F.col("raw")) != "")).groupBy(*keys).agg(gathered.alias("ls")).select(
-        *keys, F.lit(2_000_000_000).alias("pos"), F.lit(None).cast("string").alias("label"), "ls")
-    rows = inline.unionByName(sections).unionByName(loose)
+    keys = ["file", "h1", "title", "seg"]
+    body = lines.filter("block is null and not is_h1 and not opens")
+    label, value = label_and_value(F.col("said"))
+    body = body.withColumns({"own": F.when((F.col("sec") == 0) & _among(SECTIONS, key_of(label)).isNotNull(), label), "value": value})
+    # The lines of a section are a segment, each labelled line before the sections is one, and what else stands there is the last.
+    seg = F.when(F.col("sec") > 0, F.col("sec")).when(F.col("own").isNotNull(), -1 - F.col("pos")).otherwise(0)
+    body = body.select("file", "h1", "title", "pos", "kind", "text", seg.alias("seg"), F.coalesce("own", F.when(F.col("sec") > 0, F.col("heading"))).alias("label"),
+                       F.when(F.col("own").isNotNull(), F.col("value")).otherwise(F.col("said")).alias("said"))
     field = section_of(F.col("label"))
-    plain = _text(F.col("ls"))
-    rows = rows.withColumns({"field": field, "text": plain, "items": _items(F.col("ls"))})
-    kept_as_note = F.when(F.col("label").isNull(), F.col("text")).when(F.contains("text", F.lit("\n")), F.concat("label", F.lit(":\n"), "text")).otherwise(
-        F.concat("label", F.lit(": "), "text"))
-    return rows.filter("text <> ''").select(*keys, "pos", F.coalesce("field", F.lit("notes")).alias("field"),
-                                            F.when(F.col("field").isNull(), kept_as_note).otherwise(F.col("text")).alias("value"),
-                                            F.when(F.col("field").isin(*LISTS), F.col("items")).alias("items"), F.col("field").isNull().alias("unknown"), "label")
+    labels = body.groupBy(*keys).agg(F.max("label").alias("label")).withColumn("field", field)
+    rows = joined_text(body, keys, "said", F.col("seg") > 0).join(labels, keys)
+    listed = body.join(labels.filter(F.col("field").isin(*LISTS)).select(*keys), keys, "left_semi")
+    rows = rows.join(entries(listed, keys), keys, "left")
+    kept_as_note = F.when(F.col("label").isNull(), F.col("said")).when(F.contains("said", F.lit("\n")), F.concat("label", F.lit(":\n"), "said")).otherwise(
+        F.concat("label", F.lit(": "), "said"))
+    return rows.select("file", "h1", "title", F.when(F.col("seg") == 0, 2_000_000_000).otherwise(F.col("pos")).alias("pos"), F.coalesce("field", F.lit("notes")).alias("field"),
+                       F.when(F.col("field").isNull(), kept_as_note).otherwise(F.col("said")).alias("value"), "items", F.col("field").isNull().alias("unknown"), "label")
 
 
 def agents(lines: DataFrame, default_model: str = "") -> DataFrame:
@@ -178,7 +199,7 @@ def agents(lines: DataFrame, default_model: str = "") -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]), "\n\n").alias("value"),
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "items"))), lambda x: F.coalesce(x["items"], F.expr("cast(array() as array<string>)")))).alias("items"))
     people = lines.filter("block is null and is_h1").select(*keys).distinct()
-    cols = [F.max(F.when(F.col("field") == n, F.col("items" if n in LISTS else "value"))).alias(n) for n in SECTIONS]
+    cols = [F.max(F.when(F.col("field") == n, F.col("items" if n in LISTS else "value"))).alias(n) for n in FIELDS]
     wide = people.join(per.groupBy(*keys).agg(*cols), keys, "left")
 
     def word(c):
@@ -206,17 +227,14 @@ def experiment(lines: DataFrame) -> DataFrame:
     blocks = lines.filter("block is not null and not is_h1")
     firsts = lines.filter("block in ('scenario', 'settings', 'source')").agg(F.min("file").alias("file"))
     b = blocks.join(firsts, "file")
-    gathered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "raw"))), lambda x: x["raw"])
-    scenario = b.filter("block = 'scenario'").groupBy("file", "h1").agg(_text(gathered).alias("t")).filter("t <> ''").groupBy("file").agg(
+    scenario = joined_text(b.filter("block = 'scenario'"), ["file", "h1"], "t").groupBy("file").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("h1", "t"))), lambda x: x["t"]), "\n\n").alias("scenario"))
-    bare = F.when(F.col("raw").rlike(_BULLET), F.regexp_extract("raw", _BULLET, 1)).otherwise(tx.strip(F.col("raw")))
-    pairs = b.filter(F.col("block").isin("settings", "source")).withColumn("line", bare).filter(F.col("line").rlike(_LABEL)).select(
-        "file", "block", "pos", norm(F.regexp_extract("line", _LABEL, 1)).alias("key"), F.regexp_extract("line", _LABEL, 2).alias("value"))
+    label, value = label_and_value(F.when(F.col("kind") == "item", F.col("text")).otherwise(F.col("said")))
+    pairs = b.filter(F.col("block").isin("settings", "source")).select("file", "block", "pos", key_of(label).alias("key"), value.alias("value")).filter("value is not null")
     number = F.replace(F.regexp_extract("value", r"(\d[\d,]*)", 1), F.lit(","), F.lit("")).try_cast("int")
-    settings = pairs.filter("block = 'settings'").select("file", "pos", F.element_at(_lookup(SETTINGS), F.col("key")).alias("k"),
-                                                        number.alias("n")).filter("k is not null and n is not null")
-    source = pairs.filter("block = 'source'").withColumn("k", F.element_at(_lookup(SOURCE), F.col("key"))).filter(F.col("k").isNotNull() & (
+    settings = pairs.filter("block = 'settings'").select("file", "pos", _among(SETTINGS, F.col("key")).alias("k"), number.alias("n")).filter("k is not null and n is not null")
+    source = pairs.filter("block = 'source'").withColumn("k", _among(SOURCE, F.col("key"))).filter(F.col("k").isNotNull() & (
         (F.col("k") != "url") | F.lower("value").rlike("^https?://")))
-    s = settings.groupBy("file").agg(*[F.max_by("n", F.when(F.col("k") == k, F.col("pos"))).alias(k) for k in SETTINGS])
-    o = source.groupBy("file").agg(*[F.max_by("value", F.when(F.col("k") == k, F.col("pos"))).alias(f"source_{k}") for k in SOURCE])
+    s = settings.groupBy("file").agg(*[F.max_by("n", F.when(F.col("k") == k, F.col("pos"))).alias(k) for k in dict.fromkeys(SETTINGS.values())])
+    o = source.groupBy("file").agg(*[F.max_by("value", F.when(F.col("k") == k, F.col("pos"))).alias(f"source_{k}") for k in dict.fromkeys(SOURCE.values())])
     return firsts.join(scenario, "file", "left").join(s, "file", "left").join(o, "file", "left")

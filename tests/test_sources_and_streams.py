@@ -50,6 +50,25 @@ def test_cast_file(spark):
     assert (e.file, e.scenario, e.max_turns, e.word_limit) == ("a.md", "A dispute.", 1000, 300)
 
 
+def test_forms_of_lines(spark):
+    lines = ["# Ann Lee", "#Ann", "#1 concern", "## Role ##", "###### x", "####### x", "**Goal**:", "__Goal__", "** **", "---", "* * *", "- a", "12) b", "-", "  ", "a: b", r"\# no head", "# "]
+    got = spark.createDataFrame([(x,) for x in lines], "raw string").select("raw", cast.line_form(F.col("raw")).alias("f")).collect()
+    assert {r.raw: (r.f.kind, r.f.text) for r in got} == {
+        "# Ann Lee": ("person", "Ann Lee"), "#Ann": ("person", "Ann"), "#1 concern": ("plain", "#1 concern"), "## Role ##": ("section", "Role"), "###### x": ("section", "x"),
+        "####### x": ("plain", "####### x"), "**Goal**:": ("bold", "Goal"), "__Goal__": ("bold", "Goal"), "** **": ("rule", ""), "---": ("rule", ""), "* * *": ("rule", ""),
+        "- a": ("item", "a"), "12) b": ("item", "b"), "-": ("plain", "-"), "  ": ("blank", ""), "a: b": ("plain", "a: b"), r"\# no head": ("plain", r"\# no head"), "# ": ("person", "")}
+
+
+def test_cast_file_paragraphs_and_labels(spark):
+    text = ("before any name\n# Ann Lee\nRole: buyer\n**Objective:** two\nFree line.\n\nAnother: one\n## Background\n\nFirst.\nSecond.\n\n\n\n---\nThird \\# part.\n\\- no entry\n\n"
+            "## Habits\nloose one\nloose two\n\n## Interests\n## What\nline a\nline b\n### Full promt\nx\n")
+    people = cast.agents(cast.file_lines(spark.createDataFrame([("a.md", text)], "file string, text string"))).collect()
+    (ann,) = people
+    assert (ann.name, ann.role, ann.goal, ann.backstory) == ("Ann Lee", "buyer", "two", "First.\nSecond.\n\nThird \\# part.\n- no entry")
+    assert ann.tendencies == ["loose one", "loose two"] and ann.priorities is None and ann.system_prompt is None
+    assert ann.notes == "What:\nline a\nline b\n\nFull promt: x\n\nFree line.\nAnother: one"
+
+
 def test_lead_opinion(spark):
     ops = [{"id": 1, "type": "040dissent", "ordering_key": 1}, {"id": None, "type": "010combined"}, {"id": 3, "type": None}, {"id": 2, "type": "lead-opinion"}]
     d = spark.createDataFrame([(ops,)], "o array<struct<id:bigint,type:string,ordering_key:int>>")
