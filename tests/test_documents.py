@@ -123,19 +123,36 @@ def test_ids_of_a_cast(spark):
     assert got == ["lee", "lee-2", "lee-2-2", "lee-3", "ann", "lee-2-3"]
 
 
-def test_ids_of_random_casts_against_the_rule(spark):
-    rng = random.Random(11)
-    names = [rng.choice(["x", "x 2", "x 3", "x 2 2", "y", "x 2 3", "y 2", "x 4"]) for _ in range(60)]
-    df = spark.createDataFrame([(1, i, n) for i, n in enumerate(names)], "cast_id int, seat int, name string")
-    got = [r.agent_id for r in op.assign_ids(df, ["cast_id"], ["seat"]).orderBy("seat").collect()]
-    used, want = set(), []
+def ids_one_by_one(names):
+    used, out = set(), []
     for n in names:
-        base, found, k = n.replace(" ", "-"), n.replace(" ", "-"), 2
+        base = found = n.lower().replace(" ", "-")
+        k = 2
         while found in used:
             found, k = f"{base}-{k}", k + 1
         used.add(found)
-        want.append(found)
-    assert got == want
+        out.append(found)
+    return out
+
+
+def test_ids_of_random_casts_against_the_rule(spark):
+    rng = random.Random(11)
+    pool = ["x", "x", "x", "x 2", "x 3", "x 2 2", "y", "x 2 3", "y 2", "x 4", "x 5", "x 6", "x 9", "x 2 2 2", "x 1", "x 02", "y 2 2"]
+    casts = {c: [rng.choice(pool[:rng.randrange(3, len(pool))]) for _ in range(rng.randrange(2, 25))] for c in range(120)}
+    df = spark.createDataFrame([(c, i, n) for c, names in casts.items() for i, n in enumerate(names)], "cast_id int, seat int, name string")
+    got = {(r.cast_id, r.seat): r.agent_id for r in op.assign_ids(df, ["cast_id"], ["seat"]).collect()}
+    for c, names in casts.items():
+        assert [got[c, i] for i in range(len(names))] == ids_one_by_one(names), names
+
+
+def test_ids_of_a_very_large_cast(spark, monkeypatch):
+    """100,000 numbered agents of one cast, plain ones among them: no family is gone through."""
+    monkeypatch.setattr(op, "_denied", lambda scope: lambda pdf: 1 / 0)
+    df = spark.range(100_000).selectExpr("1 AS cast_id", "id AS seat", "concat('Agent ', id + 2) AS name").unionByName(
+        spark.range(2).selectExpr("1 AS cast_id", "id + 200000 AS seat", "'Agent' AS name"))
+    got = op.assign_ids(df, ["cast_id"], ["seat"])
+    assert got.select("agent_id").distinct().count() == 100_002
+    assert sorted(r.agent_id for r in got.filter("seat >= 200000").collect()) == ["agent", "agent-100002"]
 
 
 def test_anchors_of_many_pages_and_chunks(spark):
