@@ -56,7 +56,12 @@ MAINS = (
 #: Names that frames of other parts bear, and names of frames of content.
 ASIDE_NAMES = ("nav navbar menu submenu breadcrumb header masthead topbar footer bottom copyright sidebar side widget cookie cookies consent gdpr notice notification alert "
                "warning popup modal overlay ad ads adv advert advertisement sponsored sponsor promo promotion banner comment comments reply replies responses discussion disqus "
-               "form search newsletter subscribe signup login share sharing social related recommended more pagination pager toolbar").split()
+               "form search newsletter subscribe signup login share sharing social related recommended more pagination pager toolbar "
+               "kommentar kommentare anzeige werbung fusszeile kopfzeile seitenleiste hinweis commentaire commentaires publicite annonce pied entete "
+               "comentario comentarios publicidad anuncio pie cabecera barra aviso").split()
+#: Lists of links in frames without a name.
+LINKS = ("<a href='/1'>Home</a> <a href='/2'>About us</a> <a href='/3'>Contact</a>", "<a href='/1'>A first story</a><br><a href='/2'>A second story</a>",
+         "<ul><li><a href='/a'>News</a></li><li><a href='/b'>Sport and games</a></li><li><a href='/c'>All of it</a></li></ul>")
 MAIN_NAMES = "content article story post entry text main".split()
 _SAID = "A text that is as long as others are, with commas, and that ends in the way of a sentence."
 
@@ -64,11 +69,18 @@ _SAID = "A text that is as long as others are, with commas, and that ends in the
 def _asides() -> list[str]:
     kinds = ("<div class='{0}'><p>{1}</p></div>", "<section id='{0}'><h2>Some words</h2><p>{1}</p><p>And so on.</p></section>", "<div class='{0}-box'>{1}</div>")
     tags = [f"<{t}>{inner}</{t}>" for t in ("nav", "header", "footer", "aside", "form", "dialog", "noscript", "button") for inner in (_SAID, f"<p>{_SAID}</p>", "Few words")]
-    return [*ASIDES, *tags, *[k.format(name, _SAID) for name in ASIDE_NAMES for k in kinds]]
+    frames = ("<div>{0}</div>", "<div class='{1}'>{0}</div>", "<table><tr><td>{0}</td></tr></table>", "<section id='{1}'>{0}</section>")
+    unnamed = [f.format(inner, f"x{k}q") for k, inner in enumerate(LINKS * 3) for f in frames]
+    return [*ASIDES, *tags, *[k.format(name, _SAID) for name in ASIDE_NAMES for k in kinds], *unnamed]
 
 
 def _mains() -> list[str]:
-    return [*MAINS, *[f"<div data-main class='{n}'>{body}</div>" for n in MAIN_NAMES for body in (_BODY, f"<p>{_SAID}</p>")]]
+    # Content of pages whose frames say nothing, or that have none.
+    texts = [_BODY, _PLAIN, f"<p>{_SAID}</p><p>{_SAID} {_SAID}</p>", f"<p>{_SAID}</p>", "<h2>Some words</h2><p>Only a line.</p><p>And one more.</p>"]
+    framed = [f.format(t) for t in texts for f in ("<div data-main>{0}</div>", "<div data-main class='xq1'>{0}</div>", "<div id='q7'><div data-main class='zz'>{0}</div></div>",
+                                                   "<table data-main><tr><td>{0}</td></tr></table>")]
+    loose = 3 * [t.replace("<p>", "<p data-main>").replace("<h1>", "<h1 data-main>").replace("<h2>", "<h2 data-main>") for t in texts[1:]]
+    return [*MAINS, *[f"<div data-main class='{n}'>{body}</div>" for n in MAIN_NAMES for body in (_BODY, f"<p>{_SAID}</p>")], *framed, *loose]
 
 
 def labelled_pages() -> list[str]:
@@ -88,4 +100,11 @@ def labelled_pages() -> list[str]:
             else:
                 body = (aside + main, main + aside)[i % 2] + others[0]
             pages.append(f"<html><head><title>A title</title><style>p{{}}</style></head><body>{others[1]}{body}{others[2]}</body></html>")
-    return pages
+    alone = [f"<html><body>{main}</body></html>" for main in mains]
+    forms = [m.replace("</p>", f"</p><form data-not>{inner}</form>", 1) for m in mains if not m.startswith(("<p", "<h")) for inner in ("<p>Mail</p>", f"<p>{_SAID}</p><button>Send</button>")]
+    short = "They said so."
+    named = [f"<article data-main>{m}<{t} data-not class='{n}'>{inner}</{t}></article>" for n in ASIDE_NAMES for m, t, inner in (
+        (f"<p>{short}</p>", "section", f"<p>{short}</p>"), (_PLAIN, "div", f"<p>{_SAID}</p>"), (f"<section><h3>More</h3><p>{short}</p></section>", "section", f"<h3>More</h3><p>{_SAID}</p>"))]
+    cells = [f"<table><tr>{row}</tr></table>" for links in LINKS for text in (f"<p>{_SAID}</p><p>{short}</p>", _PLAIN, _BODY) for row in (
+        f"<td data-not>{links}</td><td data-main>{text}</td>", f"<td data-main>{text}</td><td data-not>{links}</td>")]
+    return [*pages, *alone, *forms, *named, *cells, *cells]

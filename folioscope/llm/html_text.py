@@ -1,7 +1,7 @@
 """Main text of web pages by a tree-structured graphical model.
 
 Every element of a page is a variable, content or not. Its own marks (tag, words of its class and
-id, role, whether its text is mostly links) speak for one of the two, and a potential joins it with
+id, role, how much text it holds, what part of that is links, whether sentences end in it) speak for one of the two, and a potential joins it with
 its parent. Sum-product messages go up the tree and down again, and the marginal of an element
 decides on its text. Potentials and marks are counted on labelled pages.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -34,19 +35,21 @@ HOLDS = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr":
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PART = re.compile(r"[a-z0-9]+")
+_SENTENCE = re.compile(r"[.!?…。](?=\s|$)")
 
 
 class Page:
     """Elements in page order, each with its parent and marks, and the text blocks between
     block boundaries: lists of (element, text)."""
 
-    __slots__ = ("parent", "marks", "label", "blocks", "_open", "_names", "_text", "_shown", "_linked", "_links")
+    __slots__ = ("parent", "marks", "label", "blocks", "_open", "_names", "_text", "_shown", "_linked", "_links", "_ends", "_count")
 
     def __init__(self, source: str) -> None:
         self.parent, self.marks, self.label = [-1], [["tag=page"]], [0]
         self.blocks: list[list[tuple[int, str]]] = []
         self._open, self._names, self._text = [0], ["page"], []
-        self._shown, self._linked, self._links = [0], [0], 0
+        self._shown, self._linked, self._links, self._ends = [0], [0], 0, [0]
+        self._count: Counter[str] = Counter()
         at = 0
         while at < len(source):
             m = _TOKEN.search(source, at)
@@ -75,11 +78,24 @@ class Page:
         for i, (shown, linked) in enumerate(zip(self._shown, self._linked)):
             if linked * 2 > shown:
                 self.marks[i].append("links")
+        self._mark_text()
+
+    def _mark_text(self) -> None:
+        """Marks of the text in an element and below it: how much stands there outside links, what part of it is links, and
+        whether it has ends of sentences."""
+        shown, linked, ends = self._shown[:], self._linked[:], self._ends[:]
+        for i in range(len(self.parent) - 1, 0, -1):
+            p = self.parent[i]
+            shown[p], linked[p], ends[p] = shown[p] + shown[i], linked[p] + linked[i], ends[p] + ends[i]
+        for i in range(1, len(self.parent)):
+            if shown[i]:
+                self.marks[i] += [f"said={min(5, (shown[i] - linked[i]).bit_length() // 2)}", f"linked={4 * linked[i] // shown[i]}", f"ends={min(ends[i], 2)}"]
 
     def _add(self, text: str) -> None:
         self._text.append((self._open[-1], text))
         if n := len(text.strip()):
             self._shown[self._open[-1]] += n
+            self._ends[self._open[-1]] += len(_SENTENCE.findall(text))
             if self._links:
                 self._linked[self._open[-1]] += n
 
@@ -109,19 +125,22 @@ class Page:
             return
         if name not in INLINE:
             self._flush()
-        if name in CLOSES_P and "p" in self._names:
+        if name in CLOSES_P:
             self._pop_to("p", ("button", "td", "th", "table", "caption"))
         for other in ENDS_BEFORE.get(name, ()):
             self._pop_to(other, HOLDS[name])
         if name in VOID:
             return
+        marks.append(f"in={self._names[-1]}")
         self.parent.append(self._open[-1])
         self.marks.append(marks)
         self.label.append(self.label[self._open[-1]] if label is None else label)
         self._shown.append(0)
         self._linked.append(0)
+        self._ends.append(0)
         self._open.append(len(self.parent) - 1)
         self._names.append(name)
+        self._count[name] += 1
 
     def _close(self, name: str) -> None:
         if name == "a":
@@ -132,8 +151,11 @@ class Page:
 
     def _pop_to(self, name: str, walls: tuple[str, ...]) -> None:
         """Ends the innermost open element of that name, and those in it; none beyond a wall."""
+        if not self._count[name]:
+            return
         for k in range(len(self._names) - 1, 0, -1):
             if self._names[k] == name:
+                self._count.subtract(self._names[k:])
                 del self._names[k:], self._open[k:]
                 return
             if self._names[k] in walls:
@@ -146,7 +168,7 @@ class TreeModel:
     Trained on labelled pages by the likelihood of all labels of a page together: its gradient is
     what is seen less what sum-product expects, for pairs of labels and for marks."""
 
-    def __init__(self, pages: Iterable[str] = (), steps: int = 150, rate: float = 0.2, penalty: float = 2e-6) -> None:
+    def __init__(self, pages: Iterable[str] = (), steps: int = 250, rate: float = 0.2, penalty: float = 2e-6) -> None:
         self.edge, self.marks = [[0.5, 0.5], [0.5, 0.5]], {}
         parsed = [Page(source) for source in pages]
         if not parsed:
@@ -249,7 +271,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per page: id, url, text, n_chars.
 
     Works on the whole html of every row; a null html is empty. Rows that repeat come out as often
-    as they come in. Other columns are not read. Pages are independent, so one task holds one
+    as they come in; no rows give no rows. Other columns are not read. Pages are independent, so one task holds one
     batch of them at a time.
     """
     model = model or default_model()

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -92,6 +93,13 @@ CASES = [
     ("<nav><a href=x>n</a></nav><article><p>T<script>var t='</p>';</script>U</p><div class=\"ad\">Buy</div><p>V</p></article>", "TU\n\nV"),
     ("<article><p>a</p><section class='comments'><p>They said so.</p></section><form><p>Mail</p></form></article><aside>z</aside>", "a"),
     ("<main><h1>T</h1><p>1 < 2 &lt; 3</p></main><div class='cookie-notice'>We use cookies</div>", "T\n\n1 < 2 < 3"),
+    ("<body><p>A first text that tells of something.</p><p>And a second one, not as long.</p></body>", "A first text that tells of something.\n\nAnd a second one, not as long."),
+    ("<body><div class='xq9'><a href='/1'>Start</a> <a href='/2'>Archive</a></div><div class='xq1'><h1>The headline</h1><p>A text that goes on, with a comma, to its end.</p><p>More of it.</p></div></body>",
+     "The headline\n\nA text that goes on, with a comma, to its end.\n\nMore of it."),
+    ("<article><p>The text itself, as it was written.</p><div class='kommentare'><p>Ein Leser sagt, dass das nicht stimmt.</p></div></article>", "The text itself, as it was written."),
+    ("<table><tr><td><a href=/1>Home</a><br><a href=/2>News</a><br><a href=/3>Sport</a></td><td><p>The text of the page, in a cell of its own.</p><p>It has two parts.</p></td></tr></table>",
+     "The text of the page, in a cell of its own.\n\nIt has two parts."),
+    ("<nav><a href=/1>Home</a></nav><footer>All rights reserved.</footer>", ""),
     ("<article><p>cut off &am", "cut off &am"), ("<article><!-- x --><p>a<!-- b -->c</p><style>p{}</style></article", "ac"), ("", ""), (None, ""), ("<html><body></body></html>", ""),
 ]
 
@@ -119,6 +127,12 @@ def test_marginals_are_exact():
     assert np.allclose(model.marginals(page), [h / total for h in hit], atol=1e-6)
 
 
+def test_deep_pages_take_time_by_their_length():
+    began = time.perf_counter()
+    page = html_text.Page("<div><b class=x>" * 40_000 + "text" + "</i></b></div>" * 40_000)
+    assert len(page.parent) == 80_001 and time.perf_counter() - began < 10
+
+
 def test_model_fits_its_pages():
     model, wrong, every = html_text.default_model(), 0, 0
     for source in labelled_pages():
