@@ -3,11 +3,14 @@ tables, one per document."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import citations as cit
 from ..schemas import table_report
-from ..sources import agents as cast_files, providers as pv, records
+from ..scale import ensure_checkpoint_dir
+from ..sources import agents as cast_files, files as scans, providers as pv, records
 from . import adapters as ad
 from .citation_queries import _cited_documents
 from .registry import query, view
@@ -28,6 +31,23 @@ def _payload(docs, result, path="results"):
     return docs.select("doc_id", F.to_json(body).alias("payload"))
 
 
+@query("s1_text_files", """
+WITH f AS (SELECT source || '-' || (doc_id % 16) AS title, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS text FROM documents GROUP BY 1)
+SELECT title, 'added' AS status, length(text) AS chars, sha256(text) AS text_sha FROM f""")
+def _(spark, sf):
+    """The documents written as text files, sixteen for each source, in the shared folder, and scanned as uploads."""
+    folder = f"{ensure_checkpoint_dir(spark)}/uploads-{uuid.uuid4().hex}"
+    name = F.concat("source", F.lit("-"), F.col("doc_id") % 16)
+    parts = _docs(spark, sf).select(name.alias("name"), "doc_id", "text")
+    # All lines of a file in one task; there are sixteen times as many files as sources, so none is much of the whole.
+    parts.repartition("name").sortWithinPartitions("name", "doc_id").select("name", "text").write.partitionBy("name").text(folder)
+    held = spark.createDataFrame([], "corpus string, sha256 string")
+    # The upload's name is its folder here, since Spark names the files themselves.
+    files = scans.text_files(spark, folder).withColumn("title", F.regexp_extract("path", "name=([^/]+)/", 1)).withColumns({"corpus": F.lit("uploads"), "document_id": F.xxhash64("path")})
+    out = scans.ingest_split(files, held)
+    return out.select("title", "status", F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("text_sha"))
+
+
 def _hits(df):
     return df.select("doc_id", "provider", "ref", "title", "snippet", "url", "date", "badge")
 

@@ -286,6 +286,19 @@ def _(spark, sf):
     return ad.web_pages(spark, sf).select("page_id", op.public_url_error(u).alias("error"))
 
 
+@query("w17_ipv6_addresses", """
+SELECT page_id, page_id % 7 NOT IN (1, 3, 6) AS private FROM pages""")
+def _(spark, sf):
+    i = F.col("page_id")
+    part = F.lower(F.hex(i % 65536))
+    host = (F.when(i % 7 == 0, F.concat(F.lit("fd00::"), part)).when(i % 7 == 1, F.concat(F.lit("2606:4700::"), part, F.lit(":1")))
+            .when(i % 7 == 2, F.concat(F.lit("::ffff:10.0.0."), i % 256)).when(i % 7 == 3, F.concat(F.lit("::ffff:8.8.8."), i % 256))
+            .when(i % 7 == 4, F.concat(F.lit("2001:db8:"), part, F.lit("::"))).when(i % 7 == 5, F.concat(F.lit("fe80::"), part, F.lit("%25eth0")))
+            .otherwise(F.concat(F.lit("2001:4:112:"), part, F.lit(":0:0:0:1"))))
+    error = op.public_url_error(F.concat(F.lit("http://["), host, F.lit("]/x")))
+    return ad.web_pages(spark, sf).select("page_id", F.contains(error, F.lit("private")).alias("private"))
+
+
 view("v_crawls", """
 SELECT crawl_id, 'src' || (crawl_id % 20) AS corpus, CASE crawl_id % 3 WHEN 0 THEN 'running' WHEN 1 THEN 'finished' ELSE 'stopping' END AS status, crawl_id % 100 AS started_by,
   min(ts) AS created_at, CASE WHEN crawl_id % 3 = 1 THEN max(ts) END AS finished_at, count(*) AS done, count(*) + crawl_id % 17 AS total,

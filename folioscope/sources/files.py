@@ -13,7 +13,7 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     kind = F.when(end.isin("txt", "md"), "text").when(end == "pdf", "pdf").otherwise("unsupported")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select(
-        F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("source_uri"), kind.alias("status"),
+        "path", F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("source_uri"), kind.alias("status"),
         F.when(kind == "text", F.make_valid_utf8(F.col("content").cast("string"))).alias("text")).withColumns({
             "title": F.regexp_replace("source_uri", r"(.)\.[^.]+$", "$1"), "doc_type": F.lit("text")})
 
