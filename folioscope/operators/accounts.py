@@ -35,9 +35,9 @@ def recent_audit(log: DataFrame, users: DataFrame, limit: int = 50) -> DataFrame
 def access_changes(changes: DataFrame, users: DataFrame) -> DataFrame:
     """Each asked change of access on its own (`user_id`, `new_status`, `new_role`): refused
     when it would take the only active admin away."""
-    admins = users.agg(F.count_if((F.col("role") == "admin") & (F.col("status") == "active")).alias("n")).first()["n"]
+    admins = users.agg(F.count_if((F.col("role") == "admin") & (F.col("status") == "active"))).scalar()      # counted when the changes are read
     j = changes.join(users.select("user_id", "status", "role"), "user_id", "left")
     loses = (F.col("role") == "admin") & (F.col("status") == "active") & (
         (F.coalesce("new_role", F.lit("admin")) != "admin") | (F.coalesce("new_status", F.lit("active")) != "active"))
     return j.withColumn("outcome", F.when(F.col("status").isNull(), "No such account.").when(
-        loses & F.lit(admins <= 1), "This is the only active admin. Make someone else an admin first.").otherwise("changed"))
+        loses & (admins <= 1), "This is the only active admin. Make someone else an admin first.").otherwise("changed"))

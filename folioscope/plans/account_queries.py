@@ -45,10 +45,10 @@ def _(spark, sf):
 @query("a3_access_changes", """
 SELECT e.event_id, CASE WHEN u.user_id IS NULL THEN 'No such account.' WHEN u.user_id = 7 AND (e.event_type = 'click' OR e.event_type = 'view')
   THEN 'This is the only active admin. Make someone else an admin first.' ELSE 'changed' END AS outcome
-FROM events e LEFT JOIN (SELECT * FROM v_users WHERE user_id < 10) u ON u.user_id = e.user_id""")
+FROM events e LEFT JOIN v_users u ON u.user_id = e.user_id""")
 def _(spark, sf):
-    # Among the first ten accounts only number 7 is an active admin.
-    few = ad.users(spark, sf).filter("user_id < 10")
+    # All accounts, of which number 7 is left the only active admin.
+    few = ad.users(spark, sf)
     few = few.withColumn("role", F.when((F.col("user_id") != 7) & (F.col("role") == "admin"), "viewer").otherwise(F.col("role")))
     asked = ad.table(spark, sf, "events").select("event_id", "user_id", F.when(F.col("event_type") == "click", "disabled").alias("new_status"),
                                                  F.when(F.col("event_type") == "view", "viewer").when(F.col("event_type") == "error", "admin").alias("new_role"))

@@ -54,7 +54,7 @@ def _hits(df):
 
 def _opinions():
     def op(i, kind, key):
-        return F.struct(i.alias("id"), kind.alias("type"), key.alias("ordering_key"), F.concat(F.lit("<b>"), F.substring("text", 1, 30), F.lit("</b>")).alias("snippet"))
+        return F.struct(i.alias("id"), kind.alias("type"), key.alias("ordering_key"), F.concat(F.lit("<b>"), "text", F.lit("</b>")).alias("snippet"))
     null_key, null_id = F.lit(None).cast("int"), F.lit(None).cast("long")
     return F.array(op(_i() * 10, F.lit("040dissent"), F.lit(1)), op(null_id, F.lit("010combined"), F.lit(0)),
                    op(_i() * 10 + 1, F.when(_i() % 3 == 0, F.lit("lead-opinion")).when(_i() % 3 == 1, F.lit("concurrence")), null_key),
@@ -64,9 +64,13 @@ def _opinions():
 _LEAD = """CASE WHEN doc_id % 3 = 0 AND doc_id % 4 = 0 THEN doc_id * 10 + 2 WHEN doc_id % 3 = 0 THEN doc_id * 10 + 1 ELSE doc_id * 10 + 2 END"""
 
 
+# A marked-up text as plain lines, as far as a hit shows it.
+_SAID = r"left(regexp_replace(regexp_replace(regexp_replace(' ' || text || ' ', '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '^\s+|\s+$', '', 'g'), 400)"
+
+
 @query("s3_case_law_hits", rf"""
 SELECT doc_id, 'courtlistener' AS provider, CAST({_LEAD} AS VARCHAR) AS ref, CASE WHEN doc_id % 5 = 0 THEN 'Opinion ' || ({_LEAD}) ELSE 'Case ' || doc_id END AS title,
-  regexp_replace(regexp_replace(regexp_replace(' ' || left(text, 30) || ' ', '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS snippet, 'https://www.courtlistener.com/o/' || doc_id AS url, '2001-02-03' AS date, 'D. Mont.' AS badge FROM documents""")
+  {_SAID} AS snippet, 'https://www.courtlistener.com/o/' || doc_id AS url, '2001-02-03' AS date, 'D. Mont.' AS badge FROM documents""")
 def _(spark, sf):
     r = F.struct(F.when(_i() % 5 != 0, F.concat(F.lit("Case "), _i())).otherwise("").alias("caseName"), F.concat(F.lit("/o/"), _i()).alias("absolute_url"),
                  F.lit("2001-02-03").alias("dateFiled"), F.lit("D. Mont.").alias("court"), _opinions().alias("opinions"))
@@ -89,24 +93,24 @@ def _(spark, sf):
     return _hits(pv.rulemaking_hits(_payload(_docs(spark, sf), r), keep=("doc_id",)))
 
 
-@query("s5_code_hits", """
-SELECT doc_id, 'ecfr' AS provider, CASE WHEN doc_id % 3 = 0 THEN '{"title":"40","part":"' || (doc_id % 90) || '","section":"' || doc_id || '.1"}' ELSE '{"title":"40","chapter":"I","part":"' || (doc_id % 90) || '"}' END AS ref,
-  '40 CFR ' || CASE WHEN doc_id % 3 = 0 THEN '§ ' || doc_id || '.1' ELSE 'Part ' || (doc_id % 90) END || ' Hazardous waste' AS title, 'an excerpt' AS snippet,
+@query("s5_code_hits", f"""
+SELECT doc_id, 'ecfr' AS provider, CASE WHEN doc_id % 3 = 0 THEN '{{"title":"40","part":"' || (doc_id % 90) || '","section":"' || doc_id || '.1"}}' ELSE '{{"title":"40","chapter":"I","part":"' || (doc_id % 90) || '"}}' END AS ref,
+  '40 CFR ' || CASE WHEN doc_id % 3 = 0 THEN '§ ' || doc_id || '.1' ELSE 'Part ' || (doc_id % 90) END || ' Hazardous waste' AS title, {_SAID} AS snippet,
   'https://www.ecfr.gov/current/title-40/' || CASE WHEN doc_id % 3 = 0 THEN 'section-' || doc_id || '.1' ELSE 'chapter-I/part-' || (doc_id % 90) END AS url, '2017-01-01' AS date, 'Protection' AS badge FROM documents""")
 def _(spark, sf):
     h = F.struct(F.lit("40").alias("title"), F.when(_i() % 3 != 0, "I").otherwise("").alias("chapter"), (_i() % 90).cast("string").alias("part"),
                  F.when(_i() % 3 == 0, F.concat(_i().cast("string"), F.lit(".1"))).alias("section"))
     r = F.struct(h.alias("hierarchy"), F.struct(F.lit(" Protection ").alias("title"), F.lit("Hazardous <strong>waste</strong>").alias("section")).alias("hierarchy_headings"),
-                 F.lit("an <strong>excerpt</strong>").alias("full_text_excerpt"), F.lit("2017-01-01").alias("starts_on"))
+                 F.concat(F.lit("<strong>"), "text", F.lit("</strong>")).alias("full_text_excerpt"), F.lit("2017-01-01").alias("starts_on"))
     return _hits(pv.code_hits(_payload(_docs(spark, sf), r), keep=("doc_id",)))
 
 
-@query("s6_publication_hits", """
-SELECT doc_id, 'govinfo' AS provider, ref, 'Act ' || doc_id AS title, 'a summary' AS snippet, 'https://www.govinfo.gov/app/details/' || ref AS url, '2023-01-02' AS date, 'USCODE' AS badge
-FROM (SELECT doc_id, 'PKG-' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '/g' || (doc_id % 9) ELSE '' END AS ref FROM documents)""")
+@query("s6_publication_hits", f"""
+SELECT doc_id, 'govinfo' AS provider, ref, 'Act ' || doc_id AS title, {_SAID} AS snippet, 'https://www.govinfo.gov/app/details/' || ref AS url, '2023-01-02' AS date, 'USCODE' AS badge
+FROM (SELECT doc_id, 'PKG-' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '/g' || (doc_id % 9) ELSE '' END AS ref, text FROM documents)""")
 def _(spark, sf):
     r = F.struct(F.concat(F.lit("PKG-"), _i()).alias("packageId"), F.when(_i() % 2 == 0, F.concat(F.lit("g"), _i() % 9)).alias("granuleId"), F.concat(F.lit("Act "), _i()).alias("title"),
-                 F.lit("<p>a summary</p>").alias("summary"), F.lit("2023-01-02T00:00:00Z").alias("dateIssued"), F.lit("USCODE").alias("collectionCode"))
+                 F.concat(F.lit("<p>"), "text", F.lit("</p>")).alias("summary"), F.lit("2023-01-02T00:00:00Z").alias("dateIssued"), F.lit("USCODE").alias("collectionCode"))
     return _hits(pv.publication_hits(_payload(_docs(spark, sf), r), keep=("doc_id",)))
 
 

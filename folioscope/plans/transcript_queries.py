@@ -11,15 +11,15 @@ from .document_queries import wc
 from .registry import query, view
 
 view("v_messages", """
-SELECT conv_id % 50 AS run_id, role AS agent_id, role, conv_id * 100 + turn AS message_id, text AS content, (conv_id + turn) % 5 = 0 AS archived,
+SELECT conv_id AS run_id, role AS agent_id, role, conv_id * 100000 + turn AS message_id, text AS content, (conv_id + turn) % 5 = 0 AS archived,
   greatest(1, CAST(floor(length(text) / 3.5) AS BIGINT)) AS tokens FROM conversations""")
 view("v_buffer", "SELECT *, row_number() OVER (PARTITION BY run_id, agent_id ORDER BY message_id) AS n FROM v_messages WHERE NOT archived")
 
 
 def _messages(spark, sf):
     c = ad.table(spark, sf, "conversations")
-    return c.select((F.col("conv_id") % 50).alias("run_id"), F.col("role").alias("agent_id"), "role",
-                    (F.col("conv_id") * 100 + F.col("turn")).alias("message_id"), F.col("text").alias("content"),
+    return c.select(F.col("conv_id").alias("run_id"), F.col("role").alias("agent_id"), "role",
+                    (F.col("conv_id") * 100000 + F.col("turn")).alias("message_id"), F.col("text").alias("content"),
                     ((F.col("conv_id") + F.col("turn")) % 5 == 0).alias("archived"))
 
 
@@ -35,20 +35,20 @@ def _(spark, sf):
 
 view("v_fold", """
 SELECT b.run_id, b.agent_id, b.message_id, b.n, b.role || ': ' || b.content AS line FROM v_buffer b JOIN (
-  SELECT run_id, agent_id, greatest(2, CAST(floor(count(*) * 0.5) AS BIGINT)) AS fold FROM v_buffer GROUP BY 1, 2 HAVING sum(tokens) > 900 AND count(*) >= 2) f
+  SELECT run_id, agent_id, greatest(2, CAST(floor(count(*) * 0.5) AS BIGINT)) AS fold FROM v_buffer GROUP BY 1, 2 HAVING sum(tokens) > 300 AND count(*) >= 2) f
   ON f.run_id = b.run_id AND f.agent_id = b.agent_id AND b.n <= f.fold""")
 
 
 @query("m2_compaction_plan", "SELECT run_id, agent_id, message_id, n, line FROM v_fold")
 def _(spark, sf):
-    return op.compaction_plan(_messages(spark, sf), budget=900).select("run_id", "agent_id", "message_id", "n", "line")
+    return op.compaction_plan(_messages(spark, sf), budget=300).select("run_id", "agent_id", "message_id", "n", "line")
 
 
 @query("m2_after_compaction", """
 SELECT run_id, agent_id, count(*) AS messages FROM v_buffer b WHERE NOT EXISTS (SELECT 1 FROM v_fold f WHERE f.message_id = b.message_id) GROUP BY 1, 2""")
 def _(spark, sf):
     m = _messages(spark, sf)
-    return op.buffer_totals(op.archive(m, op.compaction_plan(m, budget=900))).drop("tokens")
+    return op.buffer_totals(op.archive(m, op.compaction_plan(m, budget=300))).drop("tokens")
 
 
 @query("m3_prompt", """
