@@ -156,8 +156,15 @@ def latest_versions(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("corpus").agg(F.max("version").alias("version"))
 
 
+def set_digest(key: str = "document_id") -> Column:
+    """Of a group's keys, each once, a digest that does not depend on their order: their number and the parity of two hashes
+    of each. It is summed where the rows are, so a set moves as one row a task."""
+    n, one, two = F.count(F.lit(1)), F.bit_xor(F.xxhash64(key)), F.bit_xor(F.xxhash64(F.lit("set"), key))
+    return F.concat_ws("-", n.cast("string"), F.lower(F.hex(one)), F.lower(F.hex(two)))
+
+
 def manifest_of(members: DataFrame) -> DataFrame:
-    return members.groupBy("corpus", "version").agg(F.count(F.lit(1)).alias("documents"))
+    return members.groupBy("corpus", "version").agg(F.count(F.lit(1)).alias("documents"), set_digest().alias("digest"))
 
 
 def members_at(members: DataFrame, at: DataFrame) -> DataFrame:
@@ -168,16 +175,22 @@ def members_at(members: DataFrame, at: DataFrame) -> DataFrame:
 def next_versions(current: DataFrame, members: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
     """New manifest and member rows for the libraries whose contents differ from their last
     version. A library with neither documents nor history gets none; an emptied one gets an
-    empty version."""
-    last = latest_versions(manifest)
-    before = members_at(members, last).select("corpus", "document_id", F.lit(1).alias("was"))
-    now = current.select("corpus", "document_id", F.lit(1).alias("is"))
-    diff = now.join(before, ["corpus", "document_id"], "full").groupBy("corpus").agg(
-        F.count_if(F.col("is").isNull() | F.col("was").isNull()).alias("changes"), F.count("is").alias("documents"))
-    new = (diff.join(last, "corpus", "left")
-           .filter((F.col("changes") > 0) | (F.col("version").isNull() & (F.col("documents") > 0)))
-           .select("corpus", (F.coalesce("version", F.lit(0)) + 1).cast("int").alias("version"), "documents"))
-    return new, now.drop("is").join(new.select("corpus", "version"), "corpus")
+    empty version.
+
+    Contents are told apart by `digest`, which the manifest keeps with each version; a manifest without it has them made
+    from `members`. So a library that has not changed moves no member row."""
+    if "digest" not in manifest.columns:
+        manifest = manifest.join(manifest_of(members).drop("documents"), ["corpus", "version"], "left")
+    last = manifest.groupBy("corpus").agg(F.max("version").alias("version"), F.max_by("digest", "version").alias("was"))
+    now = current.select("corpus", "document_id")
+    sizes = now.groupBy("corpus").agg(F.count(F.lit(1)).alias("documents"), set_digest().alias("digest"))
+    empty = F.col("documents").isNull()
+    both = sizes.join(last, "corpus", "full").withColumn("digest", F.when(~empty, F.col("digest")))
+    # An empty set has no digest, nor has the last version of a library that was empty then.
+    new = both.filter(~F.col("digest").eqNullSafe(F.col("was"))).select(
+        "corpus", (F.coalesce("version", F.lit(0)) + 1).cast("int").alias("version"), F.coalesce("documents", F.lit(0)).cast("long").alias("documents"), "digest")
+    new = pinned(new)                          # a row for each changed library
+    return new, now.join(new.select("corpus", "version"), "corpus")
 
 
 def describe_changes(before: DataFrame, after: DataFrame, links: DataFrame, history: DataFrame,
@@ -187,8 +200,11 @@ def describe_changes(before: DataFrame, after: DataFrame, links: DataFrame, hist
     which may have been empty; the others get a first version. `links` says what replaced a document: `document_id`,
     `replaced_by`, `new_corpus`. Titles shown are the first three by name; a library's note
     has one part per kind of change and per library moved to."""
-    b = before.select("corpus", "document_id", F.col("title").alias("old_title"), F.lit(True).alias("was"))
-    a = after.select("corpus", "document_id", F.col("title").alias("new_title"), F.lit(True).alias("is"))
+    # Only libraries whose sets of documents differ are compared row by row.
+    sets = before.groupBy("corpus").agg(set_digest().alias("was")).join(after.groupBy("corpus").agg(set_digest().alias("is")), "corpus", "full")
+    changed = pinned(sets.filter(~F.col("was").eqNullSafe(F.col("is"))).select("corpus"))
+    b = before.select("corpus", "document_id", F.col("title").alias("old_title"), F.lit(True).alias("was")).join(changed, "corpus", "left_semi")
+    a = after.select("corpus", "document_id", F.col("title").alias("new_title"), F.lit(True).alias("is")).join(changed, "corpus", "left_semi")
     both = b.join(a, ["corpus", "document_id"], "full")
     gone = both.filter(F.col("is").isNull()).join(
         links.select("document_id", "replaced_by", "new_corpus"), "document_id", "left")

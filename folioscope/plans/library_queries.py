@@ -23,7 +23,7 @@ def _log(spark, sf):
 
 
 def _manifest(spark, sf):
-    return op.manifest_of(ad.versions(spark, sf))
+    return op.manifest_of(ad.versions(spark, sf)).drop("digest")
 
 
 def _all(df):
@@ -187,8 +187,8 @@ diff AS (SELECT coalesce(n.corpus, w.corpus) AS corpus, count(*) FILTER (WHERE n
 SELECT corpus, 3 AS version, documents, (SELECT CAST(sum(document_id) AS BIGINT) FROM now n WHERE n.corpus = d.corpus) AS id_sum
 FROM diff d WHERE changes > 0""")
 def _(spark, sf):
-    new, members = op.next_versions(op.live(_log(spark, sf)), ad.versions(spark, sf), _manifest(spark, sf))
-    return new.join(members.groupBy("corpus").agg(F.sum("document_id").alias("id_sum")), "corpus")
+    new, members = op.next_versions(op.live(_log(spark, sf)), ad.versions(spark, sf), op.manifest_of(ad.versions(spark, sf)))
+    return new.drop("digest").join(members.groupBy("corpus").agg(F.sum("document_id").alias("id_sum")), "corpus")
 
 
 _NOTE = """

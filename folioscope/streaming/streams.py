@@ -138,11 +138,9 @@ def record_versions(changes: DataFrame, path: str, checkpoint: str) -> Streaming
             return rows.join(touched, "corpus", "left_semi")
 
         now = libraries.live(kept("log", number))
-        if number:
-            members, manifest = kept("members", number - 1), kept("manifest", number - 1)
-        else:
-            members = spark.createDataFrame([], "corpus string, version int, document_id long")
-            manifest = spark.createDataFrame([], "corpus string, version int, documents long")
+        members = spark.createDataFrame([], "corpus string, version int, document_id long")
+        # The manifest says what the last versions hold, by digest; their members are not read.
+        manifest = kept("manifest", number - 1) if number else spark.createDataFrame([], "corpus string, version int, documents long, digest string")
         new, rows = libraries.next_versions(now, members, manifest)
         rows.select("corpus", "version", "document_id").write.mode("overwrite").parquet(f"{path}/members/batch={number}")
         new.write.mode("overwrite").parquet(f"{path}/manifest/batch={number}")

@@ -21,7 +21,7 @@ def ids(df):
 
 def versions_of(spark, logs):
     members = spark.createDataFrame([], "corpus string, version int, document_id long")
-    manifest = spark.createDataFrame([], "corpus string, version int, documents long")
+    manifest = spark.createDataFrame([], "corpus string, version int, documents long, digest string")
     for one in logs:
         new, rows = op.next_versions(op.live(one), members, manifest)
         members = members.unionByName(rows.select("corpus", "version", "document_id"))
@@ -114,3 +114,13 @@ def test_current_names_of_a_long_chain_in_few_rounds(spark, monkeypatch):
     got = op.current_names(df)
     assert got.count() == 10_000 and {r.new_name for r in got.select("new_name").distinct().collect()} == {"n10000"}
     assert len(rounds) - 3 <= 15              # without the last renames, the first steps and the names on cycles
+
+
+def test_only_changed_libraries_get_versions(spark):
+    now = spark.createDataFrame([("same", 1), ("same", 2), ("more", 1), ("more", 2), ("new", 5), ("swapped", 3)], "corpus string, document_id long")
+    members = spark.createDataFrame([("same", 1, 9), ("same", 2, 2), ("same", 2, 1), ("more", 1, 1), ("gone", 1, 7), ("swapped", 1, 4), ("empty", 1, 8)], "corpus string, version int, document_id long")
+    manifest = op.manifest_of(members).unionByName(spark.createDataFrame([("empty", 2, 0, None)], "corpus string, version int, documents long, digest string"))
+    for kept in (manifest, manifest.drop("digest")):
+        new, rows = op.next_versions(now, members, kept)
+        assert sorted((r.corpus, r.version, r.documents) for r in new.collect()) == [("gone", 2, 0), ("more", 2, 2), ("new", 1, 1), ("swapped", 2, 1)]
+        assert sorted((r.corpus, r.version, r.document_id) for r in rows.collect()) == [("more", 2, 1), ("more", 2, 2), ("new", 1, 5), ("swapped", 2, 3)]
