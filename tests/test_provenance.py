@@ -127,5 +127,19 @@ def test_approximate_search_finds_most_of_the_best(spark):
     cd = spark.createDataFrame(c, "chunk_id long, embedding array<float>")
     qd = spark.createDataFrame(c[:20], "query_id long, embedding array<float>")
     exact = {(r.query_id, r.chunk_id) for r in ret.top_passages(cd, qd, 5, 0.3).collect()}
-    near = {(r.query_id, r.chunk_id) for r in ret.approximate_top(cd, qd, 5, 0.3).collect()}
-    assert len(exact & near) / len(exact) > 0.8
+    near = {(r.query_id, r.chunk_id) for r in ret.approximate_top(cd, qd, 5, 0.3, probes=0.5, least_probes=1).collect()}
+    assert len(exact & near) / len(exact) >= 0.9
+    whole = {(r.query_id, r.chunk_id) for r in ret.approximate_top(cd, qd, 5, 0.3, probes=1.0).collect()}
+    assert whole == exact
+
+
+def test_index_of_the_given_vectors(spark):
+    """Mean recall against the exact search, and cells by the number of rows."""
+    from folioscope.plans import adapters as ad
+    sf = "/root/testdata/sf0.1"
+    c, q = ad.chunks(spark, sf), ad.questions(spark, sf)
+    centres = ret.fit_cells(c)
+    assert len(centres) == c.count() // ret.INDEX_CELL and len(ret.fit_cells(c.limit(300))) == 2 and len(ret.fit_cells(c.limit(0))) == 1
+    exact = {(r.query_id, r.chunk_id) for r in ret.top_passages(c, q, 6, 0.05).collect()}
+    near = {(r.query_id, r.chunk_id) for r in ret.approximate_top(c, q, 6, 0.05, centres=centres).collect()}
+    assert len(exact & near) / len(exact) >= 0.9
