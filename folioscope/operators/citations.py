@@ -316,14 +316,27 @@ _HEAD = r"(?m)^\[(\d+)\] (.+)$"
 
 def passages_seen(results: DataFrame, keys: list[str], text: str = "content", limit: int = 120) -> DataFrame:
     """The passages tool results handed out, by number with their headings: the last
-    `limit` numbers by first appearance for each of `keys`, in that order."""
+    `limit` numbers by first appearance for each of `keys`, in that order, and how many are `left_out` before them."""
     ns = F.regexp_extract_all(F.col(text), F.lit(_HEAD), F.lit(1))
     heads = F.regexp_extract_all(F.col(text), F.lit(_HEAD), F.lit(2))
     seen = results.select(*keys, "position", F.posexplode(F.arrays_zip(ns.alias("n"), heads.alias("heading"))).alias("at", "x"))
     one = seen.groupBy(*keys, F.col("x.n").cast("int").alias("n")).agg(
         F.min(F.struct("position", "at")).alias("first"),
         F.max_by(F.substring(tx.strip(F.col("x.heading")), 1, 200), F.struct("position", "at")).alias("heading"))
-    return best_per(one, keys, [F.desc("first")], limit, "from_last").drop("first")
+    totals = one.groupBy(*keys).agg(F.greatest(F.count(F.lit(1)) - limit, F.lit(0)).alias("left_out"))
+    return best_per(one, keys, [F.desc("first")], limit, "from_last").drop("first").join(totals, keys)
+
+
+def cite_note(seen: DataFrame, keys: list[str], still_researching: Column) -> DataFrame:
+    """What an agent whose report cites no passages is told (`note`), from its `passages_seen`: one line for each, newest last,
+    after a line that counts those left out. A note has at most as many lines as passages are shown."""
+    # The words of the note.
+    begin = F.when(still_researching, "If you are still researching, continue with the tools. If you are done, give ").otherwise("Give ")
+    ask = "your findings again, citing the passage numbers [n] that support each claim. Passages you have been given:\n"
+    lines = seen.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("from_last")).alias("at"), F.concat(F.lit("["), "n", F.lit("] "), "heading").alias("line")))).alias("lines"),
+                                    F.max("left_out").alias("left_out"))
+    more = F.when(F.col("left_out") > 0, F.concat(F.lit("("), F.col("left_out").cast("string"), F.lit(" earlier passages, not shown)\n"))).otherwise("")
+    return lines.select(*keys, F.concat(begin, F.lit(ask), more, F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("note"))
 
 
 def without_citations(findings: DataFrame, text: str = "content") -> DataFrame:

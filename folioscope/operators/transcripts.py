@@ -141,9 +141,6 @@ def may_conclude(roster: DataFrame, transcript: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ greedy choices along a run
 
-SHORT_RUN = 2_000
-
-
 def _chosen_from(first: DataFrame, jumps: DataFrame) -> DataFrame:
     """All steps reached from the first of each run by following `jumps` (`run_id`, `i`,
     `j`). Jumps double in length each round, so a chain of n steps takes log2(n) rounds of
@@ -169,60 +166,41 @@ def _first_at_or_after(points: DataFrame, wants: DataFrame, strictly: bool) -> D
     return seen.filter("i is not null").select("run_id", "i", F.col("next").alias("j"))
 
 
-def _by_length(rows: DataFrame, short: int) -> tuple[DataFrame, DataFrame]:
-    sizes = rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("__size"))
-    sized = rows.join(sizes, "run_id")
-    return sized.filter(F.col("__size") <= short).drop("__size"), sized.filter(F.col("__size") > short).drop("__size")
-
-
-def interventions(stalls: DataFrame, short: int = SHORT_RUN) -> DataFrame:
-    """The stalls (`run_id`, `turn`, `gap`) a moderator steps in at: each at least `gap`
-    turns after the last, counted from turn 0, with the number of the intervention and its
-    technique (they rotate by three). Short runs are folded in a row; longer ones by jumps."""
-    few, many = _by_length(stalls, short)
-    empty = F.struct(F.lit(0).cast("long").alias("last"), F.expr("cast(array() as array<bigint>)").alias("at"))
-    folded = few.groupBy("run_id", "gap").agg(F.sort_array(F.collect_list(F.col("turn").cast("long"))).alias("ts")).select(
-        "run_id", F.explode(F.aggregate("ts", empty, lambda a, t: F.when(t - a["last"] >= F.col("gap"), F.struct(
-            t.alias("last"), F.concat(a["at"], F.array(t)).alias("at"))).otherwise(a), lambda a: a["at"])).alias("turn"))
-    chosen = folded
-    if not many.isEmpty():
-        points = many.select("run_id", F.col("turn").cast("long").alias("at"), F.col("turn").cast("long").alias("j"))
-        wants = many.select("run_id", F.col("turn").cast("long").alias("i"), (F.col("turn") + F.col("gap")).cast("long").alias("at"))
-        first = many.filter(F.col("turn") >= F.col("gap")).groupBy("run_id").agg(F.min("turn").cast("long").alias("i"))
-        chosen = folded.unionByName(_chosen_from(first, _first_at_or_after(points, wants, False)).withColumnRenamed("i", "turn"))
+def intervention_gap(agents: Column) -> Column:
+    """The turns between two interventions: room for each of the agents to answer twice, four at least."""
+    return F.greatest(F.lit(4), 2 * agents)
+
+
+def interventions(stalls: DataFrame) -> DataFrame:
+    """The stalls (`run_id`, `turn`, `agents`, how many take part) a moderator steps in at: each at least the
+    gap after the last, counted from turn 0, with the number of the intervention and its
+    technique (they rotate by three). The first stall after each gap is found by a running minimum, and the chosen ones by jumps."""
+    many = stalls.withColumn("gap", intervention_gap(F.col("agents")))
+    turn = F.col("turn").cast("long")
+    points = many.select("run_id", turn.alias("at"), turn.alias("j"))
+    wants = many.select("run_id", turn.alias("i"), (F.col("turn") + F.col("gap")).cast("long").alias("at"))
+    first = many.filter(F.col("turn") >= F.col("gap")).groupBy("run_id").agg(F.min("turn").cast("long").alias("i"))
+    chosen = _chosen_from(first, _first_at_or_after(points, wants, False)).withColumnRenamed("i", "turn")
     n = with_position(chosen, ["run_id"], ["turn"], "number")
     return n.withColumn("technique", ((F.col("number") - 1) % 3).cast("int"))
 
 
-def segments(transcript: DataFrame, max_tokens: int, direct: int = 60_000, keep_last: int = 6, short: int = SHORT_RUN) -> DataFrame:
+def segments(transcript: DataFrame, max_tokens: int, direct: int = 60_000, keep_last: int = 6) -> DataFrame:
     """Each entry with the segment it is summarised in: consecutive runs of entries whose
     cost (tokens + 20) stays under `max_tokens`. Runs of at most `direct` tokens are given
     whole (segment null), as are the last `keep_last` entries of any run."""
     cost = transcript.withColumn("cost", (tx.estimate_tokens(F.col("content")) + 20).cast("long"))
     totals = cost.groupBy("run_id").agg(F.sum(F.col("cost") - 20).alias("__tokens"), F.count(F.lit(1)).alias("__entries"))
-    numbered = with_position(cost.join(totals, "run_id"), ["run_id"], ["turn"], "i")
-    numbered = pinned(numbered)
+    numbered = pinned(with_position(cost.join(totals, "run_id"), ["run_id"], ["turn"], "i"))
     cut = numbered.filter((F.col("__tokens") > direct) & (F.col("i") <= F.col("__entries") - keep_last))
-    few, many = _by_length(cut, short)
-    empty = F.struct(F.lit(0).cast("long").alias("size"), F.expr("cast(array() as array<bigint>)").alias("starts"))
-
-    def step(a, e):
-        new = (F.size(a["starts"]) == 0) | (a["size"] + e["cost"] > max_tokens)
-        return F.when(new, F.struct(e["cost"].alias("size"), F.concat(a["starts"], F.array(e["i"])).alias("starts"))).otherwise(
-            F.struct((a["size"] + e["cost"]).alias("size"), a["starts"].alias("starts")))
-
-    starts = few.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("i", "cost"))).alias("es")).select(
-        "run_id", F.explode(F.aggregate("es", empty, step, lambda a: a["starts"])).alias("i"))
-    if not many.isEmpty():
-        p = with_running(many.select("run_id", "i", "cost"), ["run_id"], ["i"], {"upto": ("sum", F.col("cost"))})
-        # An entry opens a segment when the sum since the last opening passes the limit.
-        points = p.select("run_id", F.col("upto").alias("at"), F.col("i").alias("j"))
-        wants = p.select("run_id", "i", (F.col("upto") - F.col("cost") + max_tokens).alias("at"))
-        jumps = _first_at_or_after(points, wants, True)
-        # An entry dearer than the limit stands alone: the next opens after it.
-        jumps = jumps.filter("j is not null").withColumn("j", F.greatest("j", F.col("i") + 1)).join(p.select("run_id", F.col("i").alias("j")), ["run_id", "j"], "left_semi").select("run_id", "i", "j")
-        first = p.filter("i = 1").select("run_id", "i")
-        starts = starts.unionByName(_chosen_from(first, jumps))
+    p = with_running(cut.select("run_id", "i", "cost"), ["run_id"], ["i"], {"upto": ("sum", F.col("cost"))})
+    # An entry opens a segment when the sum since the last opening passes the limit.
+    points = p.select("run_id", F.col("upto").alias("at"), F.col("i").alias("j"))
+    wants = p.select("run_id", "i", (F.col("upto") - F.col("cost") + max_tokens).alias("at"))
+    jumps = _first_at_or_after(points, wants, True)
+    # An entry dearer than the limit stands alone: the next opens after it.
+    jumps = jumps.filter("j is not null").withColumn("j", F.greatest("j", F.col("i") + 1)).join(p.select("run_id", F.col("i").alias("j")), ["run_id", "j"], "left_semi").select("run_id", "i", "j")
+    starts = _chosen_from(p.filter("i = 1").select("run_id", "i"), jumps)
     opened = starts.withColumn("__open", F.lit(1))
     marked = numbered.join(opened, ["run_id", "i"], "left")
     run = with_running(marked, ["run_id"], ["i"], {"segment": ("sum", F.coalesce("__open", F.lit(0)))})

@@ -268,11 +268,13 @@ def _(spark, sf):
     return op.exhibit_entries(_exhibits(spark, sf))
 
 
-@query("c16_passages_seen", f"""
-SELECT run_id, n, heading, from_last FROM (SELECT run_id, n, heading, row_number() OVER (PARTITION BY run_id ORDER BY first DESC) AS from_last FROM (
+view("v_seen", f"""
+SELECT run_id, n, heading, row_number() OVER (PARTITION BY run_id ORDER BY first DESC) AS from_last, greatest(count(*) OVER (PARTITION BY run_id) - 5, 0) AS left_out FROM (
   SELECT c.run_id, l.n, arg_max({_LABEL}, c.turn * 10 + c.rank) AS heading, min(c.turn * 10 + c.rank) AS first
-  FROM v_handed_out c JOIN v_ledger l ON l.run_id = c.run_id AND l.chunk_id = c.chunk_id GROUP BY 1, 2)) WHERE from_last <= 5""")
-def _(spark, sf):
+  FROM v_handed_out c JOIN v_ledger l ON l.run_id = c.run_id AND l.chunk_id = c.chunk_id GROUP BY 1, 2)""")
+
+
+def _seen(spark, sf):
     h = ad.handed_out(spark, sf)
     n = op.number_passages(h, ["turn", "rank"])
     from ..operators.retrieval import cite_label
@@ -283,6 +285,20 @@ def _(spark, sf):
     return op.passages_seen(results, ["run_id"], limit=5)
 
 
+@query("c16_passages_seen", "SELECT run_id, n, heading, from_last, left_out FROM v_seen WHERE from_last <= 5")
+def _(spark, sf):
+    return _seen(spark, sf)
+
+
+@query("c16_cite_notes", """
+SELECT run_id, CASE WHEN run_id % 2 = 0 THEN 'If you are still researching, continue with the tools. If you are done, give ' ELSE 'Give ' END ||
+  'your findings again, citing the passage numbers [n] that support each claim. Passages you have been given:' || chr(10) ||
+  CASE WHEN max(left_out) > 0 THEN '(' || max(left_out) || ' earlier passages, not shown)' || chr(10) ELSE '' END || string_agg('[' || n || '] ' || heading, chr(10) ORDER BY from_last DESC) AS note
+FROM v_seen WHERE from_last <= 5 GROUP BY run_id""")
+def _(spark, sf):
+    return op.cite_note(_seen(spark, sf), ["run_id"], F.col("run_id") % 2 == 0)
+
+
 @query("c16_findings_without_citations", """
 SELECT run_id, turn FROM v_answers WHERE turn % 2 = 0""")
 def _(spark, sf):

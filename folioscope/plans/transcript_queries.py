@@ -148,7 +148,7 @@ def _(spark, sf):
 # Stalls of a run come from its trace: errors, at the number of the event in the run.
 _STEPS = """
 WITH RECURSIVE e AS (SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS turn, event_type FROM events),
-st AS (SELECT run_id, turn, 4 + run_id % 5 AS gap FROM e WHERE event_type = 'error'),
+st AS (SELECT run_id, turn, greatest(4, 2 * (run_id % 5 + 1)) AS gap FROM e WHERE event_type = 'error'),
 pick(run_id, gap, turn, number) AS (
   SELECT run_id, gap, min(turn), CAST(1 AS BIGINT) FROM st WHERE turn >= gap GROUP BY 1, 2
   UNION ALL SELECT * FROM (SELECT p.run_id, p.gap, (SELECT min(s.turn) FROM st s WHERE s.run_id = p.run_id AND s.turn >= p.turn + p.gap) AS turn, p.number + 1 AS number FROM pick p) WHERE turn IS NOT NULL)
@@ -159,7 +159,7 @@ def _stalls(spark, sf):
     from ..scale import with_position
     e = ad.table(spark, sf, "events").select(F.col("user_id").alias("run_id"), "event_id", "event_type")
     n = with_position(e, ["run_id"], ["event_id"], "turn").filter("event_type = 'error'")
-    return n.select("run_id", "turn", (F.col("run_id") % 5 + 4).alias("gap"))
+    return n.select("run_id", "turn", (F.col("run_id") % 5 + 1).alias("agents"))
 
 
 @query("m9_interventions", _STEPS)
@@ -167,10 +167,12 @@ def _(spark, sf):
     return op.interventions(_stalls(spark, sf))
 
 
-@query("m9_interventions_of_long_runs", _STEPS)
+@query("m9_interventions_of_long_runs", _STEPS + " WHERE run_id IN (SELECT run_id FROM st GROUP BY 1 HAVING count(*) > 10)")
 def _(spark, sf):
-    """The same by the way long runs take."""
-    return op.interventions(_stalls(spark, sf), short=10)
+    """The runs with many stalls alone."""
+    many = _stalls(spark, sf)
+    long = many.groupBy("run_id").agg(F.count(F.lit(1)).alias("stalls")).filter("stalls > 10").select("run_id")
+    return op.interventions(many.join(long, "run_id", "left_semi"))
 
 
 _SEGMENTS = """
@@ -189,8 +191,8 @@ def _(spark, sf):
 
 @query("m10_segments_of_long_runs", _SEGMENTS)
 def _(spark, sf):
-    """The same by the way long runs take."""
-    return op.segments(ad.transcript(spark, sf), 400, direct=500, keep_last=1, short=2).select("run_id", "turn", "cost", "segment")
+    """The same from entries that come in any order over many partitions."""
+    return op.segments(ad.transcript(spark, sf).repartition(32, F.xxhash64("content")), 400, direct=500, keep_last=1).select("run_id", "turn", "cost", "segment")
 
 
 @query("m11_over_length", f"SELECT run_id, turn, {wc('content')} AS words FROM v_transcript WHERE {wc('content')} > 100 * 1.15::DOUBLE")
