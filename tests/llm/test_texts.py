@@ -69,6 +69,20 @@ def test_quality(spark, make):
     assert np.mean([got[i].predicted == int(bool(i % 3)) for i in held]) > 0.95
 
 
+def test_votes_are_those_of_the_nearest_by_cosine():
+    """The blocked product against a plain loop over cosines."""
+    rng = np.random.default_rng(8)
+    counts = rng.poisson(3, (160, quality.COLUMNS)).astype(np.float32)
+    labels = rng.integers(0, 2, 120)
+    model = quality.LatentSpace(counts[:120], labels)
+    got = model.vote(counts[100:])
+    for at, score in zip(model.place(counts[100:]).astype(float), got):
+        near = sorted(((float(at @ v) / (np.linalg.norm(at) * np.linalg.norm(v)), y) for v, y in zip(model.vectors.astype(float), labels)), reverse=True)[:quality.NEIGHBOURS]
+        weight = [max(0.0, min(1.0, c)) ** quality.SHARPNESS for c, _ in near]
+        assert abs(score - sum(w * y for w, (_, y) in zip(weight, near)) / sum(weight)) < 1e-3
+    assert quality.LatentSpace(counts[:0], labels[:0]).vote(counts[:2]).tolist() == [0.5, 0.5]
+
+
 def test_labelled_counts_are_not_cut(spark, make, monkeypatch):
     monkeypatch.setattr(quality, "LatentSpace", lambda counts, labels: counts)
     long = "e" * 70_000
@@ -292,6 +306,24 @@ def test_near_vectors(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_components_of_near_vectors(spark):
+    """Links and groups against all pairs, where every cell is visited."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(40, 8))
+    v = np.repeat(base, 8, axis=0) + rng.normal(size=(320, 8)) * np.repeat(rng.uniform(0.01, 0.35, 40), 8)[:, None]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df, visits=100, cell_rows=80).collect()}
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    linked = (unit @ unit.T >= 0.95) & ~np.eye(len(v), dtype=bool)
+    root = list(range(len(v)))
+    for _ in range(len(v)):
+        new = [min([root[i], *(root[j] for j in np.flatnonzero(linked[i]))]) for i in range(len(v))]
+        if new == root:
+            break
+        root = new
+    assert got == {i: (int(linked[i].sum()), root[i]) for i in range(len(v))} and linked.sum() > 500
+
+
 def test_counts_do_not_depend_on_blocks(spark, monkeypatch):
     rng = np.random.default_rng(2)
     v = np.repeat(rng.normal(size=(20, 12)), 15, axis=0) + rng.normal(size=(300, 12)) * 0.02
