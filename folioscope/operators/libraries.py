@@ -434,6 +434,12 @@ def documents_with_sizes(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     return d.withColumns({"chunk_count": F.coalesce("chunk_count", F.lit(0)), "chars": F.coalesce("chars", F.lit(0))})
 
 
+def document_passages(chunks: DataFrame, anchors: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The passages of the wanted documents (`doc_id`) in the order they are read: `n` from 1, content and pages."""
+    mine = chunks.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").join(anchors, ["doc_id", "ordinal"], "left")
+    return mine.select("doc_id", (F.col("ordinal") + 1).alias("n"), "content", "page_start", "page_end")
+
+
 def library_stats(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """Documents and passages of each library. Passages are counted per document first, so
     the join is one row to one."""

@@ -73,6 +73,15 @@ def trash_plan(experiments: DataFrame, runs: DataFrame) -> DataFrame:
                         .otherwise("may be deleted"))
 
 
+def moved_to_trash(experiments: DataFrame, runs: DataFrame, asked: DataFrame, now: Column) -> DataFrame:
+    """The experiments after what was asked for some of them (`experiment_id`, `ask`, "trash" or "restore"): one in the trash keeps its time,
+    one with an active run stays where it is and its `outcome` is refused; the others' is trashed, restored or unchanged."""
+    e = trash_plan(experiments, runs).join(asked.select("experiment_id", "ask"), "experiment_id", "left")
+    outcome = F.when((F.col("ask") == "trash") & F.col("busy"), "refused").when(F.col("ask") == "trash", "trashed").when(F.col("ask") == "restore", "restored").otherwise("unchanged")
+    after = F.when(outcome == "trashed", F.coalesce("deleted_at", now)).when(outcome == "restored", F.lit(None)).otherwise(F.col("deleted_at"))
+    return e.withColumns({"outcome": outcome, "deleted_at": after}).drop("busy", "action", "ask")
+
+
 def empty_trash(experiments: DataFrame, runs: DataFrame, **dependents: DataFrame) -> dict[str, DataFrame]:
     """The tables after deleting every trashed experiment without an active run: rows of
     `dependents` (keyed by `run_id`) go with their runs."""

@@ -243,6 +243,19 @@ def _(spark, sf):
     return op.anchor(op.chunk(ad.paragraphed(spark, sf)), op.page_starts(ad.pages_of_text(spark, sf)))
 
 
+@query("l23_document_passages", _fold(2400, 300) + """,
+marks AS (SELECT doc_id, page, coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY page
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM v_pages_of_text WHERE text <> '')
+SELECT c.doc_id, CAST(c.ordinal + 1 AS BIGINT) AS n, sha256(c.content) AS content_sha,
+  (SELECT max(page) FROM marks m WHERE m.doc_id = c.doc_id AND m.at <= c.start) AS page_start FROM chunked c WHERE c.doc_id IN (SELECT doc_id FROM labels)""")
+def _(spark, sf):
+    """The labelled documents as their passages."""
+    from ..operators.libraries import document_passages
+    chunks = op.chunk(ad.paragraphed(spark, sf))
+    found = document_passages(chunks, op.anchor(chunks, op.page_starts(ad.pages_of_text(spark, sf))), ad.table(spark, sf, "labels"))
+    return found.select("doc_id", F.col("n").cast("long").alias("n"), F.sha2("content", 256).alias("content_sha"), "page_start")
+
+
 @query("t14_token_estimate", "SELECT doc_id, greatest(1, CAST(floor(length(text) / 3.5) AS BIGINT)) AS tokens FROM documents")
 def _(spark, sf):
     return ad.table(spark, sf, "documents").select("doc_id", tx.estimate_tokens(F.col("text")).alias("tokens"))

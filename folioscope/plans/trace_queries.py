@@ -88,6 +88,17 @@ def _(spark, sf):
     return op.trash_plan(ad.experiments(spark, sf), ad.runs(spark, sf)).select("experiment_id", "busy", "action")
 
 
+@query("e6_after_trash", f"""WITH {_PLAN}
+SELECT experiment_id, CASE WHEN experiment_id % 4 < 2 THEN CASE WHEN busy THEN 'refused' ELSE 'trashed' END WHEN experiment_id % 4 = 2 THEN 'restored' ELSE 'unchanged' END AS outcome,
+  strftime(CASE WHEN experiment_id % 4 < 2 AND NOT busy THEN coalesce(deleted_at, TIMESTAMP '2025-01-01') WHEN experiment_id % 4 = 2 THEN NULL ELSE deleted_at END, '%Y-%m-%d') AS deleted FROM plan""")
+def _(spark, sf):
+    e = ad.experiments(spark, sf)
+    i = F.col("experiment_id")
+    asked = e.select("experiment_id", F.when(i % 4 < 2, "trash").when(i % 4 == 2, "restore").alias("ask")).filter("ask is not null")
+    out = op.moved_to_trash(e, ad.runs(spark, sf), asked, F.lit("2025-01-01 00:00:00").cast("timestamp_ntz"))
+    return out.select("experiment_id", "outcome", F.date_format("deleted_at", "yyyy-MM-dd").alias("deleted"))
+
+
 @query("e6_empty_trash", f"""WITH {_PLAN}, gone AS (SELECT experiment_id FROM plan WHERE NOT busy AND deleted_at IS NOT NULL),
 left_runs AS (SELECT run_id FROM v_runs WHERE experiment_id NOT IN (SELECT experiment_id FROM gone))
 SELECT 'experiments' AS "table", count(*) AS rows FROM v_experiments WHERE experiment_id NOT IN (SELECT experiment_id FROM gone)
