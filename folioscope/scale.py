@@ -101,6 +101,27 @@ def with_running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | st
             .drop(_ROW, _PART, *values.values(), *[f"__scale_b_{v}" for v in values.values()]))
 
 
+def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], values: Mapping[str, tuple[Column, int]]) -> DataFrame:
+    """`df` with values of rows before inside each key: `values` maps a new column to (value, how many rows back), null at the
+    beginning. Most rows find theirs in their own partition; the first few of each (key, partition) among the last few of the ones before."""
+    most = max(back for _, back in values.values())
+    held = {name: f"__scale_v{i}" for i, name in enumerate(values)}
+    rows = _ordered(df.select("*", *[c.alias(held[n]) for n, (c, _) in values.items()]), keys, order)
+    local = Window.partitionBy(*keys, _PART).orderBy(_ROW)
+    lags = {n: F.lag(held[n], back) for n, (_, back) in values.items()}
+    inner = rows.withColumns({n: lag.over(local) for n, lag in lags.items()} | {"__scale_i": F.row_number().over(local)})
+    ends = F.row_number().over(Window.partitionBy(*keys, _PART).orderBy(F.desc(_ROW)))
+    near = rows.select(*keys, _PART, _ROW, *held.values()).withColumn("__scale_i", F.row_number().over(local)).withColumn("__scale_e", ends)
+    near = near.filter((F.col("__scale_i") <= most) | (F.col("__scale_e") <= most))          # a few rows for each key and partition
+    whole = Window.partitionBy(*keys).orderBy(_ROW)
+    seen = near.withColumns({f"__scale_w_{n}": lag.over(whole) for n, lag in lags.items()}).filter(F.col("__scale_i") <= most)
+    seen = seen.select(F.col(_ROW).alias("__scale_of"), *[f"__scale_w_{n}" for n in values])
+    heads = inner.filter(F.col("__scale_i") <= most).join(seen, F.col(_ROW) == F.col("__scale_of")).drop("__scale_of")
+    heads = heads.withColumns({n: F.col(f"__scale_w_{n}") for n in values}).drop(*[f"__scale_w_{n}" for n in values])
+    out = inner.filter(F.col("__scale_i") > most).unionByName(heads)
+    return out.drop(_ROW, _PART, "__scale_i", *held.values())
+
+
 def best_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
              rank: str = "rank") -> DataFrame:
     """The first `k` rows of each key, ranked. `k` is a bound of the operator itself, and the

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from folioscope.scale import best_per, salted_join, with_position, with_running
+from folioscope.scale import best_per, salted_join, with_position, with_previous, with_running
 
 
 def lopsided(spark, n=4000):
@@ -59,3 +59,15 @@ def test_best_per_filters_before_the_shuffle(spark):
     top = best_per(df, ["k"], [F.desc("v"), F.col("id")], 2)
     assert "WindowGroupLimit" in top._jdf.queryExecution().toString()
     assert top.groupBy("k").count().agg(F.max("count")).first()[0] <= 2
+
+
+def test_values_of_rows_before(spark):
+    df = spark.range(500).selectExpr("IF(id % 10 < 7, 1, id % 10) AS k", "pmod(id * 7919, 500) AS at", "concat('v', pmod(id * 7919, 500)) AS v").unionByName(
+        spark.range(3).selectExpr("NULL AS k", "id AS at", "concat('n', id) AS v"))
+    got = with_previous(df.repartition(5), ["k"], ["at"], {"one": (F.col("v"), 1), "three": (F.col("v"), 3)}).collect()
+    rows = sorted((str(r.k), r.at, r.v) for r in df.collect())
+    own = {}
+    for k, at, v in rows:
+        own.setdefault(k, []).append(v)
+    want = sorted((k, v, str(vs[i - 1] if i else None), str(vs[i - 3] if i > 2 else None)) for k, vs in own.items() for i, v in enumerate(vs))
+    assert sorted((str(r.k), r.v, str(r.one), str(r.three)) for r in got) == want
