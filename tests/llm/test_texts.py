@@ -170,6 +170,13 @@ def test_urls(spark):
     assert {r.verdict for r in url_filter.filter_urls(df, rules=(), blocked_labels=()).collect()} == {"allow"}
 
 
+def test_each_rule_has_the_verdict_of_the_contract(spark):
+    urls = ["http://a.com/en/1", "http://example.com/en/7", "http://a.net/de/1", "http://example.net/de/7", "http://example.net/de/8", "http://a.org/es/1", "http://spam-farm.net/de/1"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = [(r.rule, r.verdict) for r in sorted(url_filter.filter_urls(df).collect())]
+    assert got == [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"), ("net/de/", "allow")]
+
+
 def test_very_long_hosts(spark):
     host = "a." * 100_000 + "free-bets.example.net"
     df = spark.createDataFrame([(1, f"http://{host}/de/8/x"), (2, f"http://{host}/x"), (3, "http://" + "b" * 200_000 + ".com/en/")], "page_id long, url string")
