@@ -21,7 +21,8 @@ def _room(spark) -> tuple[str, str]:
 
 
 def _stream(spark, sf, name):
-    return st.landed(spark, sf, ad.table(spark, sf, name).schema, f"{name}.parquet")
+    # A table is one file or a folder of parts; its own path stands for both.
+    return st.landed(spark, f"{sf}/{name}.parquet", ad.table(spark, sf, name).schema)
 
 
 class _Streamed:
