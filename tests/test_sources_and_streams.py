@@ -244,3 +244,29 @@ def test_sessions_closed_and_open(spark, tmp_path):
     closed = sorted((r.run_id, r.events) for r in st.every(spark, str(tmp_path / "out")).collect())
     still = sorted((r.run_id, r.events) for r in st.open_sessions(spark, str(tmp_path / "place")).collect())
     assert closed == [(1, 1), (1, 2)] and still == [(2, 1)]
+
+
+def test_streamed_queries_over_a_table_in_parts(spark, tmp_path):
+    from folioscope.plans import load
+    from folioscope.plans.registry import QUERIES
+    load()
+    talk = spark.createDataFrame([(c, t, "user", "w" * 350) for c in (1, 2) for t in range(24)], "conv_id long, turn long, role string, text string")
+    talk.repartition(5).write.parquet(str(tmp_path / "conversations.parquet"))
+    docs = spark.createDataFrame([(i, f"text {i % 8}", "en", "a", 6) for i in range(1, 30)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    folds = QUERIES["x5_streamed_compaction"](spark, str(tmp_path)).collect()
+    held = QUERIES["x5_buffers_held"](spark, str(tmp_path)).count()
+    assert len(folds) > 0 and sum(f.messages for f in folds) + held == 48
+    assert sum(r.documents for r in QUERIES["x9_versions_on_change"](spark, str(tmp_path)).collect()) == 25       # those removed and not put back are out
+    # Held: 10 and 20, of texts 2 and 4; of the others' texts the first of each.
+    added = sorted(r.document_id for r in QUERIES["x4_streamed_documents"](spark, str(tmp_path)).collect() if r.status == "added")
+    assert added == [1, 3, 5, 6, 7, 8]
+
+
+def test_the_first_to_arrive_is_added_in_any_order_of_reading(spark, tmp_path):
+    rows = [(i, "L", f"s{i % 40}", f"2024-01-01 {9 - i // 40:02d}:00:00") for i in range(400)]
+    d = spark.createDataFrame(rows, "document_id long, corpus string, sha256 string, arrived string").withColumn("arrived", F.col("arrived").cast("timestamp"))
+    d.repartition(7).write.parquet(str(tmp_path / "in"))
+    held = spark.createDataFrame([], "corpus string, sha256 string")
+    st.add_documents(st.landed(spark, str(tmp_path / "in"), d.schema), held, str(tmp_path / "out"), str(tmp_path / "place")).awaitTermination()
+    assert sorted(r.document_id for r in st.every(spark, str(tmp_path / "out")).collect()) == list(range(360, 400))
