@@ -62,3 +62,36 @@ def test_starts_of_very_many_chunks(spark):
         assert r.start == at
         at += len(r.content)
     assert len(rows) > 2000
+
+
+def _given(spark, folder, name, rows, schema):
+    from folioscope.plans import load
+    from folioscope.plans.registry import QUERIES
+    load()
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    return QUERIES
+
+
+def test_a_mean_that_ends_in_a_half_is_rounded_to_the_even_tenth(spark):
+    from folioscope.operators import web
+    secs = [12.97, 97.31, 75.9, 0.42]              # their mean is 46.65, as a sum of doubles 46.650000000000006
+    crawls = spark.createDataFrame([(1, "running", 7.0, 14, 4), (2, "running", 7.0, 14, 4), (3, "stopping", None, 5, 4)],
+                                   "crawl_id long, status string, delay_s double, total long, done long").withColumns({"created_at": F.timestamp_seconds(F.lit(0)), "finished_at": F.timestamp_seconds(F.lit(9))})
+    results = spark.createDataFrame([(1, "added", x) for x in secs] + [(2, "error", x) for x in secs[::-1]] + [(3, "exists", 1.0)], "crawl_id long, status string, secs double")
+    got = {r.crawl_id: (r.elapsed_s, r.pace_s, r.eta_s, r.estimated) for r in web.crawl_timing(crawls, results.coalesce(1), F.timestamp_seconds(F.lit(0))).collect()}
+    assert got == {1: (9, 46.6, 466, True), 2: (9, 46.6, 466, True), 3: (9, 5.0, 5, False)}
+
+
+def test_queries_take_closed_references_alone(spark, tmp_path):
+    html = "<html><head><title>A &amp;&amp</title></head><body><article><h1>A</h1><p>One &amp; two &amp;&copy &lt;b&gt; &#x27; &amp</p></article></body></html>"
+    queries = _given(spark, tmp_path, "pages", [(1, "http://a.example.org/x", html)], "page_id long, url string, html string")
+    assert queries["t6_main_article"](spark, str(tmp_path)).first().text == "One & two &&copy <b> ' &amp"
+    assert queries["t7_page_metadata"](spark, str(tmp_path)).first().title == "A &&amp"
+    assert queries["t5_strip_markup"](spark, str(tmp_path)).first().text.endswith("One & two &&copy <b> ' &amp")
+
+
+def test_interventions_of_runs_with_few_stalls_are_not_left_out(spark, tmp_path):
+    rows = [(i, run, "error") for run in (0, 5) for i in range(run * 100, run * 100 + (9 if run else 30))]
+    queries = _given(spark, tmp_path, "events", rows, "event_id long, user_id long, event_type string")
+    got = {r.run_id for r in queries["m9_interventions_of_long_runs"](spark, str(tmp_path)).collect()}
+    assert got == {0, 5}
