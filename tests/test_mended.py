@@ -95,3 +95,26 @@ def test_interventions_of_runs_with_few_stalls_are_not_left_out(spark, tmp_path)
     queries = _given(spark, tmp_path, "events", rows, "event_id long, user_id long, event_type string")
     got = {r.run_id for r in queries["m9_interventions_of_long_runs"](spark, str(tmp_path)).collect()}
     assert got == {0, 5}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_addresses_and_line_forms_are_computed_once(spark):
+    from folioscope.sources import agents
+    df = spark.range(1).select(F.col("id").cast("string").alias("said"))
+    assert _plan(df.select(web.public_url_error(F.col("said")))).count("said#") < 40
+    assert _plan(df.select(agents.line_form(F.col("said")).alias("f")).select("f.*")).count("said#") < 20
+    assert _plan(df.select(agents.section_of(F.col("said")))).count("levenshtein(regexp") == 0
+
+
+def test_pages_are_read_in_pieces(spark):
+    from folioscope.functions import markup
+    size = markup.AT_ONCE // 4
+    pages = spark.createDataFrame([(i, "https://a.org/d/", f'<a href="p{i}.pdf">{"w" * (size * (1 + i % 7))}</a>' if i % 5 else None) for i in range(40)], "page_id long, url string, html string")
+    links = web.read_links(pages)
+    assert "MapInArrow" in _plan(links) and "ArrowEvalPython" not in _plan(links)
+    got = {r.page_id: [(k.url, len(k.text)) for k in r.links] for r in links.collect()}
+    assert got == {i: [(f"https://a.org/d/p{i}.pdf", size * (1 + i % 7))] if i % 5 else [] for i in range(40)}
+    assert web.read_links(pages.limit(0)).count() == 0
