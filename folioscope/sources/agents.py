@@ -77,53 +77,70 @@ def key_of(label: Column) -> Column:
 
 def section_of(label: Column) -> Column:
     """The field a heading stands for, forgiving a small typo; the full prompt only exactly."""
-    key = key_of(label)
     forgiving = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(f).alias("f")) for n, f in SECTIONS.items() if f != "system_prompt" and len(n) >= 6])
-    near = F.filter(forgiving, lambda e: F.startswith(key, e["n"]) | ((F.abs(F.length(key) - F.length(e["n"])) <= 2) & (F.levenshtein(key, e["n"], 2) >= 0)))
-    return F.coalesce(_among(SECTIONS, key), F.when(F.length(key) >= 6, F.try_element_at(near, F.lit(1))["f"]))
+
+    def found(key):
+        near = F.filter(forgiving, lambda e: F.startswith(key, e["n"]) | ((F.abs(F.length(key) - F.length(e["n"])) <= 2) & (F.levenshtein(key, e["n"], 2) >= 0)))
+        return F.coalesce(_among(SECTIONS, key), F.when(F.length(key) >= 6, F.try_element_at(near, F.lit(1))["f"]))
+    return tx.once(key_of(label), found)
 
 
 def bare(c: Column) -> Column:
     """A heading's or name's own text, without marks of bold around it and colons behind it."""
     t = tx.strip(c)
     for mark in BOLD:
-        t = F.when(t.startswith(mark) & t.endswith(mark) & (F.length(t) >= 4), tx.strip(F.substring(t, F.lit(3), F.length(t) - 4))).otherwise(t)
+        t = tx.once(t, lambda t: F.when(t.startswith(mark) & t.endswith(mark) & (F.length(t) >= 4), tx.strip(F.substring(t, F.lit(3), F.length(t) - 4))).otherwise(t))      # noqa: B023
     return tx.strip(F.rtrim(t, F.lit(":")))
 
 
 def line_form(raw: Column) -> Column:
     """What a line is: its `kind` (person, section, bold, rule, item, blank or plain), for a heading its level, and
     the text it carries."""
-    t = tx.strip(raw)
+    def seen(x):
+        t, level, uncoloned = x["t"], x["level"], x["uncoloned"]
+        bold = F.lit(False)
+        for mark in BOLD:
+            bold = bold | (uncoloned.startswith(mark) & uncoloned.endswith(mark) & (F.length(uncoloned) > 4))
+        kind = (F.when(level == 1, "person").when(level > 1, "section").when(t == "", "blank").when(t.rlike(r"^([-*_])(\s*\1){2,}$"), "rule")
+                .when(bold, "bold").when(t.rlike(rf"^({ENTRY})\s"), "item").otherwise("plain"))
+        return tx.once(kind, lambda kind: formed(t, level, uncoloned, kind))
+
+    def formed(t, level, uncoloned, kind):
+        heading = tx.strip(F.regexp_replace(F.substring(raw, level + 1, F.length(raw)), r"\s*#*\s*$", ""))
+        text = F.when(level > 0, heading).when(kind == "rule", "").when(kind == "bold", F.substring(uncoloned, F.lit(3), F.length(uncoloned) - 4)).when(
+            kind == "item", F.regexp_replace(t, rf"^({ENTRY})\s+", "")).otherwise(t)
+        # A mark at the beginning that is not to be read as one has a backslash before it.
+        said = F.when(kind == "rule", "").otherwise(F.regexp_replace(t, r"^\\(?=[#*_+-])", ""))
+        return F.struct(kind.alias("kind"), level.alias("level"), text.alias("text"), said.alias("said"), (kind.isin("section", "bold") & t.endswith(":")).alias("colon"))
+
     level = F.length(F.regexp_extract(raw, r"^(#{1,6})(?=\s|[A-Za-z])", 1))
-    heading = tx.strip(F.regexp_replace(F.substring(raw, level + 1, F.length(raw)), r"\s*#*\s*$", ""))
-    uncoloned = F.regexp_replace(t, r"\s*:$", "")
-    bold = F.lit(False)
-    for mark in BOLD:
-        bold = bold | (uncoloned.startswith(mark) & uncoloned.endswith(mark) & (F.length(uncoloned) > 4))
-    kind = (F.when(level == 1, "person").when(level > 1, "section").when(t == "", "blank").when(t.rlike(r"^([-*_])(\s*\1){2,}$"), "rule")
-            .when(bold, "bold").when(t.rlike(rf"^({ENTRY})\s"), "item").otherwise("plain"))
-    text = F.when(level > 0, heading).when(kind == "rule", "").when(kind == "bold", F.substring(uncoloned, F.lit(3), F.length(uncoloned) - 4)).when(
-        kind == "item", F.regexp_replace(t, rf"^({ENTRY})\s+", "")).otherwise(t)
-    # A mark at the beginning that is not to be read as one has a backslash before it.
-    said = F.when(kind == "rule", "").otherwise(F.regexp_replace(t, r"^\\(?=[#*_+-])", ""))
-    return F.struct(kind.alias("kind"), level.alias("level"), text.alias("text"), said.alias("said"), (kind.isin("section", "bold") & t.endswith(":")).alias("colon"))
-
-
-def label_and_value(line: Column) -> tuple[Column, Column]:
-    """Of a line "Label: value", the label perhaps in bold: both, or nulls."""
+    return tx.once(tx.strip(raw), lambda t: tx.once(F.struct(t.alias("t"), level.alias("level"), F.when(t.endswith(":"), F.regexp_replace(t, r"\s*:$", "")).otherwise(t).alias("uncoloned")), seen))
+
+
+def label_and_value(line: Column) -> Column:
+    """Of a line "Label: value", the label perhaps in bold: `label` and `value`, or nulls."""
     marks = r"^(\*\*|__)|(\*\*|__)$"
+
+    def judged(x):
+        right = F.length(x["label"]).between(2, 40) & ~x["label"].rlike("[*_]") & (x["value"] != "")
+        return F.struct(F.when(right, x["label"]).alias("label"), F.when(right, x["value"]).alias("value"))
+
     label = tx.strip(F.regexp_replace(tx.strip(F.substring_index(line, ":", 1)), marks, ""))
     value = tx.strip(F.regexp_replace(tx.strip(F.regexp_replace(line, r"^[^:]*:", "")), r"^(\*\*|__)", ""))
-    right = line.contains(":") & F.length(label).between(2, 40) & ~label.rlike("[*_]") & (value != "")
-    return F.when(right, label), F.when(right, value)
+    return F.when(line.contains(":"), tx.once(F.struct(label.alias("label"), value.alias("value")), judged))
+
+
+def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """`df` with a column that is computed once for each row: the optimizer merges projections, but not across a generator."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def file_lines(files: DataFrame) -> DataFrame:
     """The lines of each file (`file`, `text`) by their form, with the person and section they stand in:
     `h1` and `title` or `block`, `sec`, `heading`."""
     clean = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "^\ufeff", ""), r"(?s)<!--.*?-->", ""), r"\r\n?", "\n")
-    rows = files.select("file", F.posexplode(F.split(clean, "\n")).alias("pos", "raw")).withColumn("form", line_form(F.col("raw"))).select("file", "pos", "form.*")
+    rows = files.select("file", F.posexplode(F.split(clean, "\n")).alias("pos", "raw"))
+    rows = _held(rows, "form", line_form(F.col("raw"))).select("file", "pos", "form.*")
     w = Window.partitionBy("file").orderBy("pos")
     known = _among(SECTIONS, key_of(bare(F.col("text"))))
     rows = rows.withColumn("field", F.when(F.col("kind").isin("section", "bold"), known))
@@ -173,8 +190,9 @@ def agent_fields(lines: DataFrame) -> DataFrame:
     order the file gives them; text that fits no section is kept under notes."""
     keys = ["file", "h1", "title", "seg"]
     body = lines.filter("block is null and not is_h1 and not opens")
-    label, value = label_and_value(F.col("said"))
-    body = body.withColumns({"own": F.when((F.col("sec") == 0) & _among(SECTIONS, key_of(label)).isNotNull(), label), "value": value})
+    # Only lines before the sections are asked for a label.
+    body = _held(body, "pair", F.when(F.col("sec") == 0, label_and_value(F.col("said"))))
+    body = body.withColumns({"own": F.when(_among(SECTIONS, key_of(F.col("pair.label"))).isNotNull(), F.col("pair.label")), "value": F.col("pair.value")})
     # The lines of a section are a segment, each labelled line before the sections is one, and what else stands there is the last.
     seg = F.when(F.col("sec") > 0, F.col("sec")).when(F.col("own").isNotNull(), -1 - F.col("pos")).otherwise(0)
     body = body.select("file", "h1", "title", "pos", "kind", "text", seg.alias("seg"), F.coalesce("own", F.when(F.col("sec") > 0, F.col("heading"))).alias("label"),
@@ -229,8 +247,8 @@ def experiment(lines: DataFrame) -> DataFrame:
     b = blocks.join(firsts, "file")
     scenario = joined_text(b.filter("block = 'scenario'"), ["file", "h1"], "t").groupBy("file").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("h1", "t"))), lambda x: x["t"]), "\n\n").alias("scenario"))
-    label, value = label_and_value(F.when(F.col("kind") == "item", F.col("text")).otherwise(F.col("said")))
-    pairs = b.filter(F.col("block").isin("settings", "source")).select("file", "block", "pos", key_of(label).alias("key"), value.alias("value")).filter("value is not null")
+    pairs = _held(b.filter(F.col("block").isin("settings", "source")), "pair", label_and_value(F.when(F.col("kind") == "item", F.col("text")).otherwise(F.col("said"))))
+    pairs = pairs.select("file", "block", "pos", key_of(F.col("pair.label")).alias("key"), F.col("pair.value").alias("value")).filter("value is not null")
     number = F.replace(F.regexp_extract("value", r"(\d[\d,]*)", 1), F.lit(","), F.lit("")).try_cast("int")
     settings = pairs.filter("block = 'settings'").select("file", "pos", _among(SETTINGS, F.col("key")).alias("k"), number.alias("n")).filter("k is not null and n is not null")
     source = pairs.filter("block = 'source'").withColumn("k", _among(SOURCE, F.col("key"))).filter(F.col("k").isNotNull() & (
