@@ -262,6 +262,17 @@ def test_lines_of_few_words(spark, make):
     assert got == {1: (0, docs[0][1]), 2: (3, "\n".join([lines[2], *lines[4:]]))}
 
 
+def test_lines_are_compared_by_the_same_keys_whatever_their_number(spark, make, monkeypatch):
+    docs = make([(i, f"line number {i} of a file that has a few more words than others\n{prose(random.Random(i), 12)}") for i in range(20)])
+    real, seen = line_dedup.block_keys, []
+    monkeypatch.setattr(line_dedup, "block_keys", lambda sim, blocks: seen.append(blocks) or real(sim, blocks))
+    few = line_dedup.similar_lines(docs, "doc_id", "text", 0.8).collect()
+    count = type(docs).count
+    monkeypatch.setattr(type(docs), "count", lambda self: count(self) << 40)       # a table that says it is very large
+    many = line_dedup.similar_lines(docs, "doc_id", "text", 0.8).collect()
+    assert len(set(seen)) == 1 and len(few) == 20 and sorted(few) == sorted(many)
+
+
 def test_line_dedup_odd_rows(spark, make):
     got = line_dedup.dedup_lines(make(ODD)).collect()
     assert len(got) == len(ODD) and {r["__n_removed"] for r in got} == {0}
