@@ -1,6 +1,7 @@
 """Suffix, line and n-gram near-duplicates against brute force."""
 
 import hashlib
+import os
 import random
 import re
 
@@ -273,6 +274,29 @@ def test_lines_are_compared_by_the_same_keys_whatever_their_number(spark, make,
     assert len(set(seen)) == 1 and len(few) == 20 and sorted(few) == sorted(many)
 
 
+def test_least_edits_are_never_more_than_the_edit_distance():
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh \u00e9\u4e00\U0001f600") for _ in range(n))      # noqa: E731
+    for words in (1, 2):
+        a = [text(rng.randrange(64 * words, 200)) for _ in range(40)]
+        b = ["".join(c for c in x if rng.random() > 0.1) for x in a[:20]] + [text(rng.randrange(64, 200)) for _ in range(20)]
+        got = line_dedup.least_edits(a, b, words, 200).tolist()
+        want = [min(levenshtein(x[:64 * words], y[:k]) for k in range(0, len(y) + 1, 1 if len(y) < 70 else 9)) for x, y in zip(a, b)]
+        assert all(g <= min(w, levenshtein(x, y)) for g, w, x, y in zip(got, want, a, b)) and min(got[20:]) > 15 * words >= max(got[:20]) - 5
+
+
+def test_line_dedup_lets_its_tables_go(spark, make, monkeypatch):
+    rng = random.Random(12)
+    base = [prose(rng, 30) for _ in range(6)]
+    docs = make([(i, f"{base[i % 6]} {i}\n{base[(i + 1) % 6]}") for i in range(18)])
+    real, wrote = line_dedup.stored, []
+    monkeypatch.setattr(line_dedup, "stored", lambda df: wrote.append(real(df)) or wrote[-1])
+    assert line_dedup.similar_lines(docs, "doc_id", "text", 0.8).count() > 6
+    large = [t for t in wrote if {"key", "keys", "line", "places"} & set(t.columns)]
+    folders = {f.rpartition("/")[0].removeprefix("file:").replace("//", "/") for t in large for f in t.inputFiles()}
+    assert len(large) >= 4 and folders and not any(os.path.exists(f) for f in folders)
+
+
 def test_line_dedup_odd_rows(spark, make):
     got = line_dedup.dedup_lines(make(ODD)).collect()
     assert len(got) == len(ODD) and {r["__n_removed"] for r in got} == {0}
