@@ -297,6 +297,53 @@ def test_line_dedup_lets_its_tables_go(spark, make, monkeypatch):
     assert len(large) >= 4 and folders and not any(os.path.exists(f) for f in folders)
 
 
+def test_edits_is_the_edit_distance_up_to_a_limit():
+    rng = random.Random(5)
+    for _ in range(600):
+        letters = "abcde \u00e9\u4e00\U0001f600"[:rng.randrange(2, 10)]
+        a = "".join(rng.choice(letters) for _ in range(rng.randrange(70)))
+        b = a
+        for _ in range(rng.randrange(12)):
+            k = rng.randrange(len(b) + 1)
+            b = b[:k] + rng.choice(["", *letters]) + b[k + rng.randrange(2):]
+        want, most = levenshtein(a, b), rng.randrange(14)
+        assert line_dedup.edits(a, b, most) == want if want <= most else line_dedup.edits(a, b, most) > most
+
+
+def test_lines_that_share_a_passage_are_not_all_compared(spark, make, monkeypatch):
+    """The lines of a common passage meet, but few pairs of them have so much in common that they are written and compared."""
+    rng = random.Random(41)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9))) for _ in range(40)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))      # noqa: E731
+    passage = text(12)
+    docs = [(k, f"{text(k % 40)} {passage} {text(45 - k % 40)}") for k in range(120)] + [(120, passage + " " + (last := text(40))), (121, passage + " " + last + " again")]
+    real, asked = line_dedup._verified, []
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, *a: asked.append(pairs.count()) or real(pairs, *a))
+    lost = {r.doc_id: r["__n_removed"] for r in line_dedup.dedup_lines(make(docs)).collect()}
+    assert lost == {k: int(k == 121) for k in lost} and sum(asked) < 2200          # 2634 by SimHash alone
+
+
+def test_keys_of_lines_are_kept_for_one_part_at_a_time(spark, make, monkeypatch):
+    rng = random.Random(12)
+    base = [prose(rng, 30) for _ in range(6)]
+    docs = make([(i, f"{base[i % 6]} {i}\n{prose(rng, 20)}") for i in range(18)])
+    whole = sorted(line_dedup.similar_lines(docs, "doc_id", "text", 0.8).collect())
+    folder = lambda t: t.inputFiles()[0].rpartition("/")[0].removeprefix("file:").replace("//", "/")      # noqa: E731
+    real, wrote, most = line_dedup.stored, [], []
+
+    def stored(df):
+        out = real(df)
+        wrote.extend([folder(out)] if "key" in out.columns and out.inputFiles() else [])
+        most.append(sum(map(os.path.exists, wrote)))
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", stored)
+    monkeypatch.setattr(line_dedup, "_LINES_A_ROUND", 1)
+    monkeypatch.setattr(line_dedup, "ROUNDS", 3)
+    assert sorted(line_dedup.similar_lines(docs, "doc_id", "text", 0.8).collect()) == whole and len(whole) > 6
+    assert max(most) <= 1 < len(wrote)
+
+
 def test_line_dedup_odd_rows(spark, make):
     got = line_dedup.dedup_lines(make(ODD)).collect()
     assert len(got) == len(ODD) and {r["__n_removed"] for r in got} == {0}
