@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import citations as cit
 from ..schemas import table_report
-from ..scale import ensure_checkpoint_dir
+from ..scale import ensure_checkpoint_dir, released
 from ..sources import agents as cast_files, files as scans, providers as pv, records
 from . import adapters as ad
 from .citation_queries import _cited_documents
@@ -183,7 +183,9 @@ WITH d AS (SELECT doc_id, printf('f%09d.md', doc_id) AS file, trim(regexp_replac
 SELECT file, 'Dana Reyes ' || doc_id AS name, 'dana-reyes-' || doc_id AS agent_id, NULL AS role, nullif(goal, '') AS goal, 'listens and waits|argues' AS tendencies, 'Leverage: much' AS notes, NULL AS model, NULL AS played_by FROM d
 UNION ALL SELECT file, 'Lee Park', CASE WHEN row_number() OVER (ORDER BY file) = 1 THEN 'lee-park' ELSE 'lee-park-' || row_number() OVER (ORDER BY file) END, 'buyer' || chr(10) || 'Model: Default', NULL, NULL, NULL, NULL, 'person' FROM d""")
 def _(spark, sf):
-    people = cast_files.with_ids(cast_files.agents(cast_files.file_lines(_cast_text(spark, sf))))
+    cast = cast_files.agents(cast_files.file_lines(_cast_text(spark, sf)))
+    people = cast_files.with_ids(cast)
+    released(cast)
     return people.select("file", "name", "agent_id", "role", "goal", F.array_join("tendencies", "|").alias("tendencies"), "notes", "model", "played_by")
 
 

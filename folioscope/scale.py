@@ -8,7 +8,9 @@ partitions, and carry the totals of earlier partitions forward through a small t
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -40,6 +42,26 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As `pinned`, as Parquet: texts take a third to a half of the disk, and `released` can remove it. Shuffle files of the steps that made it go."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    gc.collect()
+    spark._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def released(df: DataFrame) -> None:
+    """Removes what `written` wrote, when nothing reads it any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 def _ordered(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     by = [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
     return pinned(df.repartitionByRange(*by).sortWithinPartitions(*by)

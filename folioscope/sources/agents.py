@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
-from ..scale import pinned
+from ..scale import written
 
 # What a section's heading says, and the field it stands for.
 SECTIONS = {
@@ -141,6 +141,9 @@ def file_lines(files: DataFrame) -> DataFrame:
     clean = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "^\ufeff", ""), r"(?s)<!--.*?-->", ""), r"\r\n?", "\n")
     rows = files.select("file", F.posexplode(F.split(clean, "\n")).alias("pos", "raw"))
     rows = _held(rows, "form", line_form(F.col("raw"))).select("file", "pos", "form.*")
+    # A line's text is mostly what it says, and is then carried once.
+    rows = rows.withColumn("text", F.when(~F.col("text").eqNullSafe(F.col("said")), F.col("text")).otherwise(F.lit(None)))
+    rows = rows.repartition("file").withColumn("text", F.coalesce("text", "said"))
     w = Window.partitionBy("file").orderBy("pos")
     known = _among(SECTIONS, key_of(bare(F.col("text"))))
     rows = rows.withColumn("field", F.when(F.col("kind").isin("section", "bold"), known))
@@ -162,7 +165,9 @@ def file_lines(files: DataFrame) -> DataFrame:
     inside = Window.partitionBy("file", "h1", "sec").orderBy("pos")
     rows = rows.withColumn("heading", F.first(F.when(F.col("opens"), bare(F.col("text"))), ignorenulls=True).over(inside))
     # Every reader below goes through the lines several times.
-    return pinned(rows.filter(F.col("h1") > 0).select("file", "pos", "kind", "text", "said", "is_h1", "h1", "title", "block", "opens", "sec", "heading"))
+    rows = rows.filter(F.col("h1") > 0).withColumn("other", F.when(F.col("text") != F.col("said"), F.col("text")))
+    kept = written(rows.select("file", "pos", "kind", "other", "said", "is_h1", "h1", "title", "block", "opens", "sec", "heading"))
+    return kept.withColumn("text", F.coalesce("other", "said")).select("file", "pos", "kind", "text", "said", "is_h1", "h1", "title", "block", "opens", "sec", "heading")
 
 
 def joined_text(lines: DataFrame, keys: list[str], name: str, paragraphs: Column | None = None) -> DataFrame:
@@ -211,8 +216,9 @@ def agent_fields(lines: DataFrame) -> DataFrame:
 def agents(lines: DataFrame, default_model: str = "") -> DataFrame:
     """One row per person with every field as a column, tidied: "None" and "Default" mean
     leaving a field out, "a person" under "Played by" a human player."""
-    f = agent_fields(lines)
     keys = ["file", "h1", "title"]
+    # Written, so that what was dealt out for it goes, and dealt out once for both steps below.
+    f = written(agent_fields(lines)).repartition(*keys)
     per = f.groupBy(*keys, "field").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]), "\n\n").alias("value"),
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "items"))), lambda x: F.coalesce(x["items"], F.expr("cast(array() as array<string>)")))).alias("items"))
@@ -234,10 +240,12 @@ def agents(lines: DataFrame, default_model: str = "") -> DataFrame:
 
 
 def with_ids(people: DataFrame) -> DataFrame:
-    """People of all files as one cast with ids of their own."""
+    """People of all files as one cast with ids of their own. They are written before the ids are given out, by their names alone."""
     from ..operators.documents import assign_ids
-    base = pinned(people).withColumn("id_or_name", F.coalesce("id", "name")).withColumn("cast_id", F.lit(0))
-    return assign_ids(base, ["cast_id"], ["file", "h1"], "id_or_name").drop("cast_id", "id_or_name", "slug", "id")
+    base = written(people.withColumn("__row", F.monotonically_increasing_id()))
+    named = base.select("__row", "file", "h1", F.coalesce("id", "name").alias("id_or_name"), F.lit(0).alias("cast_id"))
+    ids = assign_ids(named, ["cast_id"], ["file", "h1"], "id_or_name").select("__row", "agent_id")
+    return base.join(ids, "__row").drop("__row", "id")
 
 
 def experiment(lines: DataFrame) -> DataFrame:

@@ -118,3 +118,28 @@ def test_pages_are_read_in_pieces(spark):
     got = {r.page_id: [(k.url, len(k.text)) for k in r.links] for r in links.collect()}
     assert got == {i: [(f"https://a.org/d/p{i}.pdf", size * (1 + i % 7))] if i % 5 else [] for i in range(40)}
     assert web.read_links(pages.limit(0)).count() == 0
+
+
+def test_ids_of_people_are_given_out_without_their_texts(spark, monkeypatch):
+    import os
+
+    from folioscope import scale
+    from folioscope.operators import documents
+    from folioscope.sources import agents
+
+    text = "# Dana Reyes\n## Goal\n\\# keep the house\n- and the car\n\n**Lee Park**\n## Role\nbuyer\n"
+    files = spark.createDataFrame([("a.md", text), ("b.md", text), ("c.md", None), ("d.md", "")], "file string, text string")
+    real, wrote = scale.pinned, []
+    for module in (scale, documents):
+        monkeypatch.setattr(module, "pinned", lambda df: wrote.append(set(df.columns)) or real(df))
+    lines = agents.file_lines(files)
+    folders = {f.rpartition("/")[0].removeprefix("file:").replace("//", "/") for f in lines.inputFiles()}
+    assert folders and all(map(os.path.isdir, folders)) and {r.text for r in lines.collect()} >= {"\\# keep the house", "and the car"}
+    cast = agents.agents(lines)
+    people = agents.with_ids(cast)
+    scale.released(cast)
+    got = sorted((r.file, r.name, r.agent_id, r.goal, r.role) for r in people.collect())
+    goal = "# keep the house\n- and the car"
+    assert got == [("a.md", "Dana Reyes", "dana-reyes", goal, None), ("a.md", "Lee Park", "lee-park", None, "buyer"),
+                   ("b.md", "Dana Reyes", "dana-reyes-2", goal, None), ("b.md", "Lee Park", "lee-park-2", None, "buyer")]
+    assert wrote and not any("goal" in columns for columns in wrote) and not any(map(os.path.exists, folders))
